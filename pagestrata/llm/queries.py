@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, sharding, sstable
+from . import jaccard_join, line_dedup, packing, sharding, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,13 @@ def op6_prefix_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op7_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.roundtrip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jump_shards, op5_vector_best_fit, op6_prefix_tree_jaccard, op8_sstable)}
+QUERIES = {f.__name__: f for f in (op2_jump_shards, op5_vector_best_fit, op6_prefix_tree_jaccard, op7_winnowed_lines, op8_sstable)}
 ORACLE_SQL: dict[str, str] = {}
