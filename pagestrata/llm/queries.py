@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, packing, sharding, sstable
+from . import decontaminate, jaccard_join, line_dedup, packing, sharding, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, sf_dir, "documents"), 8)
 
@@ -31,5 +35,5 @@ def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.roundtrip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jump_shards, op5_vector_best_fit, op6_prefix_tree_jaccard, op7_winnowed_lines, op8_sstable)}
+QUERIES = {f.__name__: f for f in (op1_cgk_decontaminate, op2_jump_shards, op5_vector_best_fit, op6_prefix_tree_jaccard, op7_winnowed_lines, op8_sstable)}
 ORACLE_SQL: dict[str, str] = {}
