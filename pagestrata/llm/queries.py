@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, packing, quality, sharding, sstable
+from . import decontaminate, jaccard_join, line_dedup, packing, pii, quality, sharding, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_table(spark, sf_dir, "documents"), 8)
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), "example key, not a secret")
+
+
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,5 +43,5 @@ def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.roundtrip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cgk_decontaminate, op2_jump_shards, op4_rule_ensemble, op5_vector_best_fit, op6_prefix_tree_jaccard, op7_winnowed_lines, op8_sstable)}
+QUERIES = {f.__name__: f for f in (op1_cgk_decontaminate, op2_jump_shards, op3_feistel_pseudonyms, op4_rule_ensemble, op5_vector_best_fit, op6_prefix_tree_jaccard, op7_winnowed_lines, op8_sstable)}
 ORACLE_SQL: dict[str, str] = {}
