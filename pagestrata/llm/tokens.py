@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 400_000
 LATIN = "\u024f"
 
 
@@ -26,8 +27,31 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Unfit(Exception):
+    """A chunk whose ids may depend on its neighbours."""
+
+
+class _Memo(dict):
+    """Chunk to ids. Two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self, learn, lead: str):
+        super().__init__()
+        self.learn, self.lead = learn, lead
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.learn(chunk, self.lead)
+        if len(self) >= MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = got
+        return got
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 16- or 32-bit ids. Holds at most two generations of ``MEMO_ENTRIES`` chunks."""
+    """Encodes texts to little-endian unsigned 16- or 32-bit ids. Holds at most twice ``MEMO_ENTRIES`` chunks of each kind."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,16 +59,15 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.feed = self._whole("\n")
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
         self.pattern, self.bytes = self._splitter(path)
+        self.spaced, self.first, self.punctuation = _Memo(self._learn, " "), _Memo(self._learn, ""), {}
         self.memo = self._separable()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _splitter(self, path: str):
         """The pattern and byte alphabet of a byte-level BPE without normalizer; (None, None) for any other kind."""
@@ -53,8 +76,8 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
-        kind = (parts["model"].get("type", "BPE"), (parts.get("pre_tokenizer") or {}).get("type"), (parts.get("pre_tokenizer") or {}).get("add_prefix_space"))
-        if kind != ("BPE", "ByteLevel", False) or parts.get("normalizer"):
+        before = parts.get("pre_tokenizer") or {}
+        if (parts["model"].get("type", "BPE"), before.get("type"), before.get("add_prefix_space")) != ("BPE", "ByteLevel", False) or parts.get("normalizer"):
             return None, None
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
@@ -63,106 +86,55 @@ class Encoder:
     def _separable(self) -> bool:
         """Whether this tokenizer treats single spaces and line feeds as said above (one that does not is used whole)."""
         probe = "Abc d'ef 12x,\nghi (jk) ünö\nz *** q's"
-        lines = probe.split("\n")
-        parts = [self._whole(c if i == 0 else " " + c) for line in lines for i, c in enumerate(line.split(" "))]
-        n = [len(line.split(" ")) for line in lines]
-        out, k = [], 0
-        for i, m in enumerate(n):
-            out += ([self.feed] if i else []) + parts[k : k + m]
-            k += m
-        return b"".join(out) == self._whole(probe) and len(self.feed) == self.dtype.itemsize
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks: those of Latin script piece by piece through the library's model, others whole."""
-        if len(self.young) + len(chunks) > MEMO_ENTRIES:
-            self.young, self.old = {}, self.young
-        young, pieces, model = self.young, self.pieces, self.tok.model
-        for c in chunks:
-            bare = c[1:] if c[0] == " " else c
-            if not bare or bare[0].isspace() or bare[-1].isspace() or any(s in bare for s in self.special):
-                young[c] = None
-            elif self.bytes is None or max(c) > LATIN:
-                young[c] = self._whole(c)
+        return self.pattern is not None and self._joined(probe) == self._whole(probe) and len(self.feed) == self.dtype.itemsize
+
+    def _piece(self, piece: str) -> bytes:
+        """One piece through the library's model."""
+        return array(self.code, [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+
+    def _learn(self, bare: str, lead: str) -> bytes:
+        if bare.isalpha() and max(bare) <= LATIN:
+            return self._piece(lead + bare)
+        if not bare or bare[0].isspace() or bare[-1].isspace() or any(s in bare for s in self.special):
+            raise _Unfit
+        if max(bare) > LATIN:
+            return self._whole(lead + bare)
+        out = b""
+        for p in self.pattern.findall(lead + bare):
+            if len(p) <= 3:
+                got = self.punctuation.get(p)
+                if got is None:
+                    got = self.punctuation[p] = self._piece(p)
+                    if len(self.punctuation) > MEMO_ENTRIES:
+                        self.punctuation.clear()
+                out += got
             else:
-                out = b""
-                for p in self.pattern.findall(c):
-                    got = pieces.get(p)
-                    if got is None:
-                        got = np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(self.bytes))], dtype=self.dtype).tobytes()
-                        if len(p) <= 4:
-                            pieces[p] = got
-                    out += got
-                young[c] = out
+                out += self._piece(p)
+        return out
+
+    def _joined(self, text: str) -> bytes:
+        first, spaced, out = self.first, self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            if out:
+                out.append(self.feed)
+            chunks = line.split(" ")
+            out.append(first[chunks[0]])
+            out += map(spaced, chunks[1:])
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes, without the end id; null counts as empty."""
-        if not self.memo:
-            return [self._whole(t) if t else b"" for t in texts]
         out: list[bytes] = []
-        group: list[list[str] | None] = []
-        size = 0
-        todo: list[str] = []
-
-        def flush() -> None:
-            nonlocal size
-            seen: set[str] = set()
-            for chunks in group:
-                seen.update(chunks or ())
-            missing = [c for c in seen if c not in self.young and c not in self.old and c != "\n"]
-            if missing:
-                self._learn(missing)
-                gone = [c for c in seen if c not in self.young and c not in self.old and c != "\n"]
-                if gone:
-                    self._learn(gone)
-            young, old = self.young, self.old
-            table = {}
-            for c in seen:
-                got = young.get(c, old)
-                if got is old and c != "\n":
-                    got = young[c] = old[c]
-                table[c] = got
-            table["\n"] = self.feed
-            bad = {c for c, v in table.items() if v is None}
-            for text, chunks in zip(todo, group, strict=True):
-                if chunks is None or (bad and not bad.isdisjoint(chunks)):
-                    out.append(self._whole(text))
-                else:
-                    out.append(b"".join([table[c] for c in chunks]))
-            group.clear()
-            todo.clear()
-            size = 0
-
         for text in texts:
-            text = text or ""
-            todo.append(text)
-            group.append(self._chunks(text))
-            size += len(text)
-            if size > 400_000:
-                flush()
-        flush()
+            if not text:
+                out.append(b"")
+                continue
+            try:
+                out.append(self._joined(text) if self.memo else self._whole(text))
+            except _Unfit:
+                out.append(self._whole(text))
         return out
 
-    @staticmethod
-    def _chunks(text: str) -> list[str] | None:
-        """Chunks with their leading space, line feeds apart; None if white space stands in pairs or at an end."""
-        if not text:
-            return []
-        if text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
-            return None
-        return _split(text)
-
-
-def _split(text: str) -> list[str]:
-    lines = text.split("\n")
-    out: list[str] = []
-    for k, line in enumerate(lines):
-        if k:
-            out.append("\n")
-        first, *rest = line.split(" ")
-        out.append(first)
-        out += [" " + c for c in rest]
-    return out
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
