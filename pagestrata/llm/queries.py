@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, packing, pii, quality, sharding, sstable
+from . import ann, decontaminate, jaccard_join, line_dedup, packing, pii, quality, sharding, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,5 +44,10 @@ def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.roundtrip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cgk_decontaminate, op2_jump_shards, op3_feistel_pseudonyms, op4_rule_ensemble, op5_vector_best_fit, op6_prefix_tree_jaccard, op7_winnowed_lines, op8_sstable)}
+def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_cgk_decontaminate, op2_jump_shards, op3_feistel_pseudonyms, op4_rule_ensemble, op5_vector_best_fit, op6_prefix_tree_jaccard, op7_winnowed_lines, op8_sstable, op9_anisotropic_search)}
 ORACLE_SQL: dict[str, str] = {}
