@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, line_dedup, packing, pii, quality, sharding, sstable
+from . import ann, decontaminate, jaccard_join, line_dedup, lm, packing, pii, quality, sharding, sstable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,9 @@ def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_cgk_decontaminate, op2_jump_shards, op3_feistel_pseudonyms, op4_rule_ensemble, op5_vector_best_fit, op6_prefix_tree_jaccard, op7_winnowed_lines, op8_sstable, op9_anisotropic_search)}
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cgk_decontaminate, op2_jump_shards, op3_feistel_pseudonyms, op4_rule_ensemble, op5_vector_best_fit, op6_prefix_tree_jaccard, op7_winnowed_lines, op8_sstable, op9_anisotropic_search, op10_backoff_automaton)}
 ORACLE_SQL: dict[str, str] = {}
