@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from .cluster import cluster_1d, merge_edges
 from .geometry import EDGE, filter_edges
@@ -146,43 +145,123 @@ def cells(crossings: DataFrame) -> DataFrame:
     return whole.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*PAGE, F.col("x").alias("x0"), "top", "x1", "bottom")
 
 
-def tables(page_cells: DataFrame) -> DataFrame:
-    """Cells with ``table`` (from 0, by top then x0): cells that share corners, without tables of one cell.
+def _numbered(boxes: list[tuple[float, float, float, float]]) -> list[tuple[int, float, float, float, float]]:
+    """(table, box) of cells that share corners, by union-find; tables of one cell are left out, the rest ordered by (top, x0)."""
+    boxes = sorted(boxes, key=lambda c: (c[1], c[0]))
+    parent = list(range(len(boxes)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    at: dict[tuple[float, float], int] = {}
+    for i, (x0, top, x1, bottom) in enumerate(boxes):
+        for corner in ((x0, top), (x0, bottom), (x1, top), (x1, bottom)):
+            a, b = find(at.setdefault(corner, i)), find(i)
+            parent[max(a, b)] = min(a, b)
+    members: dict[int, list[int]] = {}
+    for i in range(len(boxes)):
+        members.setdefault(find(i), []).append(i)
+    kept = [m for _, m in sorted(members.items()) if len(m) > 1]
+    return [(k, *boxes[i]) for k, m in enumerate(kept) for i in m]
+
+
+def _page_cells(v: list[tuple], h: list[tuple], xt: float, yt: float) -> list[tuple[float, float, float, float]]:
+    """The same cells as ``cells(intersections(...))`` for one page's edges."""
+    v, h = sorted(set(v)), sorted(set(h), key=lambda e: (e[1], e[0], e[2]))
+    tops = [e[1] for e in h]
+    points: dict[tuple[float, float], tuple[set[int], set[int]]] = {}
+    for i, (x, top, _, bottom) in enumerate(v):
+        for j in range(bisect_left(tops, top - yt), bisect_right(tops, bottom + yt)):
+            if h[j][0] - xt <= x <= h[j][2] + xt:
+                mine = points.setdefault((x, h[j][1]), (set(), set()))
+                mine[0].add(i)
+                mine[1].add(j)
+    columns: dict[float, list[float]] = {}
+    rows: dict[float, list[float]] = {}
+    for x, y in sorted(points):
+        columns.setdefault(x, []).append(y)
+        rows.setdefault(y, []).append(x)
+    found = []
+    for (x, y), (pv, ph) in points.items():
+        below, right = columns[x], rows[y]
+        rights = [r for r in right[bisect_right(right, x) :] if points[r, y][1] & ph]
+        cell = next(
+            (
+                (x, y, r, d)
+                for d in below[bisect_right(below, y) :]
+                if points[x, d][0] & pv
+                for r in rights
+                if (r, d) in points and points[r, d][1] & points[x, d][1] and points[r, d][0] & points[r, y][0]
+            ),
+            None,
+        )
+        if cell:
+            found.append(cell)
+    return found
+
+
+def _by_page(df: DataFrame, solve, kinds: str) -> DataFrame:
+    """Rows (page, orientation, x0, top, x1, bottom), one page after the other, through ``solve(rows)``; one shuffle, one page in memory."""
+    key = df.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {key}, page_no int, {kinds}"
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [k.split()[0] for k in schema.split(", ")]
+        page, held, out = None, [], []
+
+        def close():
+            out.extend((*page, *r) for r in solve(held))
+
+        def batch_of(rows):
+            kind = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, kind[k.split()[1]]) for c, k in zip(columns, schema.split(", "), strict=True)], names=names)
+
+        for batch in batches:
+            for d, p, *row in zip(*(batch[c].to_pylist() for c in ("doc_id", "page_no", "orientation", "x0", "top", "x1", "bottom")), strict=True):
+                if (d, p) != page:
+                    if held:
+                        close()
+                    page, held = (d, p), []
+                held.append(row)
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out.clear()
+        if held:
+            close()
+        yield batch_of(out)
+
+    slim = df.select("doc_id", F.col("page_no").cast("int").alias("page_no"), "orientation", "x0", "top", "x1", "bottom")
+    return slim.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, schema)
 
-    Corners are joined by union-find over the cells of a page, one page at a time.
-    """
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "x0"]).reset_index(drop=True)
-        parent = list(range(len(pdf)))
+def tables(page_cells: DataFrame) -> DataFrame:
+    """Cells with ``table`` (from 0, by top then x0): cells that share corners, without tables of one cell."""
+    rows = page_cells.withColumn("orientation", F.lit("c"))
+    return _by_page(rows, lambda held: _numbered([tuple(r[1:]) for r in held]), "table int, x0 double, top double, x1 double, bottom double")
 
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
 
-        at: dict[tuple[float, float], int] = {}
-        for i, (x0, top, x1, bottom) in enumerate(zip(pdf["x0"], pdf["top"], pdf["x1"], pdf["bottom"], strict=True)):
-            for corner in ((x0, top), (x0, bottom), (x1, top), (x1, bottom)):
-                a, b = find(at.setdefault(corner, i)), find(i)
-                parent[max(a, b)] = min(a, b)
-        root = pd.Series([find(i) for i in range(len(pdf))])
-        size = root.map(root.value_counts())
-        number = {r: k for k, r in enumerate(sorted(set(root[size > 1])))}
-        out = pdf[size > 1].copy()
-        out["table"] = root[size > 1].map(number).astype("int32")
-        return out
+def find_tables(edges: DataFrame, settings: TableSettings | None = None, words: DataFrame | None = None, explicit: DataFrame | None = None) -> DataFrame:
+    """Cells of all tables: page, table, x0, top, x1, bottom.
 
-    schema = page_cells.select(*PAGE, "x0", "top", "x1", "bottom").schema.add("table", IntegerType())
-    return page_cells.select(*PAGE, "x0", "top", "x1", "bottom").groupBy(*PAGE).applyInPandas(group, schema)
+    Crossings, cells and connected tables of a page are found in one pass over
+    its final edges, which are few; ``intersections`` and ``cells`` are the same
+    as joins.
+    """
+    s = settings or TableSettings()
+    xt, yt = s.intersection_x_tolerance, s.intersection_y_tolerance
 
+    def solve(held: list) -> list:
+        v = [tuple(r[1:]) for r in held if r[0] == "v"]
+        h = [tuple(r[1:]) for r in held if r[0] == "h"]
+        return _numbered(_page_cells(v, h, xt, yt))
 
-def find_tables(edges: DataFrame, settings: TableSettings | None = None, words: DataFrame | None = None, explicit: DataFrame | None = None) -> DataFrame:
-    """Cells of all tables: page, table, x0, top, x1, bottom."""
-    s = settings or TableSettings()
-    final = table_edges(edges, s, words, explicit)
-    return tables(cells(intersections(final, s.intersection_x_tolerance, s.intersection_y_tolerance)))
+    return _by_page(table_edges(edges, s, words, explicit), solve, "table int, x0 double, top double, x1 double, bottom double")
 
 
 def table_boxes(found: DataFrame) -> DataFrame:
