@@ -62,8 +62,8 @@ ORACLE_SQL: dict[str, str] = {
   n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
   inter AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
   links AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
-  both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
-  reach AS (SELECT x AS a, x AS b FROM both UNION SELECT a, y FROM reach JOIN both ON b = x),
+  twoway AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+  reach AS (SELECT x AS a, x AS b FROM twoway UNION SELECT a, y FROM reach JOIN twoway ON b = x),
   least AS (SELECT a, MIN(b) AS c FROM reach GROUP BY 1)
   SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, COALESCE(least.c, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id""",
 }
