@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,71 @@ def gapless_index(df: DataFrame, by: list[str], order: list[str], out: str, slic
     )
 
 
+def slices_of(batches, rows: int = 1000):
+    """Arrow batches cut into smaller ones, so that what Python makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+BLOOM_BITS = 26
+_PARTS = 256
+
+
+def _bloom_places(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+    return np.stack([x >> np.uint64(64 - BLOOM_BITS), (x >> np.uint64(6)) & np.uint64((1 << BLOOM_BITS) - 1)]).astype(np.int64)
+
+
+def maybe_among(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test for long ids being in ``ids``, by a Bloom filter of fixed size (8 MB): never wrong about those that are.
+
+    For keeping rows that cannot match out of a shuffle before a join.
+    """
+    spark = ids.sparkSession
+    size = 1 << (BLOOM_BITS - 3)
+    schema = "part int, bits binary"
+
+    def mark(batches):
+        import pyarrow as pa
+
+        bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
+        for batch in batches:
+            bits[_bloom_places(batch[column].to_numpy())] = True
+        parts = bits.reshape(_PARTS, -1)
+        some = np.flatnonzero(parts.any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary())], names=["part", "bits"])
+
+    def join(batches):
+        import pyarrow as pa
+
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch["part"].to_pylist(), batch["bits"].to_pylist(), strict=True):
+                got = np.frombuffer(raw, dtype=np.uint8)
+                total[i] = total[i] | got if i in total else got
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "bits"])
+
+    whole = np.zeros((_PARTS, size // _PARTS), dtype=np.uint8)
+    few = ids.select(column).filter(F.col(column).isNotNull()).coalesce(16)
+    for row in few.mapInArrow(mark, schema).repartition(16, "part").mapInArrow(join, schema).toLocalIterator():
+        whole[row["part"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(whole.ravel())
+
+    @F.pandas_udf("boolean")
+    def test(v: pd.Series) -> pd.Series:
+        at = _bloom_places(v.fillna(0).to_numpy(dtype=np.int64))
+        bits = shared.value
+        return pd.Series((bits[at >> 3] >> (7 - (at & 7)) & 1).all(axis=0))
+
+    return test
+
+
 def crc32_of(column: Column) -> Column:
     """Unsigned crc32 of a text's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(column, F.lit("")).cast("binary"))

@@ -1,14 +1,18 @@
 """Exact n-gram Jaccard join of all documents, as components, with prefix trees over globally ordered shingle sets.
 
-1. A counting table of fixed width over all shingles of all documents fixes the
-   global order: rare first (by the logarithm of the count), then by hash.
-2. Equal sets become one node. A node's prefix is its first n - ceil(s n) + 1
-   shingles; two similar sets share one (prefix filter). Shingles that only one
-   node has in its prefix go.
-3. Nodes that share one are compared by their sizes and by an upper bound of
-   the overlap from 1024-bit images of the sets; what may be similar is
+Equal sets are one node. Of n shingles a set can miss at most m = n - ceil(s n)
+in any similar set.
+
+1. Every document's shingles of hash below 2 (1 - s) (its sample) are dealt out
+   by hash ranges and counted exactly, which orders them: rare first. Of a
+   sample of t > m shingles a similar set has all but m, so its first m + 1
+   shingles in that order hold a common one (prefix filter). Those that no other
+   set has are dropped: a set with more than m of them is done. Sets with t <= m
+   are dealt out whole, in a space of their own, besides.
+2. Nodes that share a first shingle are compared by their sizes and by an upper
+   bound of the overlap from 1024-bit images of the sets; what may be similar is
    connected. This loses no similar pair, and leaves small families.
-4. Each family's whole sets meet in one task, in a prefix tree that is searched
+3. Each family's whole sets meet in one task, in a prefix tree that is searched
    exactly. A family of more than FAMILY_TOKENS shingles is cut into blocks;
    each two blocks meet in a task, and the links found are connected again.
 """
@@ -17,65 +21,20 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, maybe_among, slices_of
 from .components import components
 from .prefix_tree import link_roots
-from .shingles import shingle_sets
+from .shingles import mix, shingle_sets
 
-TABLE_BITS = 20
-TABLE_PARTS = 256
 IMAGE_WORDS = 16
 RUN_BLOCK = 4096
 FAMILY_TOKENS = 2_000_000
 _U = np.uint64
 
 
-def count_table(docs: DataFrame, k: int) -> np.ndarray:
-    """Of all documents' distinct shingles, the number in each of 2**TABLE_BITS hash cells (a fixed size)."""
-    part = (1 << TABLE_BITS) // TABLE_PARTS
-
-    def count(batches):
-        import pyarrow as pa
-
-        cells = np.zeros(1 << TABLE_BITS, dtype=np.int64)
-        for batch in batches:
-            for s in shingle_sets(batch["text"].to_pylist(), k):
-                if len(s) > 1000:
-                    cells += np.bincount((s >> _U(64 - TABLE_BITS)).astype(np.int64), minlength=len(cells))
-                else:  # a set's shingles may meet in a cell
-                    np.add.at(cells, (s >> _U(64 - TABLE_BITS)).astype(np.int64), 1)
-        whole = cells.reshape(TABLE_PARTS, part)
-        some = np.flatnonzero(whole.any(axis=1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([whole[i].tobytes() for i in some], pa.binary())], names=["part", "cells"])
-
-    def add(batches):
-        import pyarrow as pa
-
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, raw in zip(batch["part"].to_pylist(), batch["cells"].to_pylist(), strict=True):
-                got = np.frombuffer(raw, dtype=np.int64)
-                total[i] = total[i] + got if i in total else got
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "cells"])
-
-    schema = "part int, cells binary"
-    out = np.zeros((TABLE_PARTS, part), dtype=np.int64)
-    for row in docs.select("text").mapInArrow(count, schema).repartition(64, "part").mapInArrow(add, schema).toLocalIterator():
-        out[row["part"]] = np.frombuffer(row["cells"], dtype=np.int64)
-    return out.ravel()
-
-
-def order_tokens(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Sorted tokens whose integer order is the global one: six bits of the count's logarithm, 58 of the hash."""
-    rare = classes[(hashes >> _U(64 - TABLE_BITS)).astype(np.int64)].astype(_U)
-    return np.sort((rare << _U(58)) | (hashes & _U((1 << 58) - 1)))
-
-
 def need(size: int, num: int, den: int) -> int:
     """The least overlap of a set of this size with any similar set."""
     return -(-num * size // den)
@@ -109,73 +68,114 @@ def _forest(nodes: np.ndarray, sizes: np.ndarray, images: np.ndarray, num: int,
     return edges
 
 
-def _describe(docs: DataFrame, k: int, num: int, den: int, classes) -> DataFrame:
-    """doc_id, n, node (a hash of the set; null if empty), prefix, image."""
+def sample_of(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles whose hash lies in the lowest 2 (1 - num / den) of all."""
+    return hashes[hashes <= _U(min((1 << 64) - 1, (1 << 64) * 2 * (den - num) // den))]
+
+
+def _node_of(hashes: np.ndarray) -> int | None:
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
+
+
+def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, node (a hash of the set; null if empty), t (size of the sample), image."""
 
     def describe(batches):
         import pyarrow as pa
 
-        order = classes.value
-        for batch in batches:
-            ids, texts = batch["doc_id"], batch["text"].to_pylist()
-            n, node, prefix, image = [], [], [], []
-            for s in shingle_sets(texts, k):
-                size = len(s)
-                n.append(size)
-                node.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if size else None)
-                prefix.append(order_tokens(s, order)[: size - need(size, num, den) + 1].tobytes() if size else None)
-                image.append(image_of(s) if size else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary()), pa.array(image, pa.binary())], names=["doc_id", "n", "node", "prefix", "image"])
+        for batch in slices_of(batches):
+            n, node, t, image = [], [], [], []
+            for s in shingle_sets(batch["text"].to_pylist(), k):
+                n.append(len(s))
+                node.append(_node_of(s))
+                t.append(len(sample_of(s, num, den)))
+                image.append(image_of(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(t, pa.int64()), pa.array(image, pa.binary())], names=["doc_id", "n", "node", "t", "image"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(describe, "doc_id long, n long, node long, prefix binary, image binary")
+    return slim.mapInArrow(describe, "doc_id long, n long, node long, t long, image binary")
 
 
-def _shared(nodes: DataFrame) -> DataFrame:
-    """token, node, block: prefix shingles that at least two nodes have; a token's nodes are numbered into blocks."""
+def _shared(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
+    """node, token, df, block, blocks: the sampled shingles that at least two nodes have.
+
+    A token's lowest bit is 1 in the space of whole sets. The nodes of a token
+    are numbered into blocks of RUN_BLOCK.
+    """
 
-    def spell(batches):
+    def spread(batches):
+        """A row for each hash range: tokens and their nodes. A task sends a set once, however many copies it reads."""
         import pyarrow as pa
 
-        for batch in batches:
-            got = [np.frombuffer(x, dtype=np.int64) for x in batch["prefix"].to_pylist()]
-            if got:
-                node = np.repeat(batch["node"].to_numpy(), [len(x) for x in got])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(node)], names=["token", "node"])
+        seen: set[int] = set()
+        for batch in slices_of(batches):
+            tokens, nodes = [], []
+            for s in shingle_sets(batch["text"].to_pylist(), k):
+                node = _node_of(s)
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                part = sample_of(s, num, den) & _U(0xFFFFFFFFFFFFFFFE)
+                if len(part) <= len(s) - need(len(s), num, den):
+                    part = np.concatenate([part, s | _U(1)])
+                tokens.append(part)
+                nodes.append(np.full(len(part), node, dtype=np.int64))
+            if not tokens:
+                continue
+            token, node = np.concatenate(tokens), np.concatenate(nodes)
+            ranges = (mix(token | _U(1)) >> _U(64 - bits)).astype(np.int64)
+            order = np.argsort(ranges, kind="stable")
+            token, node, ranges = token[order], node[order], ranges[order]
+            cut = np.searchsorted(ranges, np.arange((1 << bits) + 1))
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([token[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()), pa.array([node[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], names=["range", "tokens", "nodes"])
 
-    def runs(batches):
-        """Rows come sorted by token; a row is sent once its token is seen again."""
+    def count(batches):
         import pyarrow as pa
 
-        last, first, count = None, None, 0
-        for batch in batches:
-            token, node = batch["token"].to_numpy(), batch["node"].to_numpy()
-            if not len(token):
-                continue
+        def solve(parts):
+            token, node = np.frombuffer(b"".join(p[0] for p in parts), dtype=np.int64), np.frombuffer(b"".join(p[1] for p in parts), dtype=np.int64)
+            order = np.lexsort((node, token))
+            token, node = token[order], node[order]
+            fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
+            token, node = token[fresh], node[fresh]
             start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             length = np.diff(np.r_[start, len(token)])
-            place = np.arange(len(token)) - np.repeat(start, length)
-            keep = np.repeat(length > 1, length)
-            extra: list[tuple[int, int, int]] = []
-            if last is not None and token[0] == last:
-                place[: length[0]] += count
-                keep[: length[0]] = True
-                if count == 1:
-                    extra.append((last, first, 0))
-                count += int(length[0])
-                if len(start) > 1:
-                    count = int(length[-1])
-                    first = int(node[start[-1]])
-            else:
-                count, first = int(length[-1]), int(node[start[-1]])
-            last = int(token[-1])
-            t, n, b = token[keep], node[keep], place[keep] // RUN_BLOCK
-            if extra:
-                t, n, b = np.r_[t, extra[0][0]], np.r_[n, extra[0][1]], np.r_[b, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int32())], names=["token", "node", "block"])
+            df = np.repeat(length, length)
+            block = (np.arange(len(token)) - np.repeat(start, length)) // RUN_BLOCK
+            keep = df > 1
+            df, block = df[keep], block[keep]
+            return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(token[keep]), pa.array(df, pa.int64()), pa.array(block, pa.int32()), pa.array(-(-df // RUN_BLOCK), pa.int32())], names=["node", "token", "df", "block", "blocks"])
 
-    spelled = nodes.select("node", "prefix").mapInArrow(spell, "token long, node long")
-    return spelled.repartition("token").sortWithinPartitions("token").mapInArrow(runs, "token long, node long, block int")
+        held, parts = None, []
+        for batch in batches:
+            for r, tokens, nodes in zip(batch["range"].to_pylist(), batch["tokens"].to_pylist(), batch["nodes"].to_pylist(), strict=True):
+                if r != held and parts:
+                    yield solve(parts)
+                    parts = []
+                held = r
+                parts.append((tokens, nodes))
+        if parts:
+            yield solve(parts)
+
+    spreaded = docs.filter("doc_id is not null").select("text").mapInArrow(spread, "range int, tokens binary, nodes binary")
+    return spreaded.repartition("range").sortWithinPartitions("range").mapInArrow(count, "node long, token long, df long, block int, blocks int")
+
+
+def _first_shared(shared: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``shared`` whose token is among its node's first m + 1, rare first; unshared ones come before all."""
+    m = F.col("n") - F.floor((F.col("n") * num + (den - 1)) / F.lit(den)).cast("long")
+    whole = F.col("token").bitwiseAND(F.lit(1).cast("long")) == 1
+    every = Window.partitionBy("node", "whole")
+    ranked = (
+        shared.join(nodes.select("node", "n", "t", "image"), "node")
+        .withColumn("whole", whole)
+        .withColumn("_shared", F.count("*").over(every))
+        .withColumn("_place", F.row_number().over(every.orderBy("df", "token")))
+    )
+    alone = F.when(F.col("whole"), F.col("n")).otherwise(F.col("t")) - F.col("_shared")
+    kept = (~F.col("whole") & (F.col("t") <= m)) | (F.col("_place") <= m + 1 - alone)
+    return ranked.filter(kept).select("token", "block", "blocks", "node", "n", "image")
 
 
 def _pairs_of_blocks(df: DataFrame, blocks: str, block: str) -> DataFrame:
@@ -185,12 +185,9 @@ def _pairs_of_blocks(df: DataFrame, blocks: str, block: str) -> DataFrame:
     return df.withColumn("_other", F.explode(other)).withColumn("half1", F.least(own, "_other")).withColumn("half2", F.greatest(own, "_other")).drop("_other")
 
 
-def _families(nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _families(first: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): edges that connect all nodes that may be similar."""
-    shared = materialize(_shared(nodes), "shared")
-    large = shared.filter(F.col("block") > 0).groupBy("token").agg((F.max("block") + 1).alias("blocks"))
-    split = _pairs_of_blocks(shared.join(large, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "blocks", "block")
-    rows = split.select("token", "half1", "half2", "node").join(nodes.select("node", "n", "image"), "node")
+    rows = _pairs_of_blocks(first, "blocks", "block").select("token", "half1", "half2", "node", "n", "image")
 
     def connect(batches):
         import pyarrow as pa
@@ -247,13 +244,14 @@ def _verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -
     def sets(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices_of(batches, 500):
             found = [s.tobytes() for s in shingle_sets(batch["text"].to_pylist(), k)]
             # a doc_id may stand in several rows; only the row that has the node's set counts
             keep = [i for i, (s, v) in enumerate(zip(found, batch["node"].to_pylist(), strict=True)) if xxhash.xxh64_intdigest(s) - (1 << 63) == v]
             rest = batch.select(["node", "family", "blocks", "block"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([found[i] for i in keep], pa.binary())], names=["node", "family", "blocks", "block", "tokens"])
 
+    slim = slim.filter(maybe_among(wanted, "doc_id")("doc_id"))
     whole = slim.join(wanted, "doc_id").select("text", "node", "family", "blocks", "block").mapInArrow(sets, "node long, family long, blocks int, block int, tokens binary")
     dealt = _pairs_of_blocks(whole, "blocks", "block").repartition("family", "half1", "half2").sortWithinPartitions("family", "half1", "half2", "node")
 
@@ -291,13 +289,15 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     Repeated rows stay; rows of one doc_id with different texts are documents
     of their own. Columns other than doc_id and text are not read.
     """
-    spark = docs.sparkSession
-    cells = count_table(docs, k)
-    classes = spark.sparkContext.broadcast(np.array([int(c).bit_length() for c in cells], dtype=np.uint8))
-    rows = materialize(_describe(docs, k, num, den, classes), "sets")
+    rows = materialize(_describe(docs, k, num, den), "sets")
     real = rows.filter("node is not null and doc_id is not null")
-    nodes = materialize(real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("image").alias("image")), "nodes")
-    families = components(_families(nodes, num, den)).withColumnRenamed("root", "family")
+    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("t").alias("t"), F.first("image").alias("image"))
+    nodes = materialize(nodes, "nodes")
+    # a range has the sampled shingles of some thousand documents
+    bits = int(min(16, max(6, np.ceil(np.log2(max(1, nodes.count() / 1000))))))
+    shared = materialize(_shared(docs, k, num, den, bits), "shared")
+    edges = _families(_first_shared(shared, nodes, num, den), num, den)
+    families = components(edges).withColumnRenamed("root", "family")
     members = materialize(families.join(nodes.select(F.col("node").alias("vertex"), "rep", "n"), "vertex").withColumnRenamed("vertex", "node"), "members")
     linked = materialize(_verified(docs, members, k, num, den), "links")
     cut = members.groupBy("family").agg(F.sum("n").alias("n")).filter(F.col("n") > FAMILY_TOKENS)

@@ -8,8 +8,8 @@ import numpy as np
 import xxhash
 
 _U = np.uint64
-GROUP_CHARS = 2_000_000
-MEMO_WORDS = 400_000
+GROUP_CHARS = 1_000_000
+MEMO_WORDS = 250_000
 
 
 class _Memo(dict):
