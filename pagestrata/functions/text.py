@@ -20,8 +20,13 @@ def expand_ligature(char: Column) -> Column:
     return F.coalesce(F.try_element_at(table, char), char)
 
 
+# Code points that Unicode calls white space.
+BLANKS = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
 def is_blank(text: Column) -> Column:
-    return text.rlike(r"\A[\s  -     　]*\z")
+    """Whether a text has nothing but white space. A single character, the common case, is looked up in a set."""
+    return F.when(F.length(text) == 1, text.isin(*BLANKS)).otherwise(F.length(F.translate(text, "".join(BLANKS), "")) == 0)
 
 
 def contains_rtl(text: Column) -> Column:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cluster_1d(df: DataFrame, by: list[str], value: Column, tolerance: float, out: str = "cluster") -> DataFrame:
+def cluster_1d(df: DataFrame, by: list[str], value: Column, tolerance: float | Column, out: str = "cluster") -> DataFrame:
     """Number clusters of ``value`` in each ``by`` from 0: a new one begins where a value lies more than ``tolerance`` beyond the one before."""
     order = Window.partitionBy(*by).orderBy("_value")
     rows = df.withColumn("_value", value)
-    gap = F.col("_value") > F.lag("_value").over(order) + F.lit(float(tolerance))
+    by_how_much = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
+    gap = F.col("_value") > F.lag("_value").over(order) + by_how_much
     return rows.withColumn("_new", F.when(gap, 1).otherwise(0)).withColumn(out, F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_value", "_new")
 
 

@@ -70,35 +70,45 @@ def _ends(direction: str, row: Column | None = None) -> tuple[Column, Column, Co
     }[direction]
 
 
-def _words_one_way(chars: DataFrame, s: TextSettings, line_dir: str, char_dir: str) -> DataFrame:
-    """Characters with ``order`` (a struct to sort by) and ``word`` (a number in the group); dropped ones are gone."""
+def _either(a: Column, b: Column) -> Column:
+    """The first for upright characters, the second for turned ones."""
+    return F.when(F.col("upright"), a).otherwise(b)
+
+
+def _numbered(chars: DataFrame, s: TextSettings) -> DataFrame:
+    """Characters with ``_at`` (their order in the group) and ``_word``; dropped ones are gone.
+
+    A group has characters of one direction only, so one pass serves both.
+    """
     group = [*PAGE, "_group"]
-    flow = s.use_text_flow
-    if flow:
+    ways = [(s.line_dir, s.char_dir), (s.line_dir_rotated, s.char_dir_rotated)]
+    if s.use_text_flow:
         rows = chars.withColumn("_line", F.lit(0))
         keys: list[Column] = [F.col("seq")]
     else:
-        rows = cluster_1d(chars, group, line_key(line_dir), s.y_tolerance if line_dir in ("ttb", "btt") else s.x_tolerance, "_line")
-        keys = [F.col("_line"), *char_keys(char_dir), F.col("seq")]
+        tolerance = _either(*[F.lit(float(s.y_tolerance if line in ("ttb", "btt") else s.x_tolerance)) for line, _ in ways])
+        rows = cluster_1d(chars, group, _either(*[line_key(line) for line, _ in ways]), tolerance, "_line")
+        pairs = [char_keys(c) for _, c in ways]
+        keys = [F.col("_line"), *[_either(x, y) for x, y in zip(*pairs, strict=True)], F.col("seq")]
     order = Window.partitionBy(*group).orderBy(*keys)
-    start, end, across = _ends(char_dir)
-    along_tol, across_tol = (s.x_tolerance, s.y_tolerance) if char_dir in ("ltr", "rtl") else (s.y_tolerance, s.x_tolerance)
-    along_ratio = s.x_tolerance_ratio if char_dir in ("ltr", "rtl") else s.y_tolerance_ratio
-    across_ratio = s.y_tolerance_ratio if char_dir in ("ltr", "rtl") else s.x_tolerance_ratio
+    ends = [_ends(c) for _, c in ways]
+    start, end, across = (_either(x, y) for x, y in zip(*ends, strict=True))
     before = lambda c: F.lag(c).over(order)
-    size = before(F.col("size"))
-    along = size * along_ratio if along_ratio is not None else F.lit(float(along_tol))
-    sideways = size * across_ratio if across_ratio is not None else F.lit(float(across_tol))
+
+    def reach(char_dir: str, along: bool) -> Column:
+        flat = (char_dir in ("ltr", "rtl")) == along
+        ratio, plain = (s.x_tolerance_ratio, s.x_tolerance) if flat else (s.y_tolerance_ratio, s.y_tolerance)
+        return before(F.col("size")) * ratio if ratio is not None else F.lit(float(plain))
+
+    along, sideways = (_either(*[reach(c, k) for _, c in ways]) for k in (True, False))
     blank = is_blank(F.col("text")) if not s.keep_blank_chars else F.lit(False)
     mark = F.instr(F.lit(s.punctuation), F.col("text")) > 0 if s.punctuation else F.lit(False)
     apart = (start < before(start)) | (start > before(end) + along) | (F.abs(across - before(across)) > sideways)
-    first = F.lag(F.lit(1)).over(order).isNull()
-    new_line = F.col("_line") != before(F.col("_line"))
     rows = rows.withColumn("_blank", blank).withColumn("_mark", mark)
-    brk = first | F.col("_blank") | F.col("_mark") | before(F.col("_blank")) | before(F.col("_mark")) | new_line | apart
-    rows = rows.withColumn("_brk", F.when(F.coalesce(brk, F.lit(True)), 1).otherwise(0))
+    brk = F.col("_blank") | F.col("_mark") | before(F.col("_blank")) | before(F.col("_mark")) | (F.col("_line") != before(F.col("_line"))) | apart
+    rows = rows.withColumn("_brk", F.when(F.coalesce(brk, F.lit(True)), 1).otherwise(0)).withColumn("_at", F.row_number().over(order))
     number = F.sum("_brk").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_word", number).withColumn("_at", F.row_number().over(order)).filter(~F.col("_blank")).withColumn("direction", F.lit(char_dir))
+    return rows.withColumn("_word", number).filter(~F.col("_blank")).withColumn("direction", _either(F.lit(s.char_dir), F.lit(s.char_dir_rotated)))
 
 
 def _grouped(chars: DataFrame, s: TextSettings) -> DataFrame:
@@ -113,10 +123,7 @@ def _grouped(chars: DataFrame, s: TextSettings) -> DataFrame:
 def word_chars(chars: DataFrame, settings: TextSettings | None = None) -> DataFrame:
     """Characters of words, with _group, _word, _at (order in the group) and direction."""
     s = settings or TextSettings()
-    rows = _grouped(chars, s)
-    upright = _words_one_way(rows.filter("upright"), s, s.line_dir, s.char_dir)
-    turned = _words_one_way(rows.filter("not upright"), s, s.line_dir_rotated, s.char_dir_rotated)
-    return upright.unionByName(turned)
+    return _numbered(_grouped(chars, s), s)
 
 
 def extract_words(chars: DataFrame, settings: TextSettings | None = None) -> DataFrame:
