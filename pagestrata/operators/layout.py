@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .words import PAGE
 
-LINE = "doc_id long, page_no int, line int, text string, x0 double, y0 double, x1 double, y1 double, vertical boolean, box int, box_index int"
+LINE = "page_no int, line int, text string, x0 double, y0 double, x1 double, y1 double, vertical boolean, box int, box_index int"
 
 
 @dataclass(frozen=True)
@@ -182,7 +182,8 @@ def layout_boxes(lines: DataFrame, settings: LayoutSettings | None = None) -> Da
         pdf.loc[full, "box_index"] = [order[number[g]] for g in group_of]
         return pdf[["doc_id", "page_no", "line", "text", "x0", "y0", "x1", "y1", "vertical", "box", "box_index"]]
 
-    return rows.groupBy(*PAGE).applyInPandas(group, LINE)
+    key = rows.schema["doc_id"].dataType.simpleString()
+    return rows.groupBy(*PAGE).applyInPandas(group, f"doc_id {key}, {LINE}")
 
 
 def page_text(boxed: DataFrame) -> DataFrame:
