@@ -8,6 +8,9 @@ are fitted with a larger weight on the error parallel to the vector (Guo et al.,
 candidates are reranked by the exact cosine of the original vectors.
 
 The codebooks are fitted on a bounded sample (SAMPLE); every vector is indexed.
+How many cells a query probes is measured: the true neighbours of a bounded
+sample of the queries are found by brute force over all vectors, and as many
+cells are probed as hold the share TARGET of them, all cells if it takes that.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ CELL_ROWS = 512
 MOST_CELLS = 1024
 WORDS = 16
 WEIGHT = 4.0
-#: Candidates of a cell that are reranked exactly for a query.
+#: The least share of true neighbours in probed cells, and the most queries it is measured on.
+TARGET = 0.95
+TRIALS = 256
+#: Candidates of a cell, on average, that are reranked exactly for a query.
 RERANK = 24
-#: The most rows of a cell that a task holds.
-CELL_BLOCK = 8192
+#: The most numbers in the vectors that a task holds, and the blocks of cells that a large table is cut into at least.
+BLOCK_VALUES = 1 << 23
+LEAST_BLOCKS = 32
 
 
 @dataclass
@@ -111,15 +118,15 @@ def encode(book: Codebook, x: np.ndarray, weight: float = WEIGHT) -> tuple[np.nd
     return own, codes[:, ::2] | codes[:, 1::2] << 4
 
 
-def scan(book: Codebook, cell: int, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """Approximate inner products (queries x codes) from tables of 256 sums, one for each byte of two codes."""
+def scan(book: Codebook, cell: np.ndarray, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Approximate inner products (queries x codes, of a cell each) from tables of 256 sums, one for each byte of two codes."""
     pad = book.subspaces * book.width - book.dim
     q = np.pad(queries, ((0, 0), (0, pad))).reshape(len(queries), book.subspaces, book.width)
     table = np.einsum("qsw,skw->qsk", q, book.words).astype(np.float32)
     if book.subspaces % 2:
         table = np.pad(table, ((0, 0), (0, 1), (0, 0)))
     pairs = (table[:, 1::2, :, None] + table[:, ::2, None, :]).reshape(len(queries), packed.shape[1], 256)
-    out = np.repeat((queries @ book.cells[cell]).astype(np.float32)[:, None], len(packed), axis=1)
+    out = (queries @ book.cells.T).astype(np.float32)[:, cell]
     for b in range(packed.shape[1]):
         out += pairs[:, b][:, packed[:, b]]
     return out
@@ -146,11 +153,65 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cells_for(rows: int) -> tuple[int, int]:
-    """Number of cells and of probed ones for an index of so many rows."""
+    """Number of cells, and the least of probed ones, for an index of so many rows."""
     cells = max(1, min(MOST_CELLS, rows // CELL_ROWS))
     return cells, min(cells, int(np.ceil(4 * np.sqrt(cells))))
 
 
+def _cell_order(cells: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All cells of each vector, the nearest first."""
+    return np.argsort(-(x @ cells.T), axis=1, kind="stable")
+
+
+def probes_for(indexed: DataFrame, asked: DataFrame, cells: np.ndarray, k: int, least: int) -> int:
+    """The least number of probed cells, ``least`` at least, that hold the share TARGET of the true k neighbours of sampled queries."""
+    if least >= len(cells):
+        return len(cells)
+    got = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).select("vec_id", "v").toArrow()
+    if not got.num_rows:
+        return least
+    own, q = got["vec_id"].to_numpy(), _unit(_matrix(got["v"].combine_chunks()))
+    shared = indexed.sparkSession.sparkContext.broadcast((own, q, np.argsort(_cell_order(cells, q), axis=1)))
+
+    def brute(batches):
+        """The k best of a partition's rows for each sampled query, with the place of their cell in the query's order."""
+        import pyarrow as pa
+
+        own, q, place = shared.value
+        best = [np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)]
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch["id"].to_numpy()
+                score = q @ _unit(_matrix(batch["v"])).T
+                score[own[:, None] == ids[None, :]] = -np.inf
+                every = [score, np.broadcast_to(ids, score.shape), place[:, batch["cell"].to_numpy()]]
+                every = [np.concatenate(x, axis=1) for x in zip(best, every, strict=True)]
+                top = np.argpartition(-every[0], min(k, every[0].shape[1]) - 1, axis=1)[:, :k]
+                best = [np.take_along_axis(x, top, axis=1) for x in every]
+        keep = np.isfinite(best[0])
+        name = np.broadcast_to(np.arange(len(q))[:, None], keep.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (name, *best)], names=["q", "score", "id", "place"])
+
+    found = indexed.select("cell", "id", "v").mapInArrow(brute, "q long, score double, id long, place long")
+    true = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= k)
+    places = np.sort(true.select("place").toArrow()["place"].to_numpy())
+    if not len(places):
+        return least
+    return max(least, int(places[int(np.ceil(TARGET * len(places))) - 1]) + 1)
+
+
+def _blocks(counts: dict[int, int], rows: int) -> list[tuple[int, int, int]]:
+    """(cell, first block, blocks): small cells share a block of about ``rows``, a larger one is cut."""
+    out, at, size = [], 0, 0
+    for cell, n in sorted(counts.items()):
+        if size and size + n > rows:
+            at, size = at + 1, 0
+        cut = -(-n // rows)
+        out.append((cell, at, cut))
+        at, size = (at, size + n) if cut == 1 else (at + cut, 0)
+    return out
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` (like ``vectors``) its k nearest found by cosine, itself left out.
 
@@ -171,7 +232,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
     got = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
     if not rows:
         return empty
-    cells, probes = cells_for(rows)
+    cells, least = cells_for(rows)
     book = spark.sparkContext.broadcast(fit_codebook(_unit(_matrix(got["v"].combine_chunks())), cells))
 
     def index(batches):
@@ -182,60 +243,76 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
                 own, codes = encode(book.value, _unit(_matrix(batch["v"])))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch["vec_id"], pa.array([c.tobytes() for c in codes], pa.binary()), batch["v"]], names=["cell", "id", "codes", "v"])
 
+    indexed = materialize(base.mapInArrow(index, "cell int, id long, codes binary, v array<double>"), "index")
+    asked = usable(queries, sizes[0]["n"])
+    probes = probes_for(indexed, asked, book.value.cells, k, min(least, len(book.value.cells)))
+    counts = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}  # MOST_CELLS rows at most
+    size = max(1, min(BLOCK_VALUES // sizes[0]["n"], max(4 * CELL_ROWS, -(-rows // LEAST_BLOCKS))))
+    blocks = _blocks(counts, size)
+    among = np.zeros((len(book.value.cells), blocks[-1][1] + blocks[-1][2]), dtype=np.float32)
+    for cell, first, n in blocks:
+        among[cell, first : first + n] = 1
+
     def probe(batches):
+        """Each query once for each block that has rows of a probed cell."""
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
                 x = _unit(_matrix(batch["v"]))
-                n = min(probes, len(book.value.cells))
-                best = np.argsort(-(x @ book.value.cells.T), axis=1, kind="stable")[:, :n]
-                take = pa.array(np.repeat(np.arange(len(x)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel(), pa.int32()), batch["h"].take(take), batch["v"].take(take)], names=["cell", "id", "v"])
+                probed = np.zeros((len(x), len(among)), dtype=np.float32)
+                np.put_along_axis(probed, _cell_order(book.value.cells, x)[:, :probes], 1, axis=1)
+                take, block = np.nonzero(probed @ among > 0)
+                for s in range(0, len(take), 4096):
+                    of = pa.array(take[s : s + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(block[s : s + 4096], pa.int32()), batch["h"].take(of), batch["v"].take(of)], names=["block", "id", "v"])
 
-    indexed = materialize(base.mapInArrow(index, "cell int, id long, codes binary, v array<double>"), "index")
-    blocks = indexed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("blocks"))
-    asked = usable(queries, sizes[0]["n"])
     once = asked.groupBy("h").agg(F.first("v").alias("v"))
-    probed = once.mapInArrow(probe, "cell int, id long, v array<double>")
-    data = indexed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "codes", "v")
-    lookups = probed.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", F.lit(None).cast("binary").alias("codes"), "v")
-    dealt = data.unionByName(lookups).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind", "id")
+    where = F.broadcast(spark.createDataFrame(blocks, "cell int, first int, blocks int"))
+    data = indexed.join(where, "cell").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int").alias("block"), F.lit(0).alias("kind"), "cell", "id", "codes", "v")
+    lookups = once.mapInArrow(probe, "block int, id long, v array<double>").select("block", F.lit(1).alias("kind"), F.lit(-1).alias("cell"), "id", F.lit(None).cast("binary").alias("codes"), "v")
+    dealt = data.unionByName(lookups).repartition(min(among.shape[1], 1024), "block").sortWithinPartitions("block", "kind", "cell", "id")
 
     def search(batches):
-        """Rows of a cell block come first (bounded by CELL_BLOCK or so), then its queries, batch after batch."""
+        """Rows of a block come first (bounded by BLOCK_VALUES or so), then its queries, batch after batch."""
         import pyarrow as pa
 
         key, parts, held = None, [], None
         for batch in batches:
-            where = np.stack([batch["cell"].to_numpy(), batch["block"].to_numpy(), batch["kind"].to_numpy()], axis=1)
+            where = np.stack([batch["block"].to_numpy(), batch["kind"].to_numpy()], axis=1)
             cut = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), len(where)]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if a == b:
                     continue
-                cell, block, kind = where[a].tolist()
-                if (cell, block) != key:
-                    key, parts, held = (cell, block), [], None
+                block, kind = where[a].tolist()
+                if block != key:
+                    key, parts, held = block, [], None
                 rows_ = batch.slice(a, b - a)
                 if kind == 0:
-                    parts.append((rows_["id"].to_numpy(), np.frombuffer(b"".join(rows_["codes"].to_pylist()), dtype=np.uint8).reshape(b - a, -1), _matrix(rows_["v"])))
+                    parts.append((rows_["id"].to_numpy(), np.frombuffer(b"".join(rows_["codes"].to_pylist()), dtype=np.uint8).reshape(b - a, -1), rows_["cell"].to_numpy(), _unit(_matrix(rows_["v"]))))
                     continue
                 if not parts:
                     continue
                 if held is None:
-                    held = [np.concatenate([p[i] for p in parts]) for i in range(3)]
-                    held[2] = _unit(held[2])
-                ids, codes, x = held
+                    held = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+                    parts = [()]
+                ids, codes, own, x = held
                 q_all, name_all = _unit(_matrix(rows_["v"])), rows_["id"].to_numpy()
-                for s in range(0, len(q_all), 128):
-                    q, name = q_all[s : s + 128], name_all[s : s + 128]
-                    rough = scan(book.value, cell, q, codes)
-                    n = min(RERANK, len(ids))
+                for s in range(0, len(q_all), 32):
+                    q, name = q_all[s : s + 32], name_all[s : s + 32]
+                    rough = scan(book.value, own, q, codes)
+                    if probes < len(book.value.cells):
+                        outside = np.ones((len(q), len(book.value.cells)), dtype=bool)
+                        np.put_along_axis(outside, _cell_order(book.value.cells, q)[:, :probes], False, axis=1)
+                        rough[outside[:, own]] = -np.inf
+                    n = min(RERANK * len(np.unique(own)), len(ids))
                     top = np.argpartition(-rough, n - 1, axis=1)[:, :n]
                     exact = (x[top] * q[:, None, :]).sum(axis=2)
+                    exact[np.isneginf(np.take_along_axis(rough, top, axis=1))] = -np.inf
                     order = np.lexsort((ids[top], -exact), axis=1)[:, : k + 1]
-                    best = np.take_along_axis(top, order, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(exact, order, axis=1).ravel())], names=["h", "vec_id", "score"])
+                    best, score = np.take_along_axis(top, order, axis=1), np.take_along_axis(exact, order, axis=1)
+                    keep = np.isfinite(score)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(name[:, None], keep.shape)[keep]), pa.array(ids[best][keep]), pa.array(score[keep])], names=["h", "vec_id", "score"])
 
     found = dealt.mapInArrow(search, "h long, vec_id long, score double")
     ranked = Window.partitionBy("h").orderBy(F.desc("score"), "vec_id")

@@ -117,3 +117,25 @@ def test_automaton_states_sum_to_one(spark):
         before = score(seq, logs) if seq else 0.0
         total = sum(10 ** (score([*seq, k], [*logs, base[w]]) - before) for w, k in number.items()) + 10 ** (score([*seq, lm.OTHER], [*logs, unknown]) - before)
         assert math.isclose(total, 1.0, rel_tol=1e-9)
+
+
+def found_share(spark, x, step, k=5):
+    """The share of the true neighbours of every ``step``-th row that are found."""
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    by = collections.defaultdict(set)
+    for r in ann.nearest(v, v.filter(F.col("vec_id") % step == 0), k).collect():
+        by[r["query_id"]].add(r["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, len(x), step):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(by[q] & set(np.argsort(-s)[:k].tolist()))
+    return hit / (k * len(range(0, len(x), step)))
+
+
+def test_nearest_probes_enough_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 16)
+    x = np.random.default_rng(5).normal(size=(6000, 64))
+    assert ann.cells_for(6000)[1] < ann.cells_for(6000)[0]
+    assert found_share(spark, x, 60) >= 0.9
