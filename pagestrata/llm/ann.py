@@ -4,8 +4,10 @@ Vectors are normalised, so the largest inner product is the largest cosine.
 They are assigned to the cells of a coarse codebook; residuals are coded in
 subspaces of two dimensions with 16 codewords each (four bits), and codewords
 are fitted with a larger weight on the error parallel to the vector (Guo et al.,
-2020). A query scans the codes of its nearest cells by table lookups, the best
-candidates are reranked by the exact cosine of the original vectors.
+2020). A query scans the codes of its nearest cells by table lookups. A score
+is off by no more than the length of the vector's quantisation error, so all
+candidates that may be among the best by that bound are reranked by the exact
+cosine of the original vectors, and nothing in the probed cells is lost.
 
 The codebooks are fitted on a bounded sample (SAMPLE); every vector is indexed.
 How many cells a query probes is measured: the true neighbours of a bounded
@@ -33,8 +35,11 @@ WEIGHT = 4.0
 #: The least share of true neighbours in probed cells, and the most queries it is measured on.
 TARGET = 0.95
 TRIALS = 256
-#: Candidates of a cell, on average, that are reranked exactly for a query.
+#: Candidates of a block that are reranked first for a query, for a bound on the others; pairs reranked at once.
 RERANK = 24
+PAIRS = 1 << 15
+#: Added to the bound for the rounding of the scan's single precision.
+ROUNDING = 1e-4
 #: The most numbers in the vectors that a task holds, and the blocks of cells that a large table is cut into at least.
 BLOCK_VALUES = 1 << 23
 LEAST_BLOCKS = 32
@@ -132,6 +137,13 @@ def scan(book: Codebook, cell: np.ndarray, queries: np.ndarray, packed: np.ndarr
     return out
 
 
+def errors(book: Codebook, cell: np.ndarray, x: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Lengths of the quantisation errors of unit vectors x, which bound the error of their scanned scores for any unit query."""
+    codes = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(x), -1)[:, : book.subspaces]
+    guess = np.concatenate([book.words[s][codes[:, s]] for s in range(book.subspaces)], axis=1)[:, : book.dim]
+    return np.sqrt(((x - book.cells[cell] - guess) ** 2).sum(axis=1))
+
+
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
     """vec_id, v (doubles), h (a hash of v); null, zero, non-finite vectors and those not of length ``dim`` are left out."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -296,7 +308,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
                 if held is None:
                     held = [np.concatenate([p[i] for p in parts]) for i in range(4)]
                     parts = [()]
-                ids, codes, own, x = held
+                    held.append((errors(book.value, held[2], held[3], held[1]) + ROUNDING).astype(np.float32))
+                ids, codes, own, x, slack = held
                 q_all, name_all = _unit(_matrix(rows_["v"])), rows_["id"].to_numpy()
                 for s in range(0, len(q_all), 32):
                     q, name = q_all[s : s + 32], name_all[s : s + 32]
@@ -305,14 +318,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
                         outside = np.ones((len(q), len(book.value.cells)), dtype=bool)
                         np.put_along_axis(outside, _cell_order(book.value.cells, q)[:, :probes], False, axis=1)
                         rough[outside[:, own]] = -np.inf
-                    n = min(RERANK * len(np.unique(own)), len(ids))
+                    n = min(max(RERANK, k + 1), len(ids))
                     top = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                    exact = (x[top] * q[:, None, :]).sum(axis=2)
-                    exact[np.isneginf(np.take_along_axis(rough, top, axis=1))] = -np.inf
-                    order = np.lexsort((ids[top], -exact), axis=1)[:, : k + 1]
-                    best, score = np.take_along_axis(top, order, axis=1), np.take_along_axis(exact, order, axis=1)
-                    keep = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(name[:, None], keep.shape)[keep]), pa.array(ids[best][keep]), pa.array(score[keep])], names=["h", "vec_id", "score"])
+                    first = (x[top] * q[:, None, :]).sum(axis=2)
+                    first[np.isneginf(np.take_along_axis(rough, top, axis=1))] = -np.inf
+                    floor = np.sort(first, axis=1)[:, -(k + 1)] if n > k else np.full(len(q), -np.inf)
+                    rough += slack
+                    of, at = np.nonzero((rough >= floor[:, None]) & np.isfinite(rough))
+                    exact = np.concatenate([np.zeros(0), *((x[at[p : p + PAIRS]] * q[of[p : p + PAIRS]]).sum(axis=1) for p in range(0, len(at), PAIRS))])
+                    keep = exact >= floor[of] - 1e-9
+                    of, at, exact = of[keep], at[keep], exact[keep]
+                    order = np.lexsort((ids[at], -exact, of))
+                    of, at, exact = of[order], at[order], exact[order]
+                    keep = np.arange(len(of)) - np.searchsorted(of, of) <= k
+                    yield pa.RecordBatch.from_arrays([pa.array(name[of[keep]]), pa.array(ids[at[keep]]), pa.array(exact[keep])], names=["h", "vec_id", "score"])
 
     found = dealt.mapInArrow(search, "h long, vec_id long, score double")
     ranked = Window.partitionBy("h").orderBy(F.desc("score"), "vec_id")

@@ -139,3 +139,9 @@ def test_nearest_probes_enough_of_many_cells(spark, monkeypatch):
     x = np.random.default_rng(5).normal(size=(6000, 64))
     assert ann.cells_for(6000)[1] < ann.cells_for(6000)[0]
     assert found_share(spark, x, 60) >= 0.9
+
+
+def test_nearest_among_near_copies(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(3, 32)), 700, axis=0) + 0.01 * rng.normal(size=(2100, 32))
+    assert found_share(spark, x, 60) >= 0.9
