@@ -9,10 +9,16 @@ The model interpolates nothing at run time: it is a trigram automaton. Its
 states are contexts (none, a word, two words), arcs carry discounted
 log-probabilities, and a failure arc leads from a context to the next shorter
 one with the log of its backoff weight, which makes each state's probabilities
-sum to one. Words of the automaton are the most frequent VOCABULARY ones and
-its bigrams and trigrams those of least count that keep it within ARCS; any
-other word is scored by the smoothed unigram after the failure arcs. The text
-is read once from left to right, carrying the state.
+sum to one. Every bigram and trigram that stands LEAST_COUNT times or more in
+the training texts has an arc, however many there are; any other word is scored
+by the smoothed unigram after the failure arcs. The text is read once from left
+to right, carrying the state.
+
+No process holds the automaton. Like the words, n-grams are summed by ranges of
+a 64-bit hash and every chunk gets back the counts of its own; one chunk of
+those that have an n-gram is its owner and adds its arc to the sums of its
+context, which go the same way. So a chunk has the part of the automaton that
+its texts can reach, whose size is bounded by that of the chunk.
 """
 
 from __future__ import annotations
@@ -26,9 +32,7 @@ from pyspark.sql import functions as F
 from .common import id_remainder, materialize
 from .shingles import word_hashes, words_of
 
-#: Sizes of the automaton, which is sent to all executors.
-VOCABULARY = 1 << 16
-ARCS = 1 << 20
+#: The least training count of a bigram or trigram with an arc.
 LEAST_COUNT = 2
 DISCOUNT = 0.5
 ADD = 0.1
@@ -36,7 +40,9 @@ CHUNK_WORDS = 1_000_000
 _U = np.uint64
 #: Stands for the end of a text; no word has this hash but by a chance of 2**-64.
 END_HASH = _U(0xE4D0E4D0E4D0E4D1)
-START, OTHER = VOCABULARY, VOCABULARY + 1
+START_HASH = _U(0x57A257A257A257A3)
+#: Numbers of the start and of words that an automaton does not have.
+START, OTHER = -2, -1
 
 CODED = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, words binary, codes binary"
 
@@ -69,7 +75,7 @@ def code_documents(docs: DataFrame) -> DataFrame:
                     pa.array([held], pa.list_(pa.bool_())),
                     pa.array([lengths], pa.list_(pa.int32())),
                     pa.array([words.tobytes()], pa.binary()),
-                    pa.array([codes.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([_planes(codes.astype("<u4"))], pa.binary()),
                 ],
                 names=["chunk", "doc_ids", "held", "lengths", "words", "codes"],
             )
@@ -92,7 +98,7 @@ def code_documents(docs: DataFrame) -> DataFrame:
 
 def _training_tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of a chunk, the text number of each, and whether its text is for training."""
-    codes = np.frombuffer(row["codes"], dtype="<u4").astype(np.int64)
+    codes = _from_planes(row["codes"], "<u4").astype(np.int64)
     lengths = np.array(row["lengths"], dtype=np.int64)
     of = np.repeat(np.arange(len(lengths)), lengths)
     return codes, of, ~np.array(row["held"], dtype=bool)[of]
@@ -111,8 +117,8 @@ def _rows(batches):
 def count_words(coded: DataFrame, bits: int) -> DataFrame:
     """chunk, range, counts: for the words of a chunk in a hash range, in their order, the training count in all texts.
 
-    Further rows with chunk -1 have the range's own figures: its number of
-    training words, and its most frequent ones (hashes and counts).
+    Further rows with chunk -1 have the range's own figures: its numbers of
+    distinct training words and of training words.
     """
 
     ranges = 1 << bits
@@ -147,19 +153,16 @@ def count_words(coded: DataFrame, bits: int) -> DataFrame:
             total = np.zeros(len(every), dtype=np.int64)
             np.add.at(total, place, given)
             back = np.split(total[place], np.cumsum([len(w) for w in words])[:-1])
-            top = np.lexsort((every, -total))[:VOCABULARY]
-            top = top[total[top] > 0]
             chunk = [r["chunk"] for r in rows] + [-1]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(chunk, pa.int64()),
                     pa.array([rows[0]["range"]] * len(chunk), pa.int32()),
-                    pa.array([b.astype("<i8").tobytes() for b in back] + [total[top].tobytes()], pa.binary()),
-                    pa.array([None] * len(rows) + [every[top].tobytes()], pa.binary()),
+                    pa.array([_planes(b.astype("<i8")) for b in back] + [None], pa.binary()),
                     pa.array([None] * len(rows) + [int((total > 0).sum())], pa.int64()),
                     pa.array([None] * len(rows) + [int(total.sum())], pa.int64()),
                 ],
-                names=["chunk", "range", "counts", "words", "distinct", "tokens"],
+                names=["chunk", "range", "counts", "distinct", "tokens"],
             )
 
         held = []
@@ -173,7 +176,7 @@ def count_words(coded: DataFrame, bits: int) -> DataFrame:
 
     asked = coded.mapInArrow(ask, "chunk long, range int, words binary, counts binary")
     dealt = asked.repartition("range").sortWithinPartitions("range", "chunk")
-    return materialize(dealt.mapInArrow(answer, "chunk long, range int, counts binary, words binary, distinct long, tokens long"), "counts")
+    return materialize(dealt.mapInArrow(answer, "chunk long, range int, counts binary, distinct long, tokens long"), "counts")
 
 
 @dataclass
@@ -183,7 +186,7 @@ class Automaton:
     words: np.ndarray  # sorted hashes
     bigrams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     bigram_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    word_fail: np.ndarray = field(default_factory=lambda: np.zeros(VOCABULARY + 2))
+    word_fail: np.ndarray = field(default_factory=lambda: np.zeros(2))  # START and OTHER stand at the end
     trigrams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     trigram_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
     pair_fail: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -195,6 +198,10 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, at, OTHER)
 
+    def arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Keys of arcs from a word (START is one) or from a bigram's place."""
+        return (state + 2) * (len(self.words) + 2) + word + 2
+
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places in sorted keys, or -1."""
@@ -204,156 +211,251 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _pair(a, b):
-    return a * (VOCABULARY + 2) + b
+def _histories(numbers: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words one and two before each token; START before a text's first one, OTHER before that."""
+    first = np.r_[True, of[1:] != of[:-1]]
+    one = np.r_[START, numbers[:-1]]
+    one[first] = START
+    two = np.r_[OTHER, one[:-1]]
+    two[first] = OTHER
+    return one, two
 
 
-def _count_keys(coded: DataFrame, key, name: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact counts over all training texts of the n-gram keys that ``key(row)`` gives; those of at least LEAST_COUNT, the
-    most frequent up to ARCS (all of a count or none), collected: at most ARCS pairs of numbers."""
+def _extend(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of all words but the last, and of the last."""
+    with np.errstate(over="ignore"):
+        x = (keys ^ (keys >> _U(29))) * _U(0x9E3779B97F4A7C15) + words
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
-    def local(batches):
-        import pyarrow as pa
 
-        for row in _rows(batches):
-            keys, counts = np.unique(key(row), return_counts=True)
-            ranges = ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
-            order = np.argsort(ranges, kind="stable")
-            keys, counts, ranges = keys[order], counts[order], ranges[order]
-            cut = np.searchsorted(ranges, np.arange((1 << bits) + 1))
-            some = np.flatnonzero(np.diff(cut)).tolist()
-            sent = counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<i8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([keys[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()), pa.array([sent[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())],
-                names=["range", "keys", "counts"],
-            )
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers with all first bytes first: small or sorted ones compress well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+ASKED = "chunk long, kind int, range int, keys binary, one binary, two binary"
+
+
+def _ask(chunk: int, kind: int, keys: np.ndarray, one: np.ndarray, two: np.ndarray | None, bits: int):
+    """Rows by hash range of a chunk's keys with one or two numbers each; answers come back in the order of the keys."""
+    import pyarrow as pa
+
+    order = np.argsort(keys, kind="stable")
+    keys, one, two = keys[order], one[order], None if two is None else two[order]
+    cut = np.searchsorted(keys >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=_U))
+    some = np.flatnonzero(np.diff(cut)).tolist()
+    part = lambda x: pa.array([None if x is None else _planes(x[cut[r] : cut[r + 1]]) for r in some], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk] * len(some), pa.int64()), pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), part(keys), part(one), part(two)],
+        names=["chunk", "kind", "range", "keys", "one", "two"],
+    )
+
+
+def _answer(asked: DataFrame, name: str) -> DataFrame:
+    """chunk, kind, range, one: for each row of ``asked`` what follows from the sums of its keys' numbers over all chunks.
 
-    def total(batches):
+    Where only one number is given it is a count; its sum is doubled, and one is added for the first chunk, the owner.
+    Two are those of ``_fail``, whose value is given back.
+    """
+
+    def solve(rows):
         import pyarrow as pa
 
-        def solve(rows):
-            keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.int64) for r in rows])
-            counts = np.concatenate([np.frombuffer(r["counts"], dtype="<u2" if len(r["counts"]) * 4 == len(r["keys"]) else "<i8").astype(np.int64) for r in rows])
-            every, place = np.unique(keys, return_inverse=True)
-            summed = np.bincount(place, weights=counts, minlength=len(every)).astype(np.int64)
-            keep = summed >= LEAST_COUNT
-            return pa.RecordBatch.from_arrays([pa.array([every[keep].tobytes()], pa.binary()), pa.array([summed[keep].tobytes()], pa.binary())], names=["keys", "counts"])
+        keys = [_from_planes(r["keys"], "<u8") for r in rows]
+        cut = np.cumsum([len(k) for k in keys])[:-1]
+        every, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
 
+        def total(column, kind):
+            given = np.concatenate([_from_planes(r[column], kind) for r in rows])
+            out = np.zeros(len(every), dtype=kind)
+            np.add.at(out, place, given)
+            return out[place]
+
+        if rows[0]["two"] is None:
+            one = 2 * total("one", "<i8")
+            one[first] += 1
+        else:
+            one = _fail(total("one", "<f8"), total("two", "<f8"))
+        ints = lambda k: pa.array([r[k] for r in rows], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), ints("kind"), ints("range"), pa.array([_planes(x) for x in np.split(one, cut)], pa.binary())], names=["chunk", "kind", "range", "one"])
+
+    def answer(batches):
+        """All rows of a range come together; what is held is their keys and numbers."""
         held = []
         for row in _rows(batches):
-            if held and held[0]["range"] != row["range"]:
+            if held and (held[0]["kind"], held[0]["range"]) != (row["kind"], row["range"]):
                 yield solve(held)
                 held = []
             held.append(row)
         if held:
             yield solve(held)
 
-    def tally(batches):
-        import pyarrow as pa
+    dealt = asked.repartition("kind", "range").sortWithinPartitions("kind", "range", "chunk")
+    return materialize(dealt.mapInArrow(answer, "chunk long, kind int, range int, one binary"), name)
+
+
+#: Kinds of answers.
+WORD, BIGRAM, HISTORY, TRIGRAM, PAIR = 1, 2, 3, 4, 5
+
+
+class Part:
+    """A chunk's part of the automaton, as far as answers to its questions have come."""
+
+    def __init__(self, row: dict, n: int = 0, v: int = 0):
+        self.row, self.n, self.v = row, n, v
+        self.words = np.frombuffer(row["words"], dtype=_U)
+        self.codes, self.of, self.train = _training_tokens(row)
+        one, two = _histories(self.codes, self.of)
+        self.model = Automaton(self.words)
+        self.keys, self.pair = np.unique(self.model.arc(one, self.codes), return_inverse=True)
+        self.history, self.word = self.keys // (len(self.words) + 2) - 2, self.keys % (len(self.words) + 2) - 2
+        self.third = np.flatnonzero(two != OTHER)
+
+    def hashes(self) -> np.ndarray:
+        """Of the bigrams."""
+        return _extend(np.where(self.history == START, START_HASH, self.words[self.history]), self.words[self.word])
+
+    def ask_bigrams(self, bits: int):
+        count = np.bincount(self.pair[self.train], minlength=len(self.keys)).astype("<i8")
+        return _ask(self.row["chunk"], BIGRAM, self.hashes(), count, None, bits)
+
+    def take(self, answers: dict[int, list[dict]]) -> None:
+        got = lambda k, t: np.concatenate([np.zeros(0, t), *(_from_planes(r["one"], t) for r in answers.get(k, []))])
+        back = lambda keys, x: x[np.argsort(np.argsort(keys, kind="stable"), kind="stable")]
+        self.counts = got(WORD, "<i8")
+        self.unigram = (self.counts + ADD) / (self.n + ADD * (self.v + 1))
+        hashes = self.hashes()
+        total = back(hashes, got(BIGRAM, "<i8"))
+        kept = total >> 1 >= LEAST_COUNT
+        end = int(np.searchsorted(self.words, END_HASH))  # the end's count is that of the training texts
+        of_history = np.where(self.history == START, self.counts[end], self.counts[self.history])
+        place = np.where(kept, np.cumsum(kept) - 1, -1)
+        self.pairs, self.owned, count = hashes[kept], (total & 1 == 1)[kept], (total >> 1)[kept]
+        self.history, self.word = self.history[kept], self.word[kept]
+        self.share = (count - DISCOUNT) / np.maximum(of_history[kept], count)
+        self.model.bigrams, self.model.bigram_log = self.keys[kept], np.log10(self.share)
+        # trigrams of kept bigrams only: a trigram is no more frequent than its parts
+        state, last = place[self.pair[self.third - 1]], place[self.pair[self.third]]
+        ok = (state >= 0) & (last >= 0)
+        self.keys3, of = np.unique(state[ok] * max(1, len(count)) + last[ok], return_inverse=True)
+        self.count3 = np.bincount(of[self.train[self.third[ok]]], minlength=len(self.keys3)).astype("<i8")
+        self.state, self.lower = self.keys3 // max(1, len(count)), self.keys3 % max(1, len(count))
+        self.hashes3 = _extend(self.pairs[self.state], self.words[self.word[self.lower]])
+        # words that stand often enough to be a context, and the start
+        self.often = np.r_[np.flatnonzero(self.counts >= LEAST_COUNT), START]
+        self.often_hash = np.r_[self.words[self.often[:-1]], START_HASH]
+        self.model.word_fail = np.zeros(len(self.words) + 2)
+        if HISTORY in answers:
+            self.model.word_fail[self.often] = back(self.often_hash, got(HISTORY, "<f8"))
+            total3 = back(self.hashes3, got(TRIGRAM, "<i8"))
+            kept3 = total3 >> 1 >= LEAST_COUNT
+            self.state, self.lower, self.owned3, count3 = self.state[kept3], self.lower[kept3], (total3 & 1 == 1)[kept3], (total3 >> 1)[kept3]
+            self.share3 = (count3 - DISCOUNT) / np.maximum(count[self.state], count3)
+            keys = self.model.arc(self.state, self.word[self.lower])
+            order = np.argsort(keys)
+            self.model.trigrams, self.model.trigram_log = keys[order], np.log10(self.share3)[order]
+            self.model.pair_fail = np.zeros(len(count))
+        if PAIR in answers:
+            self.model.pair_fail = back(self.pairs, got(PAIR, "<f8"))
+
+    def ask_trigrams(self, bits: int):
+        """Counts of trigrams, and the sums of words' arcs."""
+        own = self.owned
+        used, below = (np.bincount(self.history[own] + 2, weights=x, minlength=len(self.words) + 2) for x in (self.share[own], self.unigram[self.word[own]]))
+        yield _ask(self.row["chunk"], HISTORY, self.often_hash, used[self.often + 2], below[self.often + 2], bits)
+        yield _ask(self.row["chunk"], TRIGRAM, self.hashes3, self.count3, None, bits)
+
+    def ask_pairs(self, bits: int):
+        """The sums of bigrams' arcs."""
+        own = self.owned3
+        used, below = (np.bincount(self.state[own], weights=x, minlength=len(self.pairs)) for x in (self.share3[own], self.share[self.lower[own]]))
+        return _ask(self.row["chunk"], PAIR, self.pairs, used, below, bits)
+
+
+def _fail(used: np.ndarray, below: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(1 - used, 1e-12) / np.maximum(1 - below, 1e-12))
+
+
+def _with_answers(coded: DataFrame, *answers: DataFrame) -> DataFrame:
+    """A chunk's row (kind 0) and then its answers, by kind and range."""
+    fill = lambda names: [F.lit(None).cast(t).alias(c) for c, t in names]
+    texts = [(f.name, f.dataType) for f in coded.schema if f.name != "chunk"]
+    rows = coded.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("range"), *[c for c, _ in texts], *fill([("one", "binary")]))
+    for a in answers:
+        rows = rows.unionByName(a.select("chunk", "kind", "range", *fill(texts), "one"))
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "range")
+
+
+def _parts(batches, n: int, v: int):
+    """The chunks' parts of the automaton from rows of ``_with_answers``."""
+    row, answers = None, {}
+
+    def part():
+        out = Part(row, n, v)
+        out.take(answers)
+        return out
+
+    for r in _rows(batches):
+        if r["kind"] == 0:
+            if row is not None:
+                yield part()
+            row, answers = r, {}
+        else:
+            answers.setdefault(r["kind"], []).append(r)
+    if row is not None:
+        yield part()
+
+
+def _answers(coded: DataFrame, counted: DataFrame, bits: int) -> tuple[DataFrame, int, int]:
+    """Chunks with all answers, the number of training tokens, and that of distinct ones."""
+    sums = counted.filter("chunk = -1").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
+    n, v = int(sums["n"] or 0), int(sums["v"] or 0)
+    words = counted.filter("chunk >= 0").select("chunk", F.lit(WORD).alias("kind"), "range", F.col("counts").alias("one"))
 
+    def bigrams(batches):
         for row in _rows(batches):
-            value, n = np.unique(np.frombuffer(row["counts"], dtype=np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n, pa.int64())], names=["value", "n"])
-
-    dealt = coded.mapInArrow(local, "range int, keys binary, counts binary").repartition("range").sortWithinPartitions("range")
-    summed = materialize(dealt.mapInArrow(total, "keys binary, counts binary"), name)
-    # the least count that keeps all n-grams of it and above within ARCS
-    least, room = None, ARCS
-    for r in summed.mapInArrow(tally, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("value")).toLocalIterator():
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["value"]
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def above(batches):
-        import pyarrow as pa
+            yield Part(row).ask_bigrams(bits)
 
-        for row in _rows(batches):
-            counts = np.frombuffer(row["counts"], dtype=np.int64)
-            keep = counts >= least
-            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(row["keys"], dtype=np.int64)[keep].tobytes()], pa.binary()), pa.array([counts[keep].tobytes()], pa.binary())], names=["keys", "counts"])
+    def trigrams(batches):
+        for part in _parts(batches, n, v):
+            yield from part.ask_trigrams(bits)
 
-    got = summed.mapInArrow(above, "keys binary, counts binary").toArrow()
-    keys = np.frombuffer(b"".join(got["keys"].to_pylist()), dtype=np.int64)
-    counts = np.frombuffer(b"".join(got["counts"].to_pylist()), dtype=np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+    def pairs(batches):
+        for part in _parts(batches, n, v):
+            yield part.ask_pairs(bits)
 
-
-def _histories(numbers: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words one and two before each token; START before a text's first one, OTHER before that."""
-    first = np.r_[True, of[1:] != of[:-1]]
-    one = np.r_[START, numbers[:-1]]
-    one[first] = START
-    two = np.r_[OTHER, one[:-1]]
-    two[first] = OTHER
-    return one, two
+    two = _answer(coded.mapInArrow(bigrams, ASKED), "bigrams")
+    three = _answer(_with_answers(coded, words, two).mapInArrow(trigrams, ASKED), "trigrams")
+    sums = _answer(_with_answers(coded, words, two, three).mapInArrow(pairs, ASKED), "pairs")
+    return _with_answers(coded, words, two, three, sums), n, v
 
 
 def learn(coded: DataFrame, counted: DataFrame, bits: int) -> tuple[Automaton, int, int]:
-    """The automaton, the number of training tokens, and that of distinct ones."""
-    spark = coded.sparkSession
-    figures = counted.filter("chunk = -1")
-    sums = figures.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
-    n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-    words, counts = np.zeros(0, _U), np.zeros(0, np.int64)
-    for row in figures.select("words", "counts").toLocalIterator():  # one range at a time
-        words = np.concatenate([words, np.frombuffer(row["words"], dtype=_U)])
-        counts = np.concatenate([counts, np.frombuffer(row["counts"], dtype=np.int64)])
-        top = np.lexsort((words, -counts))[:VOCABULARY]
-        words, counts = words[top], counts[top]
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    model = Automaton(words)
-    if not n:
-        return model, n, v
-    shared = spark.sparkContext.broadcast(words)
-
-    def numbers_of(row):
-        codes, of, train = _training_tokens(row)
-        numbers = Automaton(shared.value).number(np.frombuffer(row["words"], dtype=_U))[codes]
-        return numbers, of, train
-
-    def bigram(row):
-        numbers, of, train = numbers_of(row)
-        one, _ = _histories(numbers, of)
-        ok = train & (numbers < VOCABULARY) & (one != OTHER)
-        return _pair(one[ok], numbers[ok])
-
-    keys, pair_counts = _count_keys(coded, bigram, "bigrams", bits)
-    # a history's count: of the start, the number of training texts, which is the count of the end
-    end = _find(words, np.array([END_HASH]))[0]
-    of_history = np.zeros(VOCABULARY + 2)
-    of_history[: len(words)] = counts
-    of_history[START] = counts[end] if end >= 0 else 0
-    unigram = (counts + ADD) / (n + ADD * (v + 1))
-    history, word = keys // (VOCABULARY + 2), keys % (VOCABULARY + 2)
-    share = (pair_counts - DISCOUNT) / np.maximum(of_history[history], pair_counts)
-    used = np.bincount(history, weights=share, minlength=VOCABULARY + 2)
-    below = np.bincount(history, weights=unigram[word], minlength=VOCABULARY + 2)
-    weight = np.maximum(1 - used, 1e-12) / np.maximum(1 - below, 1e-12)
-    model.bigrams, model.bigram_log, model.word_fail = keys, np.log10(share), np.log10(weight)
-    kept = spark.sparkContext.broadcast(keys)
-
-    def trigram(row):
-        """Only over kept bigrams: a trigram is no more frequent than its parts."""
-        numbers, of, train = numbers_of(row)
-        one, two = _histories(numbers, of)
-        state = _find(kept.value, _pair(two, one))
-        ok = train & (numbers < VOCABULARY) & (state >= 0) & (two != OTHER)
-        ok[ok] = _find(kept.value, _pair(one[ok], numbers[ok])) >= 0
-        return state[ok] * (VOCABULARY + 2) + numbers[ok]
-
-    keys3, counts3 = _count_keys(coded, trigram, "trigrams", bits)
-    state, word = keys3 // (VOCABULARY + 2), keys3 % (VOCABULARY + 2)
-    share = (counts3 - DISCOUNT) / np.maximum(pair_counts[state], counts3)
-    used = np.bincount(state, weights=share, minlength=len(keys))
-    lower = _find(keys, _pair(keys[state] % (VOCABULARY + 2), word))
-    below = np.bincount(state, weights=10 ** model.bigram_log[lower], minlength=len(keys))
-    model.trigrams, model.trigram_log = keys3, np.log10(share)
-    model.pair_fail = np.log10(np.maximum(1 - used, 1e-12) / np.maximum(1 - below, 1e-12))
+    """The whole automaton, the number of training tokens, and that of distinct ones; for looking into models of small corpora."""
+    rows, n, v = _answers(coded, counted, bits)
+    parts = [p.model for p in _parts(rows.toArrow().to_batches(), n, v)]
+    model = Automaton(np.unique(np.concatenate([np.zeros(0, _U), *(p.words for p in parts)])))
+    model.word_fail = np.zeros(len(model.words) + 2)
+    two: dict[int, tuple[float, float]] = {}
+    three: dict[tuple[int, int], float] = {}
+    for p in parts:
+        wide, to = len(p.words) + 2, model.number(p.words)
+        model.word_fail[to], model.word_fail[START] = p.word_fail[:-2], p.word_fail[START]
+        history, word = p.bigrams // wide - 2, p.bigrams % wide - 2
+        keys = model.arc(np.where(history == START, START, to[history]), to[word]).tolist()
+        two.update(zip(keys, zip(p.bigram_log.tolist(), p.pair_fail.tolist(), strict=True), strict=True))
+        for arc, log in zip(p.trigrams.tolist(), p.trigram_log.tolist(), strict=True):
+            three[keys[arc // wide - 2], int(to[arc % wide - 2])] = log
+    model.bigrams = np.array(sorted(two), dtype=np.int64)
+    model.bigram_log, model.pair_fail = (np.array([two[k][i] for k in sorted(two)]) for i in range(2))
+    arcs = sorted((int(model.arc(np.searchsorted(model.bigrams, k), w)), log) for (k, w), log in three.items())
+    model.trigrams, model.trigram_log = np.array([a for a, _ in arcs], dtype=np.int64), np.array([x for _, x in arcs])
     return model, n, v
 
 
@@ -376,8 +478,8 @@ def traverse(model: Automaton, numbers: np.ndarray, lengths: np.ndarray, base: n
             alive -= 1
         w, at = numbers[start[:alive] + t], start[:alive] + t
         p, h = pair[:alive], word[:alive]
-        arc3 = np.where((p >= 0) & (w < VOCABULARY), _find(model.trigrams, p * (VOCABULARY + 2) + w), -1)
-        arc2 = np.where((h != OTHER) & (w < VOCABULARY), _find(model.bigrams, _pair(h, w)), -1)
+        arc3 = np.where((p >= 0) & (w >= 0), _find(model.trigrams, model.arc(p, w)), -1)
+        arc2 = np.where((h != OTHER) & (w >= 0), _find(model.bigrams, model.arc(h, w)), -1)
         log = np.where(arc2 >= 0, model.bigram_log[arc2] if len(model.bigram_log) else 0.0, model.word_fail[h] + base[at])
         if len(model.trigrams):
             log = np.where(arc3 >= 0, model.trigram_log[arc3], log + np.where(p >= 0, model.pair_fail[p], 0.0))
@@ -398,28 +500,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     they stand. Without training tokens every token has the chance of an
     unknown one. Columns other than doc_id and text are not read.
     """
-    spark = docs.sparkSession
     coded = code_documents(docs)
     bits = _range_bits(coded)
-    counted = count_words(coded, bits)
-    model, n, v = learn(coded, counted, bits)
-    shared = spark.sparkContext.broadcast(model)
-    parts = counted.filter("chunk >= 0").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "counts"))).alias("counts"))
-    rows = coded.join(parts, "chunk")
+    rows, n, v = _answers(coded, count_words(coded, bits), bits)
 
     def score(batches):
         import pyarrow as pa
 
-        auto = shared.value
-        for row in _rows(batches):
-            words = np.frombuffer(row["words"], dtype=_U)
-            counts = np.concatenate([np.frombuffer(c["counts"], dtype="<i8") for c in row["counts"]])
-            codes = np.frombuffer(row["codes"], dtype="<u4").astype(np.int64)
+        for part in _parts(batches, n, v):
+            row = part.row
             lengths = np.array(row["lengths"], dtype=np.int64)
-            base = np.log10((counts + ADD) / (n + ADD * (v + 1)))[codes]
-            known = (counts > 0)[codes]
+            base = np.log10(part.unigram)[part.codes]
+            known = (part.counts > 0)[part.codes]
             first = np.cumsum(lengths) - lengths
-            scores = traverse(auto, auto.number(words)[codes], lengths, base)
+            scores = traverse(part.model, part.codes, lengths, base)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row["doc_ids"], pa.int64()),

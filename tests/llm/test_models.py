@@ -145,3 +145,40 @@ def test_nearest_among_near_copies(spark):
     rng = np.random.default_rng(6)
     x = np.repeat(rng.normal(size=(3, 32)), 700, axis=0) + 0.01 * rng.normal(size=(2100, 32))
     assert found_share(spark, x, 60) >= 0.9
+
+
+def test_every_repeated_ngram_has_an_arc(spark, monkeypatch):
+    """More words than 2**16, in several chunks, against a model of plain counters."""
+    monkeypatch.setattr(lm, "CHUNK_WORDS", 30_000)
+    rng = random.Random(8)
+    passages = [[f"{rng.choice('ab')}{i}x{j}" for j in range(190)] for i in range(400)]
+    rows = [(i, " ".join(passages[i % 400] + rng.sample(passages[(7 * i) % 400], 20))) for i in range(1200)]
+    train = [["<s>", *tokens(t)] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    c1 = collections.Counter(w for t in train for w in t)
+    c2 = collections.Counter(p for t in train for p in zip(t, t[1:]))
+    c3 = collections.Counter(p for t in train for p in zip(t, t[1:], t[2:]))
+    n, v = sum(c1.values()) - c1["<s>"], len(c1) - 1
+    uni = lambda w: (c1[w] + 0.1) / (n + 0.1 * (v + 1))
+    two = {p: (c - 0.5) / c1[p[0]] for p, c in c2.items() if c >= 2}
+    three = {p: (c - 0.5) / c2[p[:2]] for p, c in c3.items() if c >= 2}
+    left2, below2, left3, below3 = (collections.Counter() for _ in range(4))
+    for p, share in two.items():
+        left2[p[0]] += share
+        below2[p[0]] += uni(p[1])
+    for p, share in three.items():
+        left3[p[:2]] += share
+        below3[p[:2]] += two[p[1:]]
+    fail = lambda used, below: max(1 - used, 1e-12) / max(1 - below, 1e-12)
+
+    def bigram(a, w):
+        return two[a, w] if (a, w) in two else fail(left2[a], below2[a]) * uni(w)
+
+    def trigram(z, a, w):
+        return three[z, a, w] if (z, a, w) in three else fail(left3[z, a], below3[z, a]) * bigram(a, w) if (z, a) in two else bigram(a, w)
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+    for i, t in rows[::7]:
+        w = ["<s>", *tokens(t)]
+        want = math.log10(bigram(*w[:2])) + sum(math.log10(trigram(*w[k : k + 3])) for k in range(len(w) - 2))
+        assert math.isclose(got[i], want, rel_tol=1e-9), i
