@@ -10,7 +10,9 @@ floor(RATE * L) word edits of the item.
 * There, windows of the items' sizes are embedded by CGK random walks
   (Chakraborty, Goldenberg, Koucky, 2016) and looked up by sampled coordinates
   in as many tables as it takes to find edited items with probability TARGET,
-  measured on seeded edits of the items themselves.
+  measured for each size on seeded edits of items of that size, at any offset
+  to the windows. Where MOST_TABLES miss it, every stretch with as many q-grams
+  of an item as the lemma asks for is a candidate instead (lossless).
 * Each candidate is verified by the exact edit distance to its best stretch.
 """
 
@@ -27,6 +29,8 @@ RATE = 0.2
 TARGET = 0.99
 SAMPLED = 3
 MOST_TABLES = 96
+#: Edited items of a size that the number of tables is measured on.
+TRIALS = 100
 ITEM_BLOCK = 4000
 _U = np.uint64
 # ASCII punctuation.
@@ -101,8 +105,11 @@ class Index:
     reach: int = 0
     classes: list[int] = field(default_factory=list)
     keys: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    tables: int = 0
-    recall: float = 1.0
+    tables: dict[int, int] = field(default_factory=dict)
+    recall: dict[int, float] = field(default_factory=dict)
+    # of sizes whose tables miss the target: item numbers by q-gram, and the hits that each item keeps
+    lists: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    kept: list[int] = field(default_factory=list)
 
 
 def _gram_keys(ids: np.ndarray, q: int) -> np.ndarray:
@@ -144,6 +151,7 @@ def build_index(items: list[tuple[int, str | None]], rate: float = RATE, target:
         grams.append(keys)
         spare = len(keys) - len(np.unique(keys))
         kept = max(1, len(keys) - out.q * edits - spare)
+        out.kept.append(kept)
         c = _class_of(len(ids), out.classes)
         least, span = out.class_need.get(c, (1 << 30, 0))
         out.class_need[c] = (min(least, kept), max(span, len(ids) + 2 * edits + abs(len(ids) - c)))
@@ -151,26 +159,47 @@ def build_index(items: list[tuple[int, str | None]], rate: float = RATE, target:
         out.reach = max(out.reach, len(ids) + edits)
     out.grams = np.unique(np.concatenate(grams))
     out.bits[_cells(out.grams)] = True
-    # as many tables as find edited items
+    # as many tables as find edited items of each class, at any offset to the windows
     rng = np.random.default_rng(11)
-    trials, owners, margin = [], [], 3
-    for k, (_, ids, edits) in enumerate(out.items[:400]):
-        for _ in range(2):
-            trials.append(np.concatenate([np.zeros(margin, np.int64), _edited(ids, edits, rng), np.zeros(margin + out.reach, np.int64)]))
+    members: dict[int, list[int]] = {}
+    for k, (_, ids, _) in enumerate(out.items):
+        members.setdefault(_class_of(len(ids), out.classes), []).append(k)
+    _fill(out, dict.fromkeys(members, MOST_TABLES))
+    shares, exact, need = {}, [], [8]
+    for c, own in members.items():
+        trials, owners = [], []
+        for t in range(TRIALS):
+            k = own[int(rng.integers(len(own)))] if len(own) > TRIALS else own[t % len(own)]
+            margin = _stride(c) + int(rng.integers(_stride(c)))
+            trials.append(np.concatenate([np.zeros(margin, np.int64), _edited(*out.items[k][1:], rng), np.zeros(_stride(c) + out.reach, np.int64)]))
             owners.append(k)
-    _fill(out, MOST_TABLES)
-    found = np.zeros((len(trials), MOST_TABLES), dtype=bool)
-    for t, k in _candidates(out, [(i, x, 0, len(x) - out.reach, _hits(out, x)) for i, x in enumerate(trials)], by_table=found, owners=owners):
-        pass
-    reached = np.logical_or.accumulate(found, axis=1).mean(axis=0)
-    enough = np.flatnonzero(reached >= target)
-    out.tables = int(enough[0]) + 1 if len(enough) else MOST_TABLES
-    out.tables = min(MOST_TABLES, max(8, out.tables))
-    out.recall = float(reached[out.tables - 1])
-    _fill(out, out.tables)
+        found = np.zeros((TRIALS, MOST_TABLES), dtype=bool)
+        _candidates(out, [(i, x, 0, len(x) - out.reach, _hits(out, x)) for i, x in enumerate(trials)], by_table=found, owners=owners, only=c)
+        reached = np.logical_or.accumulate(found, axis=1).mean(axis=0)
+        shares[c] = reached
+        if reached[-1] >= target:
+            need.append(int(np.argmax(reached >= target)) + 1)
+        else:
+            exact.extend(own)
+            out.recall[c] = 1.0
+    # no fewer for any class than all classes' trials together ask for
+    pooled = np.mean([shares[c] for c in members for _ in members[c]], axis=0)
+    need.append(int(np.argmax(pooled >= target)) + 1 if pooled[-1] >= target else MOST_TABLES)
+    tables = max(need)
+    out.recall.update({c: float(x[tables - 1]) for c, x in shares.items() if c not in out.recall})
+    _fill(out, dict.fromkeys(members, tables))
+    if exact:
+        pairs = [(np.setdiff1d(grams[k], [0]), k) for k in exact]
+        key, owner = np.concatenate([g for g, _ in pairs]), np.repeat([k for _, k in pairs], [len(g) for g, _ in pairs])
+        order = np.argsort(key, kind="stable")
+        out.lists = key[order], owner[order]
     return out
 
 
+def _stride(c: int) -> int:
+    return max(1, int(RATE * c) // 3)
+
+
 def _edited(ids: np.ndarray, edits: int, rng) -> np.ndarray:
     """``ids`` after that many random word edits."""
     out = ids.tolist()
@@ -185,29 +214,31 @@ def _edited(ids: np.ndarray, edits: int, rng) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def _fill(index: Index, tables: int) -> None:
+def _fill(index: Index, tables: dict[int, int]) -> None:
     index.tables, index.keys = tables, {}
-    for c in index.classes:
+    for c in tables:
         own = [k for k, (_, ids, _) in enumerate(index.items) if _class_of(len(ids), index.classes) == c]
         if not own:
             continue
         rows = np.full((len(own), max(c, *(len(index.items[k][1]) for k in own))), -1, dtype=np.int64)
         for r, k in enumerate(own):
             rows[r, : len(index.items[k][1])] = index.items[k][1]
-        keys = embed_keys(rows, c, tables)
-        flat, owner = keys.ravel(), np.repeat(np.array(own), tables)
+        keys = embed_keys(rows, c, tables[c])
+        flat, owner = keys.ravel(), np.repeat(np.array(own), tables[c])
         order = np.argsort(flat, kind="stable")
         index.keys[c] = flat[order], owner[order]
 
 
-def _candidates(index: Index, stretches: list[tuple[int, np.ndarray, int, int]], by_table=None, owners=None):
+def _candidates(index: Index, stretches: list[tuple[int, np.ndarray, int, int]], by_table=None, owners=None, only=None):
     """(stretch number, item number) that share a key; a stretch is (number, ids, first start, last start, q-gram hits).
 
     Only windows whose surroundings have as many hits as an item of their class keeps are embedded.
     """
     pairs: set[tuple[int, int]] = set()
     for c, (keys, items) in index.keys.items():
-        stride = max(1, int(RATE * c) // 3)
+        if only not in (None, c):
+            continue
+        stride = _stride(c)
         rows, number = [], []
         least, span = index.class_need[c]
         for i, ids, first, last, hits in stretches:
@@ -222,7 +253,7 @@ def _candidates(index: Index, stretches: list[tuple[int, np.ndarray, int, int]],
         for k in range(0, len(rows), 64):
             windows, of = np.concatenate(rows[k : k + 64]), np.concatenate(number[k : k + 64])
             for s in range(0, len(windows), 1024):
-                got = embed_keys(windows[s : s + 1024], c, index.tables)
+                got = embed_keys(windows[s : s + 1024], c, index.tables[c])
                 lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
                 for w, t in zip(*np.nonzero(hi > lo), strict=True):
                     for k2 in items[lo[w, t] : hi[w, t]].tolist():
@@ -230,9 +261,31 @@ def _candidates(index: Index, stretches: list[tuple[int, np.ndarray, int, int]],
                         pairs.add((i, k2))
                         if by_table is not None and owners[i] == k2:
                             by_table[i, t] = True
+    if only is None and len(index.lists[0]):
+        for i, ids, _, _, hits in stretches:
+            pairs.update((i, k) for k in _enough_hits(index, ids, hits))
     return sorted(pairs)
 
 
+def _enough_hits(index: Index, ids: np.ndarray, hits: np.ndarray) -> list[int]:
+    """Items without tables that have as many q-grams in a part of ``ids`` of their length and edits as they keep."""
+    wanted, owner = index.lists
+    own = _gram_keys(ids, index.q)
+    hits = hits[hits < len(own)]
+    lo, hi = np.searchsorted(wanted, own[hits], "left"), np.searchsorted(wanted, own[hits], "right")
+    size = hi - lo
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    item, place = owner[at], np.repeat(hits, size)
+    order = np.argsort(item, kind="stable")
+    item, place = item[order], place[order]
+    out = []
+    for k, a, n in zip(*np.unique(item, return_index=True, return_counts=True), strict=True):
+        kept, p = index.kept[k], place[a : a + n]
+        if n >= kept and (p[kept - 1 :] - p[: n - kept + 1]).min() <= len(index.items[k][1]) + index.items[k][2]:
+            out.append(int(k))
+    return out
+
+
 def _cells(keys: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(44)).astype(np.int64)

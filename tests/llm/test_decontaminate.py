@@ -67,3 +67,19 @@ def test_blocks_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert d.contaminated(odd_docs, items.limit(0)).count() == 0
     kept = d.remove_contaminated(odd_docs, items)
     assert kept.columns == odd_docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 7]
+
+
+def test_long_items_with_all_their_edits():
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"w{w}" for w in rng.integers(0, 5000, 300))) for i in range(12)]
+    index = d.build_index(items)
+    texts = []
+    for n in range(60):
+        words = items[n % 12][1].split()
+        for at in rng.choice(300, 60, replace=False):
+            words[at] = "changed"
+        cut = set(rng.choice(300, 20, replace=False).tolist())
+        words = [w for i, w in enumerate(words) if i not in cut or w != "changed"]
+        texts.append(" ".join([f"x{i}" for i in range(int(rng.integers(0, 60)))] + words + ["y"] * 30))
+    found = {(number, item) for number, item, *_ in d.search(index, texts)}
+    assert len(found & {(n, n % 12) for n in range(60)}) >= 0.99 * 60
