@@ -1,12 +1,14 @@
-"""Removal of repeated runs of lines by winnowing, DataFrame functions only.
+"""Removal of repeated runs of lines by windows of their words, DataFrame functions only.
 
 A window is a shortest run of lines with at least MIN_WORDS words, one that
-begins at a line or one that ends at it. Its fingerprint is the least line hash
-in it (winnowing: equal windows select equal fingerprints, so any repeated run
-of MIN_WORDS words is found). Fingerprint positions are joined with the first
-position of the same fingerprint and window. Windows that begin in a match
-extend it to the right and those that end in it to the left, up to the ends of
-the repeated run; the lines so covered are deleted, the first occurrence stays.
+begins at a line or one that ends at it. All windows are compared by a hash of
+their whole content, so any repeated run of MIN_WORDS words is found. The least
+line hash in a window (the fingerprint of winnowing) is a second join key that
+follows from the content; no windows are selected by it. Each is joined with the
+first position of the same content. Windows that begin in a match and those that
+end in it reach up to the ends of the repeated run, so their union stands for
+the extension of the match; the lines so covered are deleted, the first
+occurrence stays.
 """
 
 from __future__ import annotations
