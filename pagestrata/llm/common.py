@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pandas as pd
@@ -32,15 +34,66 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Holds while a table is written: small Arrow batches bound the memory of Python workers (rows differ in length, so a
+#: count of rows does not), and a shuffle's files go when the table that was made of them stands.
+WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     This cuts the lineage with replicated storage: a lost executor costs a
-    reread, never a recomputation of what stands before.
+    reread, never a recomputation of what stands before. ``forget`` deletes it.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with settings(spark, WRITING):
+        df.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def lean(work: Callable) -> Callable:
+    """``work`` for mapInArrow, in a worker that keeps no freed memory: not in Arrow's pool, and at the end not in the allocator."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the allocator can."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -75,67 +128,66 @@ def gapless_index(df: DataFrame, by: list[str], order: list[str], out: str, slic
     )
 
 
-def slices_of(batches, rows: int = 1000):
-    """Arrow batches cut into smaller ones, so that what Python makes of one stays small."""
+def slices_of(batches, rows: int = 1000, size: int = 2_000_000):
+    """Arrow batches cut into smaller ones of at most ``rows`` rows, and about ``size`` bytes unless one row has more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
-BLOOM_BITS = 26
-_PARTS = 256
+#: The most bits of a Bloom filter (16 MB), and the bits for each id.
+BLOOM_BITS, BLOOM_ID_BITS = 27, 16
 
 
-def _bloom_places(ids: np.ndarray) -> np.ndarray:
+def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-    return np.stack([x >> np.uint64(64 - BLOOM_BITS), (x >> np.uint64(6)) & np.uint64((1 << BLOOM_BITS) - 1)]).astype(np.int64)
+    return np.stack([x >> np.uint64(64 - bits), (x >> np.uint64(6)) & np.uint64((1 << bits) - 1)]).astype(np.int64)
+
+
+def _bloom_mark(bits: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
 
 def maybe_among(ids: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test for long ids being in ``ids``, by a Bloom filter of fixed size (8 MB): never wrong about those that are.
+    """A test for long ids being in ``ids``, by a Bloom filter: never wrong about those that are.
 
-    For keeping rows that cannot match out of a shuffle before a join.
+    For keeping rows that cannot match out of a shuffle before a join. The
+    filter has BLOOM_ID_BITS bits for each id, BLOOM_BITS in all at most; where
+    these would be too few to tell rows apart, the test lets all through.
     """
     spark = ids.sparkSession
-    size = 1 << (BLOOM_BITS - 3)
-    schema = "part int, bits binary"
+    few = ids.select(column).filter(F.col(column).isNotNull())
+    count = few.count()
+    bits = max(10, int(count * BLOOM_ID_BITS).bit_length())
+    if bits > BLOOM_BITS + 2:
+        return lambda c: F.lit(True)  # noqa: ARG005
+    bits = min(bits, BLOOM_BITS)
+    size = 1 << (bits - 3)
+    step = min(size, 1 << 18)
 
     def mark(batches):
         import pyarrow as pa
 
-        bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
+        own = np.zeros(size, dtype=np.uint8)
         for batch in batches:
-            bits[_bloom_places(batch[column].to_numpy())] = True
-        parts = bits.reshape(_PARTS, -1)
-        some = np.flatnonzero(parts.any(axis=1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary())], names=["part", "bits"])
-
-    def join(batches):
-        import pyarrow as pa
+            _bloom_mark(own, _bloom_places(batch[column].to_numpy(), bits))
+        some = [i for i in range(0, size, step) if own[i : i + step].any()]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([own[i : i + step].tobytes() for i in some], pa.binary())], names=["at", "bits"])
 
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, raw in zip(batch["part"].to_pylist(), batch["bits"].to_pylist(), strict=True):
-                got = np.frombuffer(raw, dtype=np.uint8)
-                total[i] = total[i] | got if i in total else got
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "bits"])
-
-    whole = np.zeros((_PARTS, size // _PARTS), dtype=np.uint8)
-    few = ids.select(column).filter(F.col(column).isNotNull()).coalesce(16)
-    for row in few.mapInArrow(mark, schema).repartition(16, "part").mapInArrow(join, schema).toLocalIterator():
-        whole[row["part"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(whole.ravel())
+    whole = np.zeros(size, dtype=np.uint8)
+    for row in few.coalesce(16).mapInArrow(lean(mark), "at long, bits binary").toLocalIterator():
+        whole[row["at"] : row["at"] + step] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(whole)
 
     @F.pandas_udf("boolean")
     def test(v: pd.Series) -> pd.Series:
-        at = _bloom_places(v.fillna(0).to_numpy(dtype=np.int64))
-        bits = shared.value
-        return pd.Series((bits[at >> 3] >> (7 - (at & 7)) & 1).all(axis=0))
+        at = _bloom_places(v.fillna(0).to_numpy(dtype=np.int64), bits)
+        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1).all(axis=0))
 
     return test
 

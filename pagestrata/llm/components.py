@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = _least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = _least(large)
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("p")).select(F.col("p.v").alias("u"), F.col("p.m").alias("v"))
-        now = materialize(small.filter("u <> v").distinct(), "stars")
+        then, now = now, materialize(small.filter("u <> v").distinct(), "stars")
+        forget(then)
         after = tuple(now.agg(F.count("*"), F.sum(sign)).first())
         if after == before:
             break

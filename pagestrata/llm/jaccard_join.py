@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_among, slices_of
+from .common import forget, lean, materialize, maybe_among, slices_of
 from .components import components
 from .prefix_tree import link_roots
 from .shingles import mix, shingle_sets
@@ -32,6 +32,8 @@ from .shingles import mix, shingle_sets
 IMAGE_WORDS = 16
 RUN_BLOCK = 4096
 FAMILY_TOKENS = 2_000_000
+#: Nodes of more than a HOT-th of all rows are broadcast.
+HOT = 1000
 _U = np.uint64
 
 
@@ -77,8 +79,12 @@ def _node_of(hashes: np.ndarray) -> int | None:
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else None
 
 
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+
+
 def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, node (a hash of the set; null if empty), t (size of the sample), image."""
+    """doc_id, h (a hash of the text), n, node (a hash of the set; null if empty), t (size of the sample), image."""
 
     def describe(batches):
         import pyarrow as pa
@@ -90,10 +96,9 @@ def _describe(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 node.append(_node_of(s))
                 t.append(len(sample_of(s, num, den)))
                 image.append(image_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(t, pa.int64()), pa.array(image, pa.binary())], names=["doc_id", "n", "node", "t", "image"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(t, pa.int64()), pa.array(image, pa.binary())], names=["doc_id", "h", "n", "node", "t", "image"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(describe, "doc_id long, n long, node long, t long, image binary")
+    return _slim(docs).mapInArrow(lean(describe), "doc_id long, h long, n long, node long, t long, image binary")
 
 
 def _shared(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame:
@@ -158,8 +163,8 @@ def _shared(docs: DataFrame, k: int, num: int, den: int, bits: int) -> DataFrame
         if parts:
             yield solve(parts)
 
-    spreaded = docs.filter("doc_id is not null").select("text").mapInArrow(spread, "range int, tokens binary, nodes binary")
-    return spreaded.repartition("range").sortWithinPartitions("range").mapInArrow(count, "node long, token long, df long, block int, blocks int")
+    spreaded = docs.filter("doc_id is not null").select("text").mapInArrow(lean(spread), "range int, tokens binary, nodes binary")
+    return spreaded.repartition("range").sortWithinPartitions("range").mapInArrow(lean(count), "node long, token long, df long, block int, blocks int")
 
 
 def _first_shared(shared: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -168,14 +173,15 @@ def _first_shared(shared: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
     whole = F.col("token").bitwiseAND(F.lit(1).cast("long")) == 1
     every = Window.partitionBy("node", "whole")
     ranked = (
-        shared.join(nodes.select("node", "n", "t", "image"), "node")
+        shared.join(nodes.select("node", "n", "t"), "node")
         .withColumn("whole", whole)
         .withColumn("_shared", F.count("*").over(every))
         .withColumn("_place", F.row_number().over(every.orderBy("df", "token")))
     )
     alone = F.when(F.col("whole"), F.col("n")).otherwise(F.col("t")) - F.col("_shared")
     kept = (~F.col("whole") & (F.col("t") <= m)) | (F.col("_place") <= m + 1 - alone)
-    return ranked.filter(kept).select("token", "block", "blocks", "node", "n", "image")
+    # images only now, so that the sort does not carry them
+    return ranked.filter(kept).select("token", "block", "blocks", "node", "n").join(nodes.select("node", "image"), "node")
 
 
 def _pairs_of_blocks(df: DataFrame, blocks: str, block: str) -> DataFrame:
@@ -231,28 +237,27 @@ def _families(first: DataFrame, num: int, den: int) -> DataFrame:
             yield solve(pending)
 
     dealt = rows.repartition("token", "half1", "half2").sortWithinPartitions("token", "half1", "half2", "node")
-    return dealt.mapInArrow(connect, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(connect), "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """members(rep, node, family, n) -> (a, b): a node and the node that stands for its component in a task."""
     weight = members.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(FAMILY_TOKENS))).cast("int").alias("blocks"))
     placed = members.join(weight, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = placed.select(F.col("rep").alias("doc_id"), "node", "family", "blocks", "block")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = placed.select("rep.doc_id", "rep.h", "node", "family", "blocks", "block")
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in slices_of(batches, 500):
             found = [s.tobytes() for s in shingle_sets(batch["text"].to_pylist(), k)]
-            # a doc_id may stand in several rows; only the row that has the node's set counts
-            keep = [i for i, (s, v) in enumerate(zip(found, batch["node"].to_pylist(), strict=True)) if xxhash.xxh64_intdigest(s) - (1 << 63) == v]
-            rest = batch.select(["node", "family", "blocks", "block"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([found[i] for i in keep], pa.binary())], names=["node", "family", "blocks", "block", "tokens"])
+            rest = batch.select(["node", "family", "blocks", "block"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.binary())], names=["node", "family", "blocks", "block", "tokens"])
 
-    slim = slim.filter(maybe_among(wanted, "doc_id")("doc_id"))
-    whole = slim.join(wanted, "doc_id").select("text", "node", "family", "blocks", "block").mapInArrow(sets, "node long, family long, blocks int, block int, tokens binary")
+    # of rows equal in id and text all come; the join below takes one
+    slim = _slim(docs)
+    slim = slim.filter(maybe_among(wanted, "h")("h"))
+    whole = slim.join(wanted, ["doc_id", "h"]).select("text", "node", "family", "blocks", "block").mapInArrow(lean(sets), "node long, family long, blocks int, block int, tokens binary")
     dealt = _pairs_of_blocks(whole, "blocks", "block").repartition("family", "half1", "half2").sortWithinPartitions("family", "half1", "half2", "node")
 
     def join(batches):
@@ -277,28 +282,26 @@ def _verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -
         if nodes:
             yield solve()
 
-    return dealt.select("family", "half1", "half2", "node", "tokens").mapInArrow(join, "a long, b long")
+    return dealt.select("family", "half1", "half2", "node", "tokens").mapInArrow(lean(join), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: documents are linked when den * |A & B| >= num * |A | B|.
+def _components(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, node) for all of ``docs``, and of every node: node, copies, winner.
 
-    The sets are distinct k-word shingles of the whole text in lower case A-Z
-    (fewer words: the whole sequence as one). Empty texts are linked with
-    nothing. A row with a null doc_id gets a null component and links nothing.
-    Repeated rows stay; rows of one doc_id with different texts are documents
-    of their own. Columns other than doc_id and text are not read.
+    The winner of a component is its least (doc_id, h).
     """
     rows = materialize(_describe(docs, k, num, den), "sets")
     real = rows.filter("node is not null and doc_id is not null")
-    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("t").alias("t"), F.first("image").alias("image"))
-    nodes = materialize(nodes, "nodes")
+    rep = F.min(F.struct("doc_id", "h")).alias("rep")
+    nodes = materialize(real.groupBy("node").agg(rep, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("t").alias("t"), F.first("image").alias("image")), "nodes")
     # a range has the sampled shingles of some thousand documents
-    bits = int(min(16, max(6, np.ceil(np.log2(max(1, nodes.count() / 1000))))))
+    bits = int(max(6, np.ceil(np.log2(max(1, nodes.count() / 1000)))))
     shared = materialize(_shared(docs, k, num, den, bits), "shared")
-    edges = _families(_first_shared(shared, nodes, num, den), num, den)
+    edges = materialize(_families(_first_shared(shared, nodes, num, den), num, den), "edges")
+    forget(shared)
     families = components(edges).withColumnRenamed("root", "family")
     members = materialize(families.join(nodes.select(F.col("node").alias("vertex"), "rep", "n"), "vertex").withColumnRenamed("vertex", "node"), "members")
+    forget(edges)
     linked = materialize(_verified(docs, members, k, num, den), "links")
     cut = members.groupBy("family").agg(F.sum("n").alias("n")).filter(F.col("n") > FAMILY_TOKENS)
     if cut.take(1):
@@ -306,19 +309,73 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     else:
         labels = linked
     known = labels.select(F.col("a").alias("node"), F.col("b").alias("root")).join(nodes.select("node", "rep"), "node")
-    least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_node = known.join(least, "root").select("node", "component_id")
-    every = nodes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "node").join(every, "node", "left")
+    least = known.groupBy("root").agg(F.min("rep").alias("winner"))
+    of_node = known.join(least, "root").select("node", "winner")
+    every = nodes.select("node", "rep", "copies").join(of_node, "node", "left").select("node", "copies", F.coalesce("winner", "rep").alias("winner"))
+    every = materialize(every, "winners")
+    forget(nodes, members, linked)
+    return rows, every
+
+
+def _with_winners(rows: DataFrame, every: DataFrame) -> DataFrame:
+    """``rows`` with their node's winner; rows without a node or doc_id get a null.
+
+    The nodes of more than a HOT-th of all rows, fewer than HOT, are broadcast,
+    so that no task gets all copies of one text; the rest meet by node.
+    """
+    total = rows.count()
+    few = every.filter(F.col("copies") > total / HOT).select("node", F.col("winner").alias("hot"))
+    alone = F.col("node").isNull() | F.col("doc_id").isNull()
+    none = F.lit(None).cast(every.schema["winner"].dataType).alias("winner")
+    marked = rows.filter(~alone).join(F.broadcast(few), "node", "left")
+    plain = marked.filter("hot is null").drop("hot").join(every.filter(F.col("copies") <= total / HOT).select("node", "winner"), "node", "left")
+    hot = marked.filter("hot is not null").withColumnRenamed("hot", "winner")
+    return rows.filter(alone).withColumn("winner", none).unionByName(plain).unionByName(hot)
+
+
+def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: documents are linked when den * |A & B| >= num * |A | B|.
+
+    The sets are distinct k-word shingles of the whole text in lower case A-Z
+    (fewer words: the whole sequence as one). Null and empty texts, and those
+    without words, have no shingles and are linked with nothing. A row with a
+    null doc_id gets a null component and links nothing. Repeated rows stay;
+    rows of one doc_id with different texts are documents of their own, and a
+    component's id is the least of its doc_ids. A text's set is held whole by a
+    task (8 bytes a word). An empty table gives an empty table. Columns other
+    than doc_id and text are not read, whatever their names.
+    """
+    rows, every = _components(docs, k, num, den)
+    out = _with_winners(rows.select("doc_id", "n", "node"), every)
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("winner.doc_id", "doc_id")).alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component left, the one with the least doc_id; all columns stay."""
-    found = jaccard_components(docs, k, num, den)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one document of each component left; all columns stay.
+
+    That of the least doc_id stays, and of rows of one doc_id that of the least
+    hash of the text; of rows equal in both, any one. Decisions are by doc_id
+    and text, so another text under the id of a copy stays. Rows with a null
+    doc_id, and those whose text is null or has no words, all stay. An empty
+    table gives an empty table.
+    """
+    rows, every = _components(docs, k, num, den)
+    decided = _with_winners(rows.select("doc_id", "h", "node"), every).filter("winner is not null")
+    lost = (F.col("winner.doc_id") != F.col("doc_id")) | (F.col("winner.h") != F.col("h"))
+    decided = decided.groupBy("doc_id", "h").agg(F.first(lost).alias("_lost"), (F.count("*") > 1).alias("_again"))
+    decided = materialize(decided.filter("_lost or _again"), "decided")
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    on = lambda t: (F.col("_id") == t["doc_id"]) & (F.col("_h") == t["h"])
+    # most texts are not among the decided ones and need no shuffle
+    maybe = maybe_among(decided, "h")("_h")
+    some, few = packed.filter(maybe), decided.select("doc_id", "h")
+    kept = packed.filter(~maybe).select("_row").unionByName(some.join(few, on(few), "left_anti").select("_row"))
+    again = decided.filter("not _lost")
+    if again.take(1):
+        one = some.join(again, on(again), "left_semi").groupBy("_id", "_h").agg(F.first("_row").alias("_row"))
+        kept = kept.unionByName(one.select("_row"))
+    return kept.select("_row.*")
