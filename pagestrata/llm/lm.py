@@ -1,50 +1,78 @@
 """Language-model scoring with a weighted backoff automaton.
 
-All documents are coded once: each chunk of texts becomes a table of its
-distinct words (hashes) and the texts as numbers in that table, in the shared
-folder. Word counts are summed by hash range and every chunk gets back the
-counts of its own words, so no task holds the vocabulary.
-
-The model interpolates nothing at run time: it is a trigram automaton. Its
-states are contexts (none, a word, two words), arcs carry discounted
-log-probabilities, and a failure arc leads from a context to the next shorter
-one with the log of its backoff weight, which makes each state's probabilities
-sum to one. Every bigram and trigram that stands LEAST_COUNT times or more in
-the training texts has an arc, however many there are; any other word is scored
-by the smoothed unigram after the failure arcs. The text is read once from left
-to right, carrying the state.
-
-No process holds the automaton. Like the words, n-grams are summed by ranges of
-a 64-bit hash and every chunk gets back the counts of its own; one chunk of
-those that have an n-gram is its owner and adds its arc to the sums of its
-context, which go the same way. So a chunk has the part of the automaton that
-its texts can reach, whose size is bounded by that of the chunk.
+The model is a trigram model with absolute discounting. Its states are contexts
+(none, a word or the start of a text, two words); an arc carries the log of a
+discounted probability, and a failure arc leads from a context to the next
+shorter one with the log of its backoff weight:
+
+    p(w)     = (c(w) + ADD) / (N + ADD (V + 1))
+    p(w | h) = (c(hw) - DISCOUNT) / c(h)       on an arc
+             = fail(h) p(w | shorter h)        without one
+    fail(h)  = (1 - the sum of p(w | h) on h's arcs) / (1 - the sum of p(w | shorter h) for the same w)
+
+so each state's probabilities sum to one. Every bigram that stands LEAST_COUNT
+times or more in the training texts has an arc, and so has every such trigram,
+however many there are. Both sums follow from three whole numbers of a context:
+its arcs, their counts' sum, and the sum of the counts of what stays of them
+without their first word.
+
+No process holds the automaton. Documents are coded once, in chunks: a table of
+a chunk's distinct words (hashes) and the texts as numbers in that table. Chunks
+then send the keys of their words, bigrams and trigrams, with their own counts,
+to ranges of a 64-bit hash, where they are summed, and get the sums for their
+own keys back; one chunk of those that have an n-gram is its owner and adds its
+arc to the sums of its context, which go the same way. So a chunk has the part
+of the automaton that its texts can reach, and a task holds one chunk, or one
+range of the keys of about RANGE_TOKENS tokens.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, materialize
+from .common import forget, id_remainder, lean, materialize, slices_of, trim
 from .shingles import word_hashes, words_of
 
 #: The least training count of a bigram or trigram with an arc.
 LEAST_COUNT = 2
 DISCOUNT = 0.5
 ADD = 0.1
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 400_000
+RANGE_TOKENS = 1 << 21
 _U = np.uint64
 #: Stands for the end of a text; no word has this hash but by a chance of 2**-64.
 END_HASH = _U(0xE4D0E4D0E4D0E4D1)
 START_HASH = _U(0x57A257A257A257A3)
-#: Numbers of the start and of words that an automaton does not have.
-START, OTHER = -2, -1
 
-CODED = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, words binary, codes binary"
+CODED = "chunk long, size long, doc_ids array<long>, held array<boolean>, lengths array<int>, words binary, codes binary"
+ASKED = "chunk long, kind int, range int, keys binary, one binary, two binary, three binary"
+ANSWERED = "chunk long, kind int, range int, one binary, two binary, three binary, distinct long, total long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+#: Kinds of keys: those that are counted, and contexts whose arcs are summed.
+WORD, BIGRAM, TRIGRAM, WORD_ARCS, PAIR_ARCS = 1, 2, 3, 4, 5
+COUNTED = (WORD, BIGRAM, TRIGRAM)
+NUMBERS = ("one", "two", "three")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers with all first bytes first: small or sorted ones compress well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as the steps between them."""
+    return _planes(np.diff(values, prepend=_U(0)))
+
+
+def _from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw, "<u8"), dtype=_U)
 
 
 def code_documents(docs: DataFrame) -> DataFrame:
@@ -55,172 +83,45 @@ def code_documents(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        ids, held, texts, size = [], [], [], 0
+        ids, held, lengths, hashes, size = [], [], [], [], 0
 
         def row():
             nonlocal made
-            lengths = [len(t) + 1 for t in texts]
-            flat = word_hashes([w for t in texts for w in t])
-            ends = np.cumsum(lengths) - 1
-            whole = np.empty(sum(lengths), dtype=_U)
-            inside = np.ones(len(whole), dtype=bool)
-            inside[ends] = False
-            whole[inside], whole[ends] = flat, END_HASH
-            words, codes = np.unique(whole, return_inverse=True)
+            words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
             made += 1
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(part << 33) + made], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([held], pa.list_(pa.bool_())),
-                    pa.array([lengths], pa.list_(pa.int32())),
-                    pa.array([words.tobytes()], pa.binary()),
-                    pa.array([_planes(codes.astype("<u4"))], pa.binary()),
-                ],
-                names=["chunk", "doc_ids", "held", "lengths", "words", "codes"],
-            )
+            columns = [(part << 33) + made, size, ids, held, lengths, _steps(words), _planes(codes.astype("<u4"))]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "size", "doc_ids", "held", "lengths", "words", "codes"])
 
-        for batch in batches:
+        for batch in slices_of(batches):
             for i, h, t in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids.append(i)
                 held.append(h)
-                texts.append(words_of(t))
-                size += len(texts[-1]) + 1
+                hashes.append(np.append(word_hashes(words_of(t)), END_HASH))
+                lengths.append(len(hashes[-1]))
+                size += lengths[-1]
                 if size >= CHUNK_WORDS:
                     yield row()
-                    ids, held, texts, size = [], [], [], 0
+                    ids, held, lengths, hashes, size = [], [], [], [], 0
+                    trim()
         if ids:
             yield row()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(F.col("doc_id"), 10) == 0).alias("held"), "text")
-    return materialize(slim.mapInArrow(code, CODED), "coded")
-
-
-def _training_tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of a chunk, the text number of each, and whether its text is for training."""
-    codes = _from_planes(row["codes"], "<u4").astype(np.int64)
-    lengths = np.array(row["lengths"], dtype=np.int64)
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    return codes, of, ~np.array(row["held"], dtype=bool)[of]
+    return materialize(slim.mapInArrow(lean(code), CODED), "coded")
 
 
 def _range_bits(coded: DataFrame) -> int:
-    """Bits of the number of hash ranges: about twice the number of chunks, 64 to 65536, so that a range's part stays small."""
-    return int(min(16, max(6, np.ceil(np.log2(max(1, 2 * coded.count()))))))
+    """Bits of the number of hash ranges: 64 ranges, or one for every RANGE_TOKENS tokens."""
+    tokens = coded.agg(F.sum("size")).first()[0] or 0
+    return max(6, int(np.ceil(np.log2(max(1, tokens / RANGE_TOKENS)))))
 
 
 def _rows(batches):
-    for batch in batches:
+    for batch in slices_of(batches):
         yield from batch.to_pylist()
 
 
-def count_words(coded: DataFrame, bits: int) -> DataFrame:
-    """chunk, range, counts: for the words of a chunk in a hash range, in their order, the training count in all texts.
-
-    Further rows with chunk -1 have the range's own figures: its numbers of
-    distinct training words and of training words.
-    """
-
-    ranges = 1 << bits
-
-    def ask(batches):
-        import pyarrow as pa
-
-        for row in _rows(batches):
-            words = np.frombuffer(row["words"], dtype=_U)
-            codes, _, train = _training_tokens(row)
-            counts = np.bincount(codes[train], minlength=len(words)).astype("<i8")
-            cut = np.searchsorted(words >> _U(64 - bits), np.arange(ranges + 1, dtype=_U))
-            some = np.flatnonzero(np.diff(cut)).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["chunk"]] * len(some), pa.int64()),
-                    pa.array(some, pa.int32()),
-                    pa.array([words[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()),
-                    pa.array([counts[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()),
-                ],
-                names=["chunk", "range", "words", "counts"],
-            )
-
-    def answer(batches):
-        """All rows of a range come together; what is held is the range's distinct words and the chunks' parts."""
-        import pyarrow as pa
-
-        def solve(rows):
-            words = [np.frombuffer(r["words"], dtype=_U) for r in rows]
-            every, place = np.unique(np.concatenate(words), return_inverse=True)
-            given = np.concatenate([np.frombuffer(r["counts"], dtype="<i8") for r in rows])
-            total = np.zeros(len(every), dtype=np.int64)
-            np.add.at(total, place, given)
-            back = np.split(total[place], np.cumsum([len(w) for w in words])[:-1])
-            chunk = [r["chunk"] for r in rows] + [-1]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(chunk, pa.int64()),
-                    pa.array([rows[0]["range"]] * len(chunk), pa.int32()),
-                    pa.array([_planes(b.astype("<i8")) for b in back] + [None], pa.binary()),
-                    pa.array([None] * len(rows) + [int((total > 0).sum())], pa.int64()),
-                    pa.array([None] * len(rows) + [int(total.sum())], pa.int64()),
-                ],
-                names=["chunk", "range", "counts", "distinct", "tokens"],
-            )
-
-        held = []
-        for row in _rows(batches):
-            if held and held[0]["range"] != row["range"]:
-                yield solve(held)
-                held = []
-            held.append(row)
-        if held:
-            yield solve(held)
-
-    asked = coded.mapInArrow(ask, "chunk long, range int, words binary, counts binary")
-    dealt = asked.repartition("range").sortWithinPartitions("range", "chunk")
-    return materialize(dealt.mapInArrow(answer, "chunk long, range int, counts binary, distinct long, tokens long"), "counts")
-
-
-@dataclass
-class Automaton:
-    """Words by hash; arcs of word and two-word states by key; logs of arcs, and of failure arcs."""
-
-    words: np.ndarray  # sorted hashes
-    bigrams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    bigram_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    word_fail: np.ndarray = field(default_factory=lambda: np.zeros(2))  # START and OTHER stand at the end
-    trigrams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    trigram_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pair_fail: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers; OTHER for words that the automaton does not have."""
-        if not len(self.words):
-            return np.full(len(hashes), OTHER, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, OTHER)
-
-    def arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Keys of arcs from a word (START is one) or from a bigram's place."""
-        return (state + 2) * (len(self.words) + 2) + word + 2
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def _histories(numbers: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words one and two before each token; START before a text's first one, OTHER before that."""
-    first = np.r_[True, of[1:] != of[:-1]]
-    one = np.r_[START, numbers[:-1]]
-    one[first] = START
-    two = np.r_[OTHER, one[:-1]]
-    two[first] = OTHER
-    return one, two
-
-
 def _extend(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Hashes of n-grams from those of all words but the last, and of the last."""
     with np.errstate(over="ignore"):
@@ -230,265 +131,280 @@ def _extend(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers with all first bytes first: small or sorted ones compress well."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-
-
-def _from_planes(raw: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-ASKED = "chunk long, kind int, range int, keys binary, one binary, two binary"
-
-
-def _ask(chunk: int, kind: int, keys: np.ndarray, one: np.ndarray, two: np.ndarray | None, bits: int):
-    """Rows by hash range of a chunk's keys with one or two numbers each; answers come back in the order of the keys."""
+def _ask(chunk: int, kind: int, keys: np.ndarray, bits: int, *numbers: np.ndarray):
+    """Rows by hash range of a chunk's keys, sorted, with one or three numbers each."""
     import pyarrow as pa
 
-    order = np.argsort(keys, kind="stable")
-    keys, one, two = keys[order], one[order], None if two is None else two[order]
+    order = np.argsort(keys)
+    keys = keys[order]
     cut = np.searchsorted(keys >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=_U))
     some = np.flatnonzero(np.diff(cut)).tolist()
-    part = lambda x: pa.array([None if x is None else _planes(x[cut[r] : cut[r + 1]]) for r in some], pa.binary())
+    part = lambda x, f=_planes: pa.array([f(x[cut[r] : cut[r + 1]]) for r in some], pa.binary())
+    given = [part(x[order].astype("<i8")) for x in numbers]
+    given += [pa.nulls(len(some), pa.binary())] * (3 - len(given))
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk] * len(some), pa.int64()), pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), part(keys), part(one), part(two)],
-        names=["chunk", "kind", "range", "keys", "one", "two"],
+        [pa.array([chunk] * len(some), pa.int64()), pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), part(keys, _steps), *given],
+        names=["chunk", "kind", "range", "keys", *NUMBERS],
     )
 
 
-def _answer(asked: DataFrame, name: str) -> DataFrame:
-    """chunk, kind, range, one: for each row of ``asked`` what follows from the sums of its keys' numbers over all chunks.
+def _sum_range(rows: list[dict]):
+    """Answers to all rows of one kind and range, in the order of each row's keys.
 
-    Where only one number is given it is a count; its sum is doubled, and one is added for the first chunk, the owner.
-    Two are those of ``_fail``, whose value is given back.
+    Of counted keys ``one`` is twice the sum, and 1 more for the first chunk,
+    the owner; a further row of chunk -1 has the range's own number of keys with
+    a count and their sum. Of contexts all three are sums.
     """
+    import pyarrow as pa
 
-    def solve(rows):
-        import pyarrow as pa
-
-        keys = [_from_planes(r["keys"], "<u8") for r in rows]
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        every, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    keys = [_from_steps(r["keys"]) for r in rows]
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    every, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+
+    def total(column: str) -> np.ndarray:
+        given = np.concatenate([_from_planes(r[column], "<i8") for r in rows])
+        return np.bincount(place, weights=given, minlength=len(every)).astype("<i8")
+
+    back = lambda x: [_planes(p) for p in np.split(x, cut)]
+    chunk, kind, n = [r["chunk"] for r in rows], rows[0]["kind"], len(rows)
+    own: list[list] = [[None] * n, [None] * n]
+    if kind in COUNTED:
+        count = total("one")
+        one = 2 * count[place]
+        one[first] += 1
+        chunk, numbers = [*chunk, -1], [[*back(one), None]] + [[None] * (n + 1)] * 2
+        own = [[*own[0], int(np.count_nonzero(count))], [*own[1], int(count.sum())]]
+    else:
+        numbers = [back(total(c)[place]) for c in NUMBERS]
+    same = lambda k: pa.array([rows[0][k]] * len(chunk), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunk, pa.int64()), same("kind"), same("range"), *(pa.array(x, pa.binary()) for x in numbers), *(pa.array(x, pa.int64()) for x in own)],
+        names=["chunk", "kind", "range", *NUMBERS, "distinct", "total"],
+    )
 
-        def total(column, kind):
-            given = np.concatenate([_from_planes(r[column], kind) for r in rows])
-            out = np.zeros(len(every), dtype=kind)
-            np.add.at(out, place, given)
-            return out[place]
 
-        if rows[0]["two"] is None:
-            one = 2 * total("one", "<i8")
-            one[first] += 1
-        else:
-            one = _fail(total("one", "<f8"), total("two", "<f8"))
-        ints = lambda k: pa.array([r[k] for r in rows], pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), ints("kind"), ints("range"), pa.array([_planes(x) for x in np.split(one, cut)], pa.binary())], names=["chunk", "kind", "range", "one"])
+def _answer(asked: DataFrame, name: str) -> DataFrame:
+    """What ``_sum_range`` says to each row of ``asked``."""
 
     def answer(batches):
-        """All rows of a range come together; what is held is their keys and numbers."""
-        held = []
+        held: list[dict] = []
         for row in _rows(batches):
             if held and (held[0]["kind"], held[0]["range"]) != (row["kind"], row["range"]):
-                yield solve(held)
+                yield _sum_range(held)
                 held = []
+                trim()
             held.append(row)
         if held:
-            yield solve(held)
+            yield _sum_range(held)
 
     dealt = asked.repartition("kind", "range").sortWithinPartitions("kind", "range", "chunk")
-    return materialize(dealt.mapInArrow(answer, "chunk long, kind int, range int, one binary"), name)
+    return materialize(dealt.mapInArrow(lean(answer), ANSWERED), name)
+
+
+def _in_order_of(keys: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    """Values that came by sorted keys, by the keys as they stand."""
+    out = np.empty_like(sorted_values)
+    out[np.argsort(keys)] = sorted_values
+    return out
 
 
-#: Kinds of answers.
-WORD, BIGRAM, HISTORY, TRIGRAM, PAIR = 1, 2, 3, 4, 5
+def _sums(context: np.ndarray, n: int, counts: np.ndarray, lower: np.ndarray) -> list[np.ndarray]:
+    """By context: the number of arcs, the sum of their counts, and that of the counts without the first word."""
+    return [np.bincount(context, minlength=n), *(np.bincount(context, weights=x, minlength=n) for x in (counts, lower))]
+
+
+def _fail(used: np.ndarray, below: np.ndarray) -> np.ndarray:
+    return np.maximum(1 - used, 1e-12) / np.maximum(1 - below, 1e-12)
 
 
 class Part:
-    """A chunk's part of the automaton, as far as answers to its questions have come."""
-
-    def __init__(self, row: dict, n: int = 0, v: int = 0):
-        self.row, self.n, self.v = row, n, v
-        self.words = np.frombuffer(row["words"], dtype=_U)
-        self.codes, self.of, self.train = _training_tokens(row)
-        one, two = _histories(self.codes, self.of)
-        self.model = Automaton(self.words)
-        self.keys, self.pair = np.unique(self.model.arc(one, self.codes), return_inverse=True)
-        self.history, self.word = self.keys // (len(self.words) + 2) - 2, self.keys % (len(self.words) + 2) - 2
-        self.third = np.flatnonzero(two != OTHER)
-
-    def hashes(self) -> np.ndarray:
-        """Of the bigrams."""
-        return _extend(np.where(self.history == START, START_HASH, self.words[self.history]), self.words[self.word])
-
-    def ask_bigrams(self, bits: int):
-        count = np.bincount(self.pair[self.train], minlength=len(self.keys)).astype("<i8")
-        return _ask(self.row["chunk"], BIGRAM, self.hashes(), count, None, bits)
-
-    def take(self, answers: dict[int, list[dict]]) -> None:
-        got = lambda k, t: np.concatenate([np.zeros(0, t), *(_from_planes(r["one"], t) for r in answers.get(k, []))])
-        back = lambda keys, x: x[np.argsort(np.argsort(keys, kind="stable"), kind="stable")]
-        self.counts = got(WORD, "<i8")
-        self.unigram = (self.counts + ADD) / (self.n + ADD * (self.v + 1))
-        hashes = self.hashes()
-        total = back(hashes, got(BIGRAM, "<i8"))
-        kept = total >> 1 >= LEAST_COUNT
-        end = int(np.searchsorted(self.words, END_HASH))  # the end's count is that of the training texts
-        of_history = np.where(self.history == START, self.counts[end], self.counts[self.history])
-        place = np.where(kept, np.cumsum(kept) - 1, -1)
-        self.pairs, self.owned, count = hashes[kept], (total & 1 == 1)[kept], (total >> 1)[kept]
-        self.history, self.word = self.history[kept], self.word[kept]
-        self.share = (count - DISCOUNT) / np.maximum(of_history[kept], count)
-        self.model.bigrams, self.model.bigram_log = self.keys[kept], np.log10(self.share)
-        # trigrams of kept bigrams only: a trigram is no more frequent than its parts
-        state, last = place[self.pair[self.third - 1]], place[self.pair[self.third]]
-        ok = (state >= 0) & (last >= 0)
-        self.keys3, of = np.unique(state[ok] * max(1, len(count)) + last[ok], return_inverse=True)
-        self.count3 = np.bincount(of[self.train[self.third[ok]]], minlength=len(self.keys3)).astype("<i8")
-        self.state, self.lower = self.keys3 // max(1, len(count)), self.keys3 % max(1, len(count))
-        self.hashes3 = _extend(self.pairs[self.state], self.words[self.word[self.lower]])
-        # words that stand often enough to be a context, and the start
-        self.often = np.r_[np.flatnonzero(self.counts >= LEAST_COUNT), START]
-        self.often_hash = np.r_[self.words[self.often[:-1]], START_HASH]
-        self.model.word_fail = np.zeros(len(self.words) + 2)
-        if HISTORY in answers:
-            self.model.word_fail[self.often] = back(self.often_hash, got(HISTORY, "<f8"))
-            total3 = back(self.hashes3, got(TRIGRAM, "<i8"))
-            kept3 = total3 >> 1 >= LEAST_COUNT
-            self.state, self.lower, self.owned3, count3 = self.state[kept3], self.lower[kept3], (total3 & 1 == 1)[kept3], (total3 >> 1)[kept3]
-            self.share3 = (count3 - DISCOUNT) / np.maximum(count[self.state], count3)
-            keys = self.model.arc(self.state, self.word[self.lower])
-            order = np.argsort(keys)
-            self.model.trigrams, self.model.trigram_log = keys[order], np.log10(self.share3)[order]
-            self.model.pair_fail = np.zeros(len(count))
-        if PAIR in answers:
-            self.model.pair_fail = back(self.pairs, got(PAIR, "<f8"))
+    """A chunk's part of the automaton, as far as the answers to its questions have come.
 
-    def ask_trigrams(self, bits: int):
-        """Counts of trigrams, and the sums of words' arcs."""
-        own = self.owned
-        used, below = (np.bincount(self.history[own] + 2, weights=x, minlength=len(self.words) + 2) for x in (self.share[own], self.unigram[self.word[own]]))
-        yield _ask(self.row["chunk"], HISTORY, self.often_hash, used[self.often + 2], below[self.often + 2], bits)
-        yield _ask(self.row["chunk"], TRIGRAM, self.hashes3, self.count3, None, bits)
+    States and arcs are places in tables: words by hash (the start of a text is
+    one more), the chunk's bigrams with an arc, its trigrams with an arc.
+    """
 
-    def ask_pairs(self, bits: int):
-        """The sums of bigrams' arcs."""
-        own = self.owned3
-        used, below = (np.bincount(self.state[own], weights=x, minlength=len(self.pairs)) for x in (self.share3[own], self.share[self.lower[own]]))
-        return _ask(self.row["chunk"], PAIR, self.pairs, used, below, bits)
+    def __init__(self, row: dict):
+        self.chunk = row["chunk"]
+        self.words = _from_steps(row["words"])
+        self.codes = _from_planes(row["codes"], "<u4").astype(np.int64)
+        self.lengths = np.array(row["lengths"], dtype=np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.train = np.repeat(~np.array(row["held"], dtype=bool), self.lengths)
+        self.start, wide = len(self.words), len(self.words) + 1
+        before = np.empty_like(self.codes)
+        before[1:] = self.codes[:-1]
+        before[self.first] = self.start
+        #: bigram of each token with the one before it
+        keys, self.pair = np.unique(before * wide + self.codes, return_inverse=True)
+        self.history, self.word = keys // wide, keys % wide
+        self.pair_hash = _extend(np.append(self.words, START_HASH)[self.history], self.words[self.word])
+
+    def ask_counts(self, bits: int):
+        """Training counts of words and bigrams."""
+        count = lambda at, n: np.bincount(at[self.train], minlength=n)
+        yield _ask(self.chunk, WORD, self.words, bits, count(self.codes, len(self.words)))
+        yield _ask(self.chunk, BIGRAM, self.pair_hash, bits, count(self.pair, len(self.pair_hash)))
+
+    def take_counts(self, answers: dict, n: int, v: int) -> None:
+        """Bigrams without an arc go."""
+        self.count = answers[WORD][0] >> 1
+        self.all_words = n + ADD * (v + 1)
+        self.unigram = (self.count + ADD) / self.all_words
+        # the start stands as often as the end
+        self.of_context = np.append(self.count, self.count[np.searchsorted(self.words, END_HASH)])
+        got = _in_order_of(self.pair_hash, answers[BIGRAM][0])
+        kept = got >> 1 >= LEAST_COUNT
+        self.pair = np.where(kept, np.cumsum(kept) - 1, -1)[self.pair]
+        self.pair_hash, self.history, self.word = self.pair_hash[kept], self.history[kept], self.word[kept]
+        self.pair_count, self.pair_owned = got[kept] >> 1, (got[kept] & 1).astype(bool)
+        # contexts of one word that can have arcs
+        self.context = np.flatnonzero(self.of_context >= LEAST_COUNT)
+        self.context_hash = np.append(self.words, START_HASH)[self.context]
+        # trigrams of two bigrams with arcs only: none is more frequent than its parts
+        ahead = np.empty_like(self.pair)
+        ahead[1:] = self.pair[:-1]
+        ahead[self.first] = -1
+        #: the two-word state before each token, or -1
+        self.state = ahead
+        some, wide = (ahead >= 0) & (self.pair >= 0), max(1, len(self.pair_hash))
+        keys, at = np.unique(ahead[some] * wide + self.pair[some], return_inverse=True)
+        self.triple = np.full(len(self.codes), -1, dtype=np.int64)
+        self.triple[some] = at
+        self.context3, self.lower = keys // wide, keys % wide
+        self.triple_hash = _extend(self.pair_hash[self.context3], self.words[self.word[self.lower]])
 
+    def ask_trigrams(self, bits: int):
+        """Training counts of trigrams, and the sums over words' arcs."""
+        own, n = self.pair_owned, len(self.words) + 1
+        sums = _sums(self.history[own], n, self.pair_count[own], self.count[self.word[own]])
+        yield _ask(self.chunk, WORD_ARCS, self.context_hash, bits, *(x[self.context] for x in sums))
+        some = self.triple[self.train & (self.triple >= 0)]
+        yield _ask(self.chunk, TRIGRAM, self.triple_hash, bits, np.bincount(some, minlength=len(self.triple_hash)))
+
+    def take_trigrams(self, answers: dict) -> None:
+        """Trigrams without an arc go; arcs and failure arcs of words."""
+        arcs, sums, lower = (_in_order_of(self.context_hash, x) for x in answers[WORD_ARCS])
+        self.word_fail = np.ones(len(self.words) + 1)
+        self.word_fail[self.context] = _fail((sums - DISCOUNT * arcs) / self.of_context[self.context], (lower + ADD * arcs) / self.all_words)
+        self.on_pair = (self.pair_count - DISCOUNT) / self.of_context[self.history]
+        got = _in_order_of(self.triple_hash, answers[TRIGRAM][0])
+        kept = got >> 1 >= LEAST_COUNT
+        self.triple = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)[self.triple]
+        self.context3, self.lower = self.context3[kept], self.lower[kept]
+        self.triple_count, self.triple_owned = got[kept] >> 1, (got[kept] & 1).astype(bool)
 
-def _fail(used: np.ndarray, below: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(1 - used, 1e-12) / np.maximum(1 - below, 1e-12))
+    def ask_pairs(self, bits: int):
+        """The sums over bigrams' arcs."""
+        own, n = self.triple_owned, len(self.pair_hash)
+        yield _ask(self.chunk, PAIR_ARCS, self.pair_hash, bits, *_sums(self.context3[own], n, self.triple_count[own], self.pair_count[self.lower[own]]))
+
+    def take_pairs(self, answers: dict) -> None:
+        """Arcs and failure arcs of bigrams."""
+        arcs, sums, lower = (_in_order_of(self.pair_hash, x) for x in answers[PAIR_ARCS])
+        self.pair_fail = _fail((sums - DISCOUNT * arcs) / self.pair_count, (lower - DISCOUNT * arcs) / np.maximum(1, self.of_context[self.word]))
+        self.on_triple = (self.triple_count - DISCOUNT) / self.pair_count[self.context3]
+
+    def traverse(self) -> np.ndarray:
+        """log10 probability of each text, from left to right.
+
+        A token is read from the state that the arc before it led to: two words
+        if their bigram has an arc, else one word. It takes that state's arc if
+        there is one, else the failure arc, and tries again. As a state is known
+        from the two words before, the steps of all texts are taken together.
+        """
+        before = np.empty_like(self.codes)
+        before[1:] = self.codes[:-1]
+        before[self.first] = self.start
+        log = np.log10
+        none = np.zeros(1)  # for places of -1
+        by_pair, by_triple, pair_fail = (np.append(log(x), none) for x in (self.on_pair, self.on_triple, self.pair_fail))
+        shorter = np.where(self.pair >= 0, by_pair[self.pair], log(self.word_fail)[before] + log(self.unigram)[self.codes])
+        steps = np.where(self.triple >= 0, by_triple[self.triple], pair_fail[self.state] + shorter)
+        return np.add.reduceat(steps, self.first)
 
 
 def _with_answers(coded: DataFrame, *answers: DataFrame) -> DataFrame:
     """A chunk's row (kind 0) and then its answers, by kind and range."""
     fill = lambda names: [F.lit(None).cast(t).alias(c) for c, t in names]
     texts = [(f.name, f.dataType) for f in coded.schema if f.name != "chunk"]
-    rows = coded.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("range"), *[c for c, _ in texts], *fill([("one", "binary")]))
+    rows = coded.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("range"), *[c for c, _ in texts], *fill([(c, "binary") for c in NUMBERS]))
     for a in answers:
-        rows = rows.unionByName(a.select("chunk", "kind", "range", *fill(texts), "one"))
+        rows = rows.unionByName(a.filter("chunk >= 0").select("chunk", "kind", "range", *fill(texts), *NUMBERS))
     return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "range")
 
 
-def _parts(batches, n: int, v: int):
-    """The chunks' parts of the automaton from rows of ``_with_answers``."""
-    row, answers = None, {}
+def _parts(batches):
+    """The chunks' parts of the automaton, and their rows, from rows of ``_with_answers``."""
+    row, given = None, {}
 
     def part():
-        out = Part(row, n, v)
-        out.take(answers)
-        return out
+        out, answers = Part(row), {}
+        for kind, rows in given.items():
+            answers[kind] = [np.concatenate([_from_planes(r[c], "<i8") for r in rows]) for c in (NUMBERS[:1] if kind in COUNTED else NUMBERS)]
+        given.clear()
+        none = np.zeros(0, np.int64)
+        for kind in (WORD, BIGRAM, TRIGRAM, WORD_ARCS, PAIR_ARCS):
+            answers.setdefault(kind, [none] * 3)
+        return out, answers
 
     for r in _rows(batches):
         if r["kind"] == 0:
             if row is not None:
-                yield part()
-            row, answers = r, {}
+                yield (*part(), row)
+                trim()
+            row, given = r, {}
         else:
-            answers.setdefault(r["kind"], []).append(r)
+            given.setdefault(r["kind"], []).append(r)
     if row is not None:
-        yield part()
+        yield (*part(), row)
 
 
-def _answers(coded: DataFrame, counted: DataFrame, bits: int) -> tuple[DataFrame, int, int]:
-    """Chunks with all answers, the number of training tokens, and that of distinct ones."""
-    sums = counted.filter("chunk = -1").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
-    n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-    words = counted.filter("chunk >= 0").select("chunk", F.lit(WORD).alias("kind"), "range", F.col("counts").alias("one"))
+def _answers(docs: DataFrame) -> tuple[DataFrame, list[DataFrame], int, int]:
+    """Chunks, all answers to them, the number of training tokens, and that of distinct ones."""
+    coded = code_documents(docs)
+    bits = _range_bits(coded)
 
-    def bigrams(batches):
+    def counts(batches):
         for row in _rows(batches):
-            yield Part(row).ask_bigrams(bits)
+            yield from Part(row).ask_counts(bits)
+            trim()
+
+    one = _answer(coded.mapInArrow(lean(counts), ASKED), "counts")
+    own = one.filter(F.col("chunk") == -1).filter(F.col("kind") == WORD).agg(F.sum("total"), F.sum("distinct")).first()
+    n, v = int(own[0] or 0), int(own[1] or 0)
 
     def trigrams(batches):
-        for part in _parts(batches, n, v):
+        for part, answers, _ in _parts(batches):
+            part.take_counts(answers, n, v)
             yield from part.ask_trigrams(bits)
 
+    two = _answer(_with_answers(coded, one).mapInArrow(lean(trigrams), ASKED), "trigrams")
+
     def pairs(batches):
-        for part in _parts(batches, n, v):
-            yield part.ask_pairs(bits)
-
-    two = _answer(coded.mapInArrow(bigrams, ASKED), "bigrams")
-    three = _answer(_with_answers(coded, words, two).mapInArrow(trigrams, ASKED), "trigrams")
-    sums = _answer(_with_answers(coded, words, two, three).mapInArrow(pairs, ASKED), "pairs")
-    return _with_answers(coded, words, two, three, sums), n, v
-
-
-def learn(coded: DataFrame, counted: DataFrame, bits: int) -> tuple[Automaton, int, int]:
-    """The whole automaton, the number of training tokens, and that of distinct ones; for looking into models of small corpora."""
-    rows, n, v = _answers(coded, counted, bits)
-    parts = [p.model for p in _parts(rows.toArrow().to_batches(), n, v)]
-    model = Automaton(np.unique(np.concatenate([np.zeros(0, _U), *(p.words for p in parts)])))
-    model.word_fail = np.zeros(len(model.words) + 2)
-    two: dict[int, tuple[float, float]] = {}
-    three: dict[tuple[int, int], float] = {}
-    for p in parts:
-        wide, to = len(p.words) + 2, model.number(p.words)
-        model.word_fail[to], model.word_fail[START] = p.word_fail[:-2], p.word_fail[START]
-        history, word = p.bigrams // wide - 2, p.bigrams % wide - 2
-        keys = model.arc(np.where(history == START, START, to[history]), to[word]).tolist()
-        two.update(zip(keys, zip(p.bigram_log.tolist(), p.pair_fail.tolist(), strict=True), strict=True))
-        for arc, log in zip(p.trigrams.tolist(), p.trigram_log.tolist(), strict=True):
-            three[keys[arc // wide - 2], int(to[arc % wide - 2])] = log
-    model.bigrams = np.array(sorted(two), dtype=np.int64)
-    model.bigram_log, model.pair_fail = (np.array([two[k][i] for k in sorted(two)]) for i in range(2))
-    arcs = sorted((int(model.arc(np.searchsorted(model.bigrams, k), w)), log) for (k, w), log in three.items())
-    model.trigrams, model.trigram_log = np.array([a for a, _ in arcs], dtype=np.int64), np.array([x for _, x in arcs])
-    return model, n, v
-
-
-def traverse(model: Automaton, numbers: np.ndarray, lengths: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """log10 probability of each text: all texts take their first step, then their second, and so on, each carrying its state.
-
-    A state is the last word and, if that bigram is in the automaton, the last
-    two. Tries the longest context's arc; without one takes the failure arc.
-    """
-    total = np.zeros(len(lengths))
-    order = np.argsort(-lengths, kind="stable")
-    start = (np.cumsum(lengths) - lengths)[order]
-    left = lengths[order]
-    word = np.full(len(lengths), START, dtype=np.int64)
-    pair = np.full(len(lengths), -1, dtype=np.int64)
-    result = np.zeros(len(lengths))
-    alive = len(left)
-    for t in range(int(left[0]) if len(left) else 0):
-        while alive and left[alive - 1] <= t:
-            alive -= 1
-        w, at = numbers[start[:alive] + t], start[:alive] + t
-        p, h = pair[:alive], word[:alive]
-        arc3 = np.where((p >= 0) & (w >= 0), _find(model.trigrams, model.arc(p, w)), -1)
-        arc2 = np.where((h != OTHER) & (w >= 0), _find(model.bigrams, model.arc(h, w)), -1)
-        log = np.where(arc2 >= 0, model.bigram_log[arc2] if len(model.bigram_log) else 0.0, model.word_fail[h] + base[at])
-        if len(model.trigrams):
-            log = np.where(arc3 >= 0, model.trigram_log[arc3], log + np.where(p >= 0, model.pair_fail[p], 0.0))
-        elif len(model.pair_fail):
-            log = log + np.where(p >= 0, model.pair_fail[p], 0.0)
-        result[:alive] += log
-        word[:alive], pair[:alive] = w, arc2
-    total[order] = result
-    return total
+        for part, answers, _ in _parts(batches):
+            part.take_counts(answers, n, v)
+            part.take_trigrams(answers)
+            yield from part.ask_pairs(bits)
+
+    three = _answer(_with_answers(coded, one, two).mapInArrow(lean(pairs), ASKED), "pairs")
+    return coded, [one, two, three], n, v
+
+
+def _complete(batches, n: int, v: int):
+    for part, answers, row in _parts(batches):
+        part.take_counts(answers, n, v)
+        part.take_trigrams(answers)
+        part.take_pairs(answers)
+        yield part, row
+
+
+def whole_automaton(docs: DataFrame) -> tuple[Part, int, int]:
+    """The automaton of a corpus of one chunk, the number of training tokens, and that of distinct ones; for looking into it."""
+    coded, answers, n, v = _answers(docs)
+    ((part, _),) = _complete(_with_answers(coded, *answers).toArrow().to_batches(), n, v)
+    forget(coded, *answers)
+    return part, n, v
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -498,33 +414,32 @@ def score_documents(docs: DataFrame) -> DataFrame:
     all, whole. A null text counts as empty and has the end alone; a null
     doc_id counts as an empty id. Repeated rows are learned from as often as
     they stand. Without training tokens every token has the chance of an
-    unknown one. Columns other than doc_id and text are not read.
+    unknown one. An empty table gives an empty table. A text longer than
+    CHUNK_WORDS is a chunk of its own, so the longest text must fit a task at
+    about 200 bytes a word. Columns other than doc_id and text are not read,
+    whatever their names.
     """
-    coded = code_documents(docs)
-    bits = _range_bits(coded)
-    rows, n, v = _answers(coded, count_words(coded, bits), bits)
+    coded, answers, n, v = _answers(docs)
 
     def score(batches):
         import pyarrow as pa
 
-        for part in _parts(batches, n, v):
-            row = part.row
-            lengths = np.array(row["lengths"], dtype=np.int64)
+        for part, row in _complete(batches, n, v):
             base = np.log10(part.unigram)[part.codes]
-            known = (part.counts > 0)[part.codes]
-            first = np.cumsum(lengths) - lengths
-            scores = traverse(part.model, part.codes, lengths, base)
+            known = (part.count > 0)[part.codes]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array(row["held"], pa.bool_()),
-                    pa.array(lengths),
-                    pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                    pa.array(np.full(len(lengths), n, dtype=np.int64)),
-                    pa.array(np.add.reduceat(base, first)),
-                    pa.array(scores),
+                    pa.array(part.lengths),
+                    pa.array(np.add.reduceat(known.astype(np.int64), part.first)),
+                    pa.array(np.full(len(part.lengths), n, dtype=np.int64)),
+                    pa.array(np.add.reduceat(base, part.first)),
+                    pa.array(part.traverse()),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = materialize(_with_answers(coded, *answers).mapInArrow(lean(score), SCORED), "scores")
+    forget(coded, *answers)
+    return scored

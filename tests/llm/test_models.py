@@ -96,27 +96,27 @@ def test_language_model(spark, no_docs, odd_docs):
 
 def test_automaton_states_sum_to_one(spark):
     rows = [(i, t) for i, t in enumerate(["a b a b c", "a b c", "b a b", "c c a", "a b"] * 6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    coded = lm.code_documents(docs)
-    bits = lm._range_bits(coded)
-    counted = lm.count_words(coded, bits)
-    model, n, v = lm.learn(coded, counted, bits)
-    assert len(model.bigrams) and len(model.trigrams)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    part, n, v = lm.whole_automaton(docs)
+    assert len(part.on_pair) and len(part.on_triple)
     counts = collections.Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in tokens(t))
-    from pagestrata.llm.shingles import word_hashes
-
-    number = {w: int(model.number(word_hashes([w]) if w else np.array([lm.END_HASH]))[0]) for w in counts}
-    base = {w: math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for w, c in counts.items()}
-    unknown = math.log10(0.1 / (n + 0.1 * (v + 1)))
-
-    def score(seq, logs):
-        return lm.traverse(model, np.array(seq), np.array([len(seq)]), np.array(logs))[0]
-
-    for context in ([], [b"a"], [b"a", b"b"], [b"b", b"a"], [b"c", b"c"]):
-        seq, logs = [number[w] for w in context], [base[w] for w in context]
-        before = score(seq, logs) if seq else 0.0
-        total = sum(10 ** (score([*seq, k], [*logs, base[w]]) - before) for w, k in number.items()) + 10 ** (score([*seq, lm.OTHER], [*logs, unknown]) - before)
-        assert math.isclose(total, 1.0, rel_tol=1e-9)
+    assert (n, v) == (sum(counts.values()), len(counts))
+    pairs = {(h, w): k for k, (h, w) in enumerate(zip(part.history.tolist(), part.word.tolist()))}
+    unigram = [*part.unigram.tolist(), 0.1 / (n + 0.1 * (v + 1))]  # the last stands for all unknown words
+
+    def after(word, w):
+        at = pairs.get((word, w))
+        return part.on_pair[at] if at is not None else part.word_fail[word] * unigram[w]
+
+    every = range(len(unigram))
+    assert math.isclose(sum(unigram), 1.0, rel_tol=1e-9)
+    for word in range(len(part.words) + 1):
+        assert math.isclose(sum(after(word, w) for w in every), 1.0, rel_tol=1e-9)
+    arcs = {(c, part.word[k]): x for c, k, x in zip(part.context3.tolist(), part.lower.tolist(), part.on_triple.tolist())}
+    end = int(np.searchsorted(part.words, lm.END_HASH))
+    for (_, second), k in pairs.items():
+        if second != end:
+            assert math.isclose(sum(arcs[k, w] if (k, w) in arcs else part.pair_fail[k] * after(second, w) for w in every), 1.0, rel_tol=1e-9)
 
 
 def found_share(spark, x, step, k=5):
