@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, materialize, maybe_among, slices_of
+
 RATE = 0.2
 TARGET = 0.99
 SAMPLED = 3
@@ -370,18 +372,12 @@ def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, int, i
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, target: float = TARGET) -> DataFrame:
-    """doc_id, item_id, distance, item_words, end_word: each item that a document holds within its edits, at its best stretch.
-
-    Items are taken in blocks of ITEM_BLOCK, one pass each, so what goes to the
-    executors is bounded. Items and texts that are null or without words match
-    nothing; repeated rows give repeated results; an empty benchmark or corpus
-    gives no rows. Columns other than the ids and texts are not read.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, rate: float, target: float) -> DataFrame:
+    """``contaminated`` with h, a hash of the document's text."""
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    schema = "doc_id long, item_id long, distance int, item_words int, end_word int"
+    schema = "doc_id long, h long, item_id long, distance int, item_words int, end_word int"
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     out = None
     for b in range(blocks):
@@ -391,19 +387,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, targ
         def scan(batches, shared=shared):
             import pyarrow as pa
 
-            for batch in batches:
-                ids = batch["doc_id"].to_pylist()
+            for batch in slices_of(batches):
                 hits = search(shared.value, batch["text"].to_pylist())
-                cols = [[ids[h[0]] for h in hits], [h[1] for h in hits], [h[2] for h in hits], [h[4] for h in hits], [h[3] for h in hits]]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "distance", "item_words", "end_word"])
+                rows = pa.array([x[0] for x in hits], pa.int64())
+                cols = [pa.array([x[i] for x in hits], k) for i, k in ((1, pa.int64()), (2, pa.int32()), (4, pa.int32()), (3, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(rows), batch["h"].take(rows), *cols], names=["doc_id", "h", "item_id", "distance", "item_words", "end_word"])
 
-        found = slim.mapInArrow(scan, schema)
+        found = slim.mapInArrow(lean(scan), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, target: float = TARGET) -> DataFrame:
+    """doc_id, item_id, distance, item_words, end_word: each item that a document holds within its edits, at its best stretch.
+
+    Of stretches of one distance that of the first end is given. Items are
+    taken in blocks of ITEM_BLOCK, one pass each, so what goes to the executors
+    is bounded. Items and texts that are null or without words match nothing;
+    repeated rows give repeated results, a null doc_id stays null; an empty
+    benchmark or corpus gives no rows. A text is read whole by one task, at some
+    100 bytes a word. Columns other than the ids and texts are not read,
+    whatever their names.
+    """
+    return _found(docs, benchmark, rate, target).drop("h")
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; a null doc_id is never removed."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` without the documents that hold an item; all columns stay, whatever their names.
+
+    Decisions are by doc_id (null is one) and text, so a clean text under the
+    id of a contaminated one stays, and repeated rows go or stay together.
+    """
+    gone = materialize(_found(docs, benchmark, RATE, TARGET).select("doc_id", "h").distinct(), "gone")
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    # most texts are not among them and need no shuffle
+    maybe = maybe_among(gone, "h")("_h")
+    some = packed.filter(maybe).join(gone, F.col("_id").eqNullSafe(gone["doc_id"]) & (F.col("_h") == gone["h"]), "left_anti")
+    return packed.filter(~maybe).select("_row").unionByName(some.select("_row")).select("_row.*")

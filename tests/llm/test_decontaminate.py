@@ -69,6 +69,41 @@ def test_blocks_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert kept.columns == odd_docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 7]
 
 
+def test_decisions_by_id_and_text(spark):
+    """A clean text stays under the id of a contaminated one; null ids; columns named like the operator's own."""
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(7, f"before {item} after", 1, "a"), (7, "a clean text of its own", 2, "b"), (None, f"null id {item}", 3, "c"), (None, "null id but clean", 4, "d"), (8, None, 5, "e"), (7, f"before {item} after", 6, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long, _row string")
+    kept = d.remove_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r["h"] for r in kept.collect()) == [2, 4, 5]
+
+
+def test_all_pairs_with_insertions_and_deletions(spark):
+    """Found pairs are those that brute force finds over every document and item."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(10, 40)))) for i in range(8)]
+    docs = []
+    for n in range(60):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        if n % 2:
+            got = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, int(0.25 * len(got)))):
+                at, kind = rng.randrange(len(got)), rng.randrange(3)
+                got[at : at + (kind > 0)] = ["new"] if kind < 2 else []
+            t[len(t) // 2 : len(t) // 2] = got
+        docs.append((n, " ".join(t)))
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {}
+    for n, t in docs:
+        for i, x in items:
+            a, b = x.split(), t.split()
+            if (least := brute(a, b)) <= int(0.2 * len(a) + 1e-9):
+                want[n, i] = least
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in found}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and all(want[k] == v for k, v in got.items())
+
+
 def test_long_items_with_all_their_edits():
     rng = np.random.default_rng(9)
     items = [(i, " ".join(f"w{w}" for w in rng.integers(0, 5000, 300))) for i in range(12)]

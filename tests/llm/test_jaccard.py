@@ -98,3 +98,20 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {1: 1, 2: 1, 3: 1, 10: 1, 9: 9, 7: 7, 8: 7, 20: 20, 21: 20, 22: 20, 23: 20}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_by_id_and_text(spark):
+    """Another text under the id of a copy stays; of equal rows one stays; null ids and empty texts stay."""
+    a, u = " ".join(f"w{i}" for i in range(40)), " ".join(f"u{i}" for i in range(40))
+    rows = [(1, a, 1), (5, a, 2), (5, u, 3), (1, a, 4), (None, a, 5), (9, "", 6), (10, None, 7), (9, "", 8), (5, a.upper(), 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long")
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r["node"] for r in kept.collect())
+    assert got in ([1, 3, 5, 6, 7, 8], [3, 4, 5, 6, 7, 8])
+
+
+def test_many_texts_of_one_id_and_many_copies(spark):
+    rows = [(7, " ".join(f"x{i} y{j} z{(i * j) % 7}" for j in range(12))) for i in range(120)] + [(100 + i, "the same few words in all of these rows") for i in range(400)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert len(got) == 520 and {r["component_id"] for r in got} == {7, 100}
