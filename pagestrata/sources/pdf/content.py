@@ -7,7 +7,9 @@ import unicodedata
 from collections.abc import Iterator
 from typing import Any
 
-from .syntax import File, Lexer, Name, Stream, Word, numbers
+from . import images, metrics
+from .cmaps import CodeMap, parse_cmap, predefined, truetype_texts
+from .syntax import PDF_DOC, File, Lexer, Name, Ref, Stream, Word, numbers
 
 Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1, 0, 0, 1, 0, 0)
@@ -23,62 +25,52 @@ def at(m: Matrix, x: float, y: float) -> tuple[float, float]:
     return m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]
 
 
-# Encodings that Python has; others start from Latin letters
-_ENCODINGS = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}
+# The codes of StandardEncoding that differ from ASCII, and those above it; None has no character.
+_STANDARD = {39: "’", 96: "‘", **dict(enumerate("¡¢£⁄¥ƒ§¤'“«‹›ﬁﬂ", 161)), **dict(enumerate("–†‡·", 177)), **dict(enumerate("¶•‚„”»…‰", 182)), 191: "¿", **dict(enumerate("`´ˆ˜¯˘˙¨", 193)), 202: "˚", 203: "¸", 205: "˝", 206: "˛", 207: "ˇ", 208: "—", 225: "Æ", 227: "ª", 232: "Ł", 233: "Ø", 234: "Œ", 235: "º", 241: "æ", 245: "ı", 248: "ł", 249: "ø", 250: "œ", 251: "ß"}
+
+
+def encoding(name: str) -> dict[int, str]:
+    """The characters of codes in one of the four base encodings."""
+    if name in ("WinAnsiEncoding", "MacRomanEncoding"):
+        codec = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman"}[name]
+        pairs = {c: bytes([c]).decode(codec, "ignore") for c in range(32, 256)}
+    elif name == "PDFDocEncoding":
+        pairs = {c: PDF_DOC.get(c, chr(c)) for c in range(24, 256)}
+    else:
+        pairs = {c: chr(c) for c in range(32, 127)} | _STANDARD
+    return {c: t for c, t in pairs.items() if t and not unicodedata.category(t).startswith("C")}
+
+
+# Glyph names that are not what Unicode calls their characters.
+_GLYPHS = {"hyphen": "-", "period": ".", "bullet": "•", "endash": "–", "emdash": "—", "quoteright": "’", "quoteleft": "‘", "quotedblleft": "“", "quotedblright": "”", "quotesingle": "'", "quotedbl": '"', "quotesinglbase": "‚", "quotedblbase": "„", "guillemotleft": "«", "guillemotright": "»", "guilsinglleft": "‹", "guilsinglright": "›", "parenleft": "(", "parenright": ")", "bracketleft": "[", "bracketright": "]", "braceleft": "{", "braceright": "}", "slash": "/", "fraction": "⁄", "plus": "+", "minus": "−", "equal": "=", "less": "<", "greater": ">", "at": "@", "ampersand": "&", "percent": "%", "dollar": "$", "numbersign": "#", "exclam": "!", "exclamdown": "¡", "question": "?", "questiondown": "¿", "asterisk": "*", "backslash": "\\", "bar": "|", "brokenbar": "¦", "underscore": "_", "grave": "`", "acute": "´", "dieresis": "¨", "macron": "¯", "cedilla": "¸", "circumflex": "ˆ", "tilde": "˜", "caron": "ˇ", "breve": "˘", "dotaccent": "˙", "ring": "˚", "ogonek": "˛", "hungarumlaut": "˝", "asciicircum": "^", "asciitilde": "~", "fi": "ﬁ", "fl": "ﬂ", "ff": "ﬀ", "ffi": "ﬃ", "ffl": "ﬄ", "germandbls": "ß", "AE": "Æ", "ae": "æ", "OE": "Œ", "oe": "œ", "Oslash": "Ø", "oslash": "ø", "Lslash": "Ł", "lslash": "ł", "dotlessi": "ı", "Eth": "Ð", "eth": "ð", "Thorn": "Þ", "thorn": "þ", "mu": "µ", "ellipsis": "…", "dagger": "†", "daggerdbl": "‡", "perthousand": "‰", "trademark": "™", "copyright": "©", "registered": "®", "degree": "°", "section": "§", "paragraph": "¶", "periodcentered": "·", "cent": "¢", "sterling": "£", "yen": "¥", "currency": "¤", "florin": "ƒ", "Euro": "€", "ordfeminine": "ª", "ordmasculine": "º", "onesuperior": "¹", "twosuperior": "²", "threesuperior": "³", "onehalf": "½", "onequarter": "¼", "threequarters": "¾", "multiply": "×", "divide": "÷", "plusminus": "±", "logicalnot": "¬", "nbspace": "\u00a0", "sfthyphen": "\u00ad"}
+# Accents in glyph names, as Unicode calls them.
+_ACCENTS = {"acute": "ACUTE", "grave": "GRAVE", "circumflex": "CIRCUMFLEX", "dieresis": "DIAERESIS", "tilde": "TILDE", "cedilla": "CEDILLA", "ring": "RING ABOVE", "caron": "CARON", "breve": "BREVE", "macron": "MACRON", "ogonek": "OGONEK", "dotaccent": "DOT ABOVE", "hungarumlaut": "DOUBLE ACUTE"}
 
 
 def glyph_text(name: str) -> str | None:
-    """A glyph's text by its name: uniXXXX, uXXXXX, single letters, and names that Unicode uses too."""
-    base = name.split(".")[0]
+    """A glyph's text by its name, without what follows a period; of names joined by underscores, all of theirs."""
+    parts = [_component(p) for p in name.split(".")[0].split("_")]
+    return None if None in parts or not name.split(".")[0] else "".join(parts)  # type: ignore[arg-type]
+
+
+def _component(base: str) -> str | None:
+    """uniXXXX, uXXXXX, single letters, accented letters, and names that Unicode uses too."""
     if m := re.fullmatch(r"uni((?:[0-9A-F]{4})+)|u([0-9A-F]{4,6})", base):
-        return "".join(chr(int(m[1][i : i + 4], 16)) for i in range(0, len(m[1]), 4)) if m[1] else chr(int(m[2], 16))
+        codes = [int(m[1][i : i + 4], 16) for i in range(0, len(m[1]), 4)] if m[1] else [int(m[2], 16)]
+        return None if any(0xD800 <= c < 0xE000 or c > 0x10FFFF for c in codes) else "".join(map(chr, codes))
     if len(base) == 1:
         return base
-    words = re.sub(r"([a-z])([A-Z])", r"\1 \2", base)
-    accent = re.fullmatch(r"([A-Za-z])(acute|grave|circumflex|dieresis|tilde|cedilla|ring|caron)", base)
-    tries = [words, f"{words} sign", f"{words} mark", f"digit {words}", f"left {words[:-4]}" if words.endswith("left") else words]
-    if accent:
-        mark = {"dieresis": "diaeresis", "ring": "ring above"}.get(accent[2], accent[2])
-        tries.insert(0, f"latin {'capital' if accent[1].isupper() else 'small'} letter {accent[1]} with {mark}")
+    if base in _GLYPHS:
+        return _GLYPHS[base]
+    tries = [base, f"digit {base}", f"{base} sign", f"{base} mark", f"greek {'capital' if base[:1].isupper() else 'small'} letter {base}"]
+    if accent := re.fullmatch(rf"([A-Za-z])({'|'.join(_ACCENTS)})", base):
+        tries = [f"latin {'capital' if accent[1].isupper() else 'small'} letter {accent[1]} with {_ACCENTS[accent[2]]}"]
     for t in tries:
         try:
             return unicodedata.lookup(t.upper())
         except KeyError:
             pass
-    # Names that differ from Unicode's.
-    return {"hyphen": "-", "period": ".", "bullet": "•", "endash": "–", "emdash": "—", "quoteright": "’", "quoteleft": "‘", "quotedblleft": "“", "quotedblright": "”", "quotesingle": "'", "quotedbl": '"', "parenleft": "(", "parenright": ")", "bracketleft": "[", "bracketright": "]", "slash": "/", "plus": "+", "equal": "=", "fi": "ﬁ", "fl": "ﬂ", "ff": "ﬀ", "ffi": "ﬃ", "ffl": "ﬄ"}.get(base)
-
-
-def parse_cmap(data: bytes) -> tuple[dict[int, str], list[tuple[int, int, int]]]:
-    """Texts by code, and code space ranges (bytes, low, high)."""
-    table: dict[int, str] = {}
-    spaces: list[tuple[int, int, int]] = []
-    lex, stack = Lexer(data), []
-    text = lambda b: b.decode("utf-16-be", "ignore")
-    while (x := lex.object()) is not None:
-        if not isinstance(x, Word):
-            stack.append(x)
-            continue
-        items = [s for s in stack if isinstance(s, (bytes, list, int))]
-        if x == b"endcodespacerange":
-            spaces += [(len(a), int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(items[::2], items[1::2], strict=False) if isinstance(a, bytes) and isinstance(b, bytes)]
-        elif x == b"endbfchar":
-            table |= {int.from_bytes(a, "big"): text(b) for a, b in zip(items[::2], items[1::2], strict=False) if isinstance(a, bytes) and isinstance(b, bytes)}
-        elif x == b"endbfrange":
-            for a, b, to in zip(items[::3], items[1::3], items[2::3], strict=False):
-                if not isinstance(a, bytes) or not isinstance(b, bytes):
-                    continue
-                low, high = int.from_bytes(a, "big"), min(int.from_bytes(b, "big"), int.from_bytes(a, "big") + 65535)
-                for k in range(low, high + 1):
-                    if isinstance(to, list):
-                        if k - low < len(to) and isinstance(to[k - low], bytes):
-                            table[k] = text(to[k - low])
-                    elif isinstance(to, bytes) and to:
-                        last = int.from_bytes(to[-2:], "big") + k - low
-                        table[k] = text(to[:-2] + (last & 65535).to_bytes(2, "big"))
-        if x.startswith(b"begin") or x.startswith(b"end"):
-            stack = []
-    return table, spaces
+    return None
 
 
 class Font:
@@ -88,23 +80,33 @@ class Font:
         get = file.get
         self.kind = str(get(spec.get("Subtype")))
         self.name = str(get(spec.get("BaseFont")) or "unknown")
-        self.table: dict[int, str] = {}
-        if isinstance(m := get(spec.get("ToUnicode")), Stream):
-            self.table = parse_cmap(file.decode(m))[0]
+        self.plain_name = metrics.standard_name(self.name)
         self.two = self.kind == "Type0"
         inner = get((get(spec.get("DescendantFonts")) or [None])[0]) or {} if self.two else spec
         about = get(inner.get("FontDescriptor")) or {}
-        self.ascent, self.descent = float(get(about.get("Ascent")) or 0) / 1000, float(get(about.get("Descent")) or 0) / 1000
-        if self.descent > 0:
-            self.descent = -self.descent
-        plain = 0.6 if "Courier" in self.name else 0.5
-        self.default = float(get(about.get("MissingWidth")) or 0) / 1000 or plain
+        self.descent = self._descent(get(about.get("Descent")))
+        self.map = self._code_map(file, spec)
+        self.texts: dict[int, str] = {}
+        self.same = False
+        given = get(spec.get("ToUnicode"))
+        if isinstance(given, Stream):
+            self.texts = parse_cmap(file.decode(given)).texts
+        elif isinstance(given, Name):
+            self.same = "Identity" in given
         self.widths: dict[int, float] = {}
         self.encoding: dict[int, str] = {}
+        self.vertical = self.two and self.map.vertical
+        self.places: dict[int, tuple[float, float]] = {}
+        self.place: tuple[float | None, float] = (None, 0.88)
         if self.two:
             self.default = float(get(inner.get("DW")) or 1000) / 1000
             self._cid_widths(file.deep(inner.get("W")) or [])
+            if self.vertical:
+                self._vertical(file, inner)
+            if not self.texts and not self.same:
+                self._embedded_texts(file, inner, about)
         else:
+            self.default = float(get(about.get("MissingWidth")) or 0) / 1000
             first = get(spec.get("FirstChar")) or 0
             scale = 0.001
             if self.kind == "Type3":
@@ -112,6 +114,24 @@ class Font:
             self.widths = {first + i: w * scale for i, w in enumerate(file.deep(spec.get("Widths")) or []) if isinstance(w, (int, float))}
             self._encode(file, spec)
 
+    def _descent(self, given: Any) -> float:
+        if isinstance(given, (int, float)):
+            return -abs(given) / 1000
+        return metrics.heights(self.plain_name)[1] if self.plain_name else metrics.PLAIN_DESCENT
+
+    def _code_map(self, file: File, spec: dict[str, Any]) -> CodeMap:
+        given = file.get(spec.get("Encoding"))
+        if not self.two:
+            return CodeMap(spaces=[(1, 0, 255)])
+        if isinstance(given, Stream):
+            out = parse_cmap(file.decode(given))
+            out.vertical = out.vertical or file.get(given.attrs.get("WMode")) == 1
+            base = file.get(given.attrs.get("UseCMap"))
+            if isinstance(base, Name) and not out.spaces:
+                out.spaces = predefined(str(base)).spaces
+            return out
+        return predefined(str(given or "Identity-H"))
+
     def _cid_widths(self, w: list[Any]) -> None:
         i = 0
         while i + 1 < len(w):
@@ -124,14 +144,42 @@ class Font:
             else:
                 return
 
+    def _vertical(self, file: File, inner: dict[str, Any]) -> None:
+        """Advances downwards and where a glyph's origin lies, from DW2 and W2."""
+        plain = numbers(file.deep(inner.get("DW2")), 2) or [880.0, -1000.0]
+        self.default, self.place, self.widths = plain[1] / 1000, (None, plain[0] / 1000), {}
+        w, i = file.deep(inner.get("W2")) or [], 0
+        while i + 1 < len(w):
+            if isinstance(w[i + 1], list):
+                triples = [(w[i] + k // 3, w[i + 1][k : k + 3]) for k in range(0, len(w[i + 1]) - 2, 3)]
+                i += 2
+            elif i + 4 < len(w):
+                triples = [(c, w[i + 2 : i + 5]) for c in range(w[i], min(w[i + 1], w[i] + 65535) + 1)]
+                i += 5
+            else:
+                return
+            for cid, (advance, x, y) in triples:
+                self.widths[cid], self.places[cid] = advance / 1000, (x / 1000, y / 1000)
+
+    def _embedded_texts(self, file: File, inner: dict[str, Any], about: dict[str, Any]) -> None:
+        """Texts from an embedded TrueType font, where the characters are its own."""
+        info = file.deep(inner.get("CIDSystemInfo"), 2) or {}
+        ordering = info.get("Ordering")
+        program = file.get(about.get("FontFile2"))
+        if ordering not in (b"Identity", b"UCS") or not isinstance(program, Stream):
+            return
+        by_glyph = truetype_texts(file.decode(program))
+        glyphs = file.get(inner.get("CIDToGIDMap"))
+        if isinstance(glyphs, Stream):
+            data = file.decode(glyphs)
+            self.texts = {cid: by_glyph[g] for cid in range(len(data) // 2) if (g := int.from_bytes(data[2 * cid : 2 * cid + 2], "big")) in by_glyph}
+        else:
+            self.texts = by_glyph
+
     def _encode(self, file: File, spec: dict[str, Any]) -> None:
         e = file.deep(spec.get("Encoding"))
         base = e.get("BaseEncoding") if isinstance(e, dict) else e
-        codec = _ENCODINGS.get(str(base), "latin-1")
-        for code in range(256):
-            c = bytes([code]).decode(codec, "ignore")
-            if c and not unicodedata.category(c).startswith("C"):
-                self.encoding[code] = c
+        self.encoding = encoding(str(base or "StandardEncoding"))
         code = 0
         for x in e.get("Differences", []) if isinstance(e, dict) else []:
             if isinstance(x, int):
@@ -141,33 +189,50 @@ class Font:
                     self.encoding[code] = t
                 code += 1
 
-    def codes(self, raw: bytes) -> Iterator[tuple[int, int]]:
-        step = 2 if self.two else 1
-        for i in range(0, len(raw) - step + 1, step):
-            yield int.from_bytes(raw[i : i + step], "big"), step
+    def glyphs(self, raw: bytes) -> Iterator[tuple[int, str, bool]]:
+        """Character numbers, their texts, and whether each is a space of one byte."""
+        if not self.two:
+            for code in raw:
+                yield code, self.texts.get(code) or (chr(code) if self.same else None) or self.encoding.get(code) or f"(cid:{code})", code == 32
+            return
+        for code, size in self.map.codes(raw):
+            cid = self.map.cid(code)
+            text = self.texts.get(code) or self.texts.get(cid) or (chr(cid) if self.same and 0 < cid < 0xD800 else None) or self.map.text(code, size)
+            yield cid, text or f"(cid:{cid})", size == 1 and code == 32
 
-    def text(self, code: int) -> str:
-        return self.table.get(code) or self.encoding.get(code) or f"(cid:{code})"
+    def width(self, cid: int) -> float:
+        found = self.widths.get(cid)
+        if found is None and self.plain_name and cid < 0x110000:
+            found = metrics.width(self.plain_name, chr(cid))
+        return self.default if found is None else found
 
 
 STATE = {"ctm": IDENTITY, "width": 1.0, "font": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "th": 1.0, "tl": 0.0, "rise": 0.0, "fill": (0.0,), "stroke": (0.0,), "mode": 0, "dash": ()}
 
 
+class _Found(Exception):
+    """A painted path, while probing."""
+
+
 class Page:
-    """Runs a page's contents; ``chars`` and ``shapes`` are its results, in content order."""
+    """Runs a page's contents; chars, shapes, images and figures are its results, in content order. ``turn`` adds to the page's rotation."""
 
-    def __init__(self, file: File, page: dict[str, Any]):
+    probing = False
+
+    def __init__(self, file: File, page: dict[str, Any], turn: int = 0):
         self.file, self.page = file, page
         self.chars: list[dict[str, Any]] = []
         self.shapes: list[dict[str, Any]] = []
         self.images: list[dict[str, Any]] = []
+        self.figures: list[dict[str, Any]] = []
         self.seq = 0
+        self.inside: list[Any] = []
         self.fonts: dict[int, Font] = {}
         box = numbers(file.deep(page.get("MediaBox")), 4) or [0.0, 0.0, 612.0, 792.0]
         self.mediabox = [min(box[0], box[2]), min(box[1], box[3]), max(box[0], box[2]), max(box[1], box[3])]
         self.cropbox = numbers(file.deep(page.get("CropBox")), 4) or self.mediabox
-        turn = file.get(page.get("Rotate"))
-        self.rotate = turn % 360 if isinstance(turn, int) else 0
+        own = file.get(page.get("Rotate"))
+        self.rotate = ((own if isinstance(own, int) else 0) + turn) % 360
         x0, y0, x1, y1 = self.mediabox
         start = {90: (0, -1, 1, 0, -y0, x1), 180: (-1, 0, 0, -1, x1, y1), 270: (0, 1, -1, 0, y1, -x0)}.get(self.rotate, (1, 0, 0, 1, -x0, -y0))
         unit = file.get(page.get("UserUnit"))
@@ -181,10 +246,19 @@ class Page:
         contents = self.file.get(self.page.get("Contents"))
         parts = contents if isinstance(contents, list) else [contents]
         data = b"\n".join(self.file.decode(s) for s in map(self.file.get, parts) if isinstance(s, Stream))
-        self._run(data, self.file.get(self.page.get("Resources")) or {}, dict(STATE, ctm=self.start), 0)
+        self._run(data, self.file.get(self.page.get("Resources")) or {}, dict(STATE, ctm=self.start))
         return self
 
-    def _run(self, data: bytes, resources: dict[str, Any], state: dict[str, Any], depth: int) -> None:
+    def has_edges(self) -> bool:
+        """Whether the page paints a line, rectangle or curve; reads no further than the first."""
+        self.probing = True
+        try:
+            self.run()
+        except _Found:
+            return True
+        return bool(self.shapes)
+
+    def _run(self, data: bytes, resources: dict[str, Any], state: dict[str, Any]) -> None:
         lex, stack, saved, s = Lexer(data), [], [], state
         path: list[tuple[str, list[tuple[float, float]]]] = []
         marks: list[tuple[str | None, int | None]] = []
@@ -197,8 +271,6 @@ class Page:
         while (x := lex.object()) is not None:
             if not isinstance(x, Word):
                 stack.append(x)
-                if len(stack) > 2000:
-                    del stack[:1000]
                 continue
             op = bytes(x)
             if op == b"q":
@@ -271,18 +343,42 @@ class Page:
                     marks.pop()
             elif op == b"Do":
                 name = next((v for v in reversed(stack) if isinstance(v, Name)), None)
-                form = self.file.get((self.file.get(resources.get("XObject")) or {}).get(name)) if name else None
-                if isinstance(form, Stream) and form.attrs.get("Subtype") == "Form" and depth < 12:
+                ref = (self.file.get(resources.get("XObject")) or {}).get(name) if name else None
+                form = self.file.get(ref)
+                known = ref.number if isinstance(ref, Ref) else id(form)
+                if isinstance(form, Stream) and form.attrs.get("Subtype") == "Form" and known not in self.inside:
                     m = numbers(self.file.deep(form.attrs.get("Matrix")), 6) or IDENTITY
-                    self._run(self.file.decode(form), self.file.get(form.attrs.get("Resources")) or resources, dict(s, ctm=times(tuple(m), s["ctm"])), depth + 1)  # type: ignore[arg-type]
+                    ctm = times(tuple(m), s["ctm"])  # type: ignore[arg-type]
+                    self._figure(str(name), ctm, numbers(self.file.deep(form.attrs.get("BBox")), 4))
+                    self.inside.append(known)
+                    self._run(self.file.decode(form), self.file.get(form.attrs.get("Resources")) or resources, dict(s, ctm=ctm))
+                    self.inside.pop()
                 elif isinstance(form, Stream) and form.attrs.get("Subtype") == "Image":
-                    p = [at(s["ctm"], a, b) for a in (0, 1) for b in (0, 1)]
-                    self.images.append({"name": str(name), "x0": min(v[0] for v in p), "y0": min(v[1] for v in p), "x1": max(v[0] for v in p), "y1": max(v[1] for v in p)})
+                    self._image(str(name), form, s, marks)
             elif op == b"ID":
+                attrs = {str(k): v for k, v in zip(stack[::2], stack[1::2], strict=False) if isinstance(k, Name)}
+                lex.at += 1
                 end = re.compile(rb"\sEI(?=[\s]|$)").search(data, lex.at)
+                stop = end.start() if end else len(data)
+                self._image(f"inline{len(self.images)}", Stream(attrs, data[lex.at : stop]), s, marks)
                 lex.at = end.end() if end else len(data)
             stack = []
 
+    def _box(self, m: Matrix, x0: float, y0: float, x1: float, y1: float) -> dict[str, float]:
+        p = [at(m, a, b) for a in (x0, x1) for b in (y0, y1)]
+        return {"x0": min(v[0] for v in p), "y0": min(v[1] for v in p), "x1": max(v[0] for v in p), "y1": max(v[1] for v in p)}
+
+    def _figure(self, name: str, m: Matrix, box: list[float] | None) -> None:
+        if box:
+            self.figures.append({"seq": self.seq, "name": name, "depth": len(self.inside), **self._box(m, *box)})
+            self.seq += 1
+
+    def _image(self, name: str, stream: Stream, s: dict[str, Any], marks: list) -> None:
+        """An image fills the unit square."""
+        tag, mcid = self._mark(marks)
+        self.images.append({"seq": self.seq, "name": name, **self._box(s["ctm"], 0, 0, 1, 1), **images.describe(self.file, stream), "mcid": mcid, "tag": tag, "stream": stream})
+        self.seq += 1
+
     def _font(self, resources: dict[str, Any], name: Name | None) -> Font | None:
         spec = self.file.get((self.file.get(resources.get("Font")) or {}).get(name)) if name else None
         if not isinstance(spec, dict):
@@ -296,28 +392,41 @@ class Page:
         return (marks[-1][0] if marks else None, next((m for _, m in reversed(marks) if m is not None), None))
 
     def _show(self, items: list[Any], s: dict[str, Any], tm: Matrix, marks: list) -> Matrix:
+        """Characters of shown strings; text that is not drawn (modes 3 and 7) gives none."""
         font, size = s["font"], s["size"]
+        if s["mode"] in (3, 7):
+            return tm
         tag, mcid = self._mark(marks)
+        down = font is not None and font.vertical
         for item in items:
             if isinstance(item, (int, float)) and not isinstance(item, bool):
-                tm = times((1, 0, 0, 1, -item / 1000 * size * s["th"], 0), tm)
+                by = -item / 1000 * size
+                tm = times((1, 0, 0, 1, 0 if down else by * s["th"], by if down else 0), tm)
             elif isinstance(item, bytes) and font is not None:
-                for code, step in font.codes(item):
-                    advance = font.widths.get(code, font.default) * size * s["th"]
+                for cid, text, spaced in font.glyphs(item):
+                    advance = font.width(cid) * size * s["th"]
                     m = times(tm, s["ctm"])
-                    low = font.descent * size + s["rise"]
-                    p = [at(m, a, b) for a, b in ((0, low), (advance, low), (advance, low + size), (0, low + size))]
-                    xs, ys = [v[0] for v in p], [v[1] for v in p]
+                    if down:
+                        x, y = font.places.get(cid, font.place)
+                        left, high = -(0.5 * size if x is None else x * size), (1 - y) * size + s["rise"]
+                        corners = ((left, high + advance), (left + size, high))
+                    else:
+                        low = font.descent * size + s["rise"]
+                        corners = ((0.0, low), (advance, low + size))
+                    (a0, b0), (a1, b1) = corners
+                    box = self._box(m, a0, b0, a1, b1)
                     upright = m[0] * m[3] * s["th"] > 0 and m[1] * m[2] <= 0
-                    x0, y0, x1, y1 = min(xs), min(ys), max(xs), max(ys)
-                    self.chars.append({"seq": self.seq, "text": font.text(code), "x0": x0, "y0": y0, "x1": x1, "y1": y1, "size": y1 - y0 if upright else x1 - x0, "upright": upright, "adv": advance, "fontname": font.name, "mcid": mcid, "tag": tag, "matrix": list(m), "color": list(s["fill"])})
+                    tall = box["x1"] - box["x0"] if down else box["y1"] - box["y0"]
+                    self.chars.append({"seq": self.seq, "text": text, **box, "size": tall if upright else box["x1"] - box["x0"], "upright": upright, "adv": advance, "fontname": font.name, "mcid": mcid, "tag": tag, "matrix": list(m), "color": list(s["fill"])})
                     self.seq += 1
-                    space = s["tw"] if code == 32 and step == 1 else 0.0
-                    tm = times((1, 0, 0, 1, advance + (s["tc"] + space) * s["th"], 0), tm)
+                    more = advance + (s["tc"] + (s["tw"] if spaced else 0.0)) * (1 if down else s["th"])
+                    tm = times((1, 0, 0, 1, 0 if down else more, more if down else 0), tm)
         return tm
 
     def _paint(self, path: list, s: dict[str, Any], stroke: bool, fill: bool, evenodd: bool, marks: list) -> None:
         """A shape for each subpath: a line, a rectangle along the axes, or a curve."""
+        if self.probing and any(op in "lc" for op, _ in path):
+            raise _Found
         parts: list[list] = []
         for op, points in path:
             if op == "m" or not parts:
@@ -326,12 +435,16 @@ class Page:
         tag, mcid = self._mark(marks)
         for part in parts:
             ops = "".join(o for o, _ in part)
-            pts = [p[-1] for o, p in part if p]
+            if not ops.startswith("m"):
+                continue
+            pts = [p[-1] if p else part[0][1][0] for o, p in part]
+            if len(ops) > 3 and ops.endswith("lh") and pts[-2] == pts[0]:  # closed twice
+                ops, pts = ops[:-2] + "h", pts[:-1]
             if len(pts) < 2:
                 continue
             corners = pts[:-1] if len(pts) == 5 and pts[0] == pts[-1] else pts
-            square = len(corners) == 4 and ops in ("mlllh", "mlll", "mllll", "mllllh") and all(a[0] == b[0] or a[1] == b[1] for a, b in zip(corners, corners[1:] + corners[:1], strict=True))
-            kind = "line" if ops in ("ml", "mlh") else "rect" if square and ops != "mlll" else "curve"
+            square = len(corners) == 4 and ops in ("mlllh", "mllll") and all(a[0] == b[0] or a[1] == b[1] for a, b in zip(corners, corners[1:] + corners[:1], strict=True))
+            kind = "line" if ops in ("ml", "mlh") else "rect" if square else "curve"
             xs, ys = [p[0] for p in pts], [p[1] for p in pts]
             self.shapes.append({"seq": self.seq, "object_type": kind, "x0": min(xs), "y0": min(ys), "x1": max(xs), "y1": max(ys), "linewidth": s["width"], "stroke": stroke, "fill": fill, "evenodd": evenodd, "pts": [{"x": a, "y": b} for a, b in pts], "mcid": mcid, "tag": tag, "stroking_color": list(s["stroke"]), "non_stroking_color": list(s["fill"])})
             self.seq += 1

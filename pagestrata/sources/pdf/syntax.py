@@ -9,9 +9,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+from .security import Security
+
 SPACE = b"\x00\t\n\x0c\r "
 DELIMITERS = b"()<>[]{}/%"
 _NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)$")
+_SKIPPED = re.compile(rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*")
+_REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]*")
+_PLAIN_STRING = re.compile(rb"[^()\\\r]*\)")
 
 
 class Name(str):
@@ -41,16 +46,7 @@ class Lexer:
         self.data, self.at = data, at
 
     def skip(self) -> None:
-        data, n = self.data, len(self.data)
-        while self.at < n:
-            c = data[self.at]
-            if c in SPACE:
-                self.at += 1
-            elif c == 37:
-                ends = [e for e in (data.find(b"\n", self.at), data.find(b"\r", self.at)) if e >= 0]
-                self.at = min(ends) if ends else n
-            else:
-                return
+        self.at = _SKIPPED.match(self.data, self.at).end()
 
     def object(self) -> Any:
         """The next object; a Word for anything else; None at the end."""
@@ -78,19 +74,14 @@ class Lexer:
         if c in b")>]}{":
             self.at += 2 if data[at : at + 2] == b">>" else 1
             return Word(data[at : self.at])
-        end = at
-        while end < len(data) and data[end] not in SPACE and data[end] not in DELIMITERS:
-            end += 1
-        self.at = end
+        self.at = end = _REGULAR.match(data, at).end()
         word = data[at:end]
         if _NUMBER.match(word):
             return float(word) if b"." in word else int(word)
         return {b"true": True, b"false": False}.get(word, Word(word))
 
     def _name(self) -> Name:
-        end = self.at + 1
-        while end < len(self.data) and self.data[end] not in SPACE and self.data[end] not in DELIMITERS:
-            end += 1
+        end = _REGULAR.match(self.data, self.at + 1).end()
         raw = self.data[self.at + 1 : end]
         self.at = end
         raw = re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), raw)
@@ -99,7 +90,10 @@ class Lexer:
     def _string(self) -> bytes:
         out, depth, data = bytearray(), 1, self.data
         self.at += 1
-        plain = {110: 10, 114: 13, 116: 9, 98: 8, 102: 12}
+        if plain := _PLAIN_STRING.match(data, self.at):
+            self.at = plain.end()
+            return plain[0][:-1]
+        escapes = {110: 10, 114: 13, 116: 9, 98: 8, 102: 12}
         while self.at < len(data):
             c = data[self.at]
             self.at += 1
@@ -113,8 +107,11 @@ class Lexer:
                 elif c == 13:
                     self.at += data[self.at : self.at + 1] == b"\n"
                 elif c != 10:
-                    out.append(plain.get(c, c))
+                    out.append(escapes.get(c, c))
                 continue
+            if c == 13:  # any line end is a line feed
+                self.at += data[self.at : self.at + 1] == b"\n"
+                c = 10
             depth += (c == 40) - (c == 41)
             if not depth:
                 break
@@ -245,19 +242,22 @@ def predict(data: bytes, attrs: dict[str, Any]) -> bytes:
     return bytes(out)
 
 
-IMAGE_FILTERS = {"DCTDecode", "DCT", "JPXDecode", "JBIG2Decode", "CCITTFaxDecode", "CCF"}
+# Filters by their long and short names, in lower case.
+FILTERS = {"flatedecode": "flate", "fl": "flate", "lzwdecode": "lzw", "lzw": "lzw", "ascii85decode": "a85", "a85": "a85", "asciihexdecode": "hex", "ahx": "hex", "runlengthdecode": "run", "rl": "run", "ccittfaxdecode": "fax", "ccf": "fax", "dctdecode": "image", "dct": "image", "jpxdecode": "image", "jpx": "image", "jbig2decode": "image"}
 
 
 class File:
-    """A file's objects by number."""
+    """A file's objects by number, opened with a password if it is encrypted."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: str = ""):
         start = data.find(b"%PDF-", 0, 1024)
         self.data = data[start:] if start > 0 else data
         self.places: dict[int, tuple[int, int]] = {}  # number: (0, offset) or (stream number, index)
         self.trailer: dict[str, Any] = {}
         self.cache: dict[int, Any] = {}
         self.busy: set[int] = set()
+        self.security: Security | None = None
+        self.recovered = False
         try:
             self._tables()
         except Exception:
@@ -266,7 +266,12 @@ class File:
             self._recover()
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             raise ValueError("no catalog")
-        self.encrypted = "Encrypt" in self.trailer
+        self.encrypted = isinstance(self.get(self.trailer.get("Encrypt")), dict)
+        if self.encrypted:
+            ids = self.deep(self.trailer.get("ID"))
+            first = ids[0] if isinstance(ids, list) and ids and isinstance(ids[0], bytes) else b""
+            self.security = Security(self.deep(self.trailer["Encrypt"]), first, password)
+            self.cache.clear()
 
     def _tables(self) -> None:
         tail = self.data[-1024:]
@@ -320,6 +325,7 @@ class File:
     def _recover(self) -> None:
         """Scan for objects; later ones win. Trailers are merged, a catalog is looked for."""
         self.cache.clear()
+        self.recovered = True
         self.places = {int(m[1]): (0, m.start(1)) for m in re.finditer(rb"(?<!\d)(\d{1,10})\s+\d{1,5}\s+obj\b", self.data)}
         for m in re.finditer(rb"trailer", self.data):
             got = Lexer(self.data, m.end()).object()
@@ -337,9 +343,28 @@ class File:
 
     def _object_at(self, at: int) -> Any:
         lex = Lexer(self.data, at)
-        number, _, word = lex.object(), lex.object(), lex.object()
+        number, generation, word = lex.object(), lex.object(), lex.object()
         if word != b"obj" or not isinstance(number, int):
             raise ValueError("no object here")
+        return self._opened(self._value(lex), number, generation if isinstance(generation, int) else 0)
+
+    def _opened(self, x: Any, number: int, generation: int) -> Any:
+        """An object with its strings and stream decrypted."""
+        if self.security is None or (isinstance(e := self.trailer.get("Encrypt"), Ref) and e.number == number):
+            return x
+        if isinstance(x, bytes) and not isinstance(x, Word):
+            return self.security.open(x, number, generation, self.security.string_way)
+        if isinstance(x, list):
+            return [self._opened(v, number, generation) for v in x]
+        if isinstance(x, dict):
+            return {k: self._opened(v, number, generation) for k, v in x.items()}
+        if isinstance(x, Stream) and x.attrs.get("Type") != "XRef":
+            plain = x.attrs.get("Type") == "Metadata" and not self.security.metadata
+            way = "Identity" if plain else self.security.stream_way
+            return Stream(self._opened(x.attrs, number, generation), self.security.open(x.raw, number, generation, way))
+        return x
+
+    def _value(self, lex: Lexer) -> Any:
         got = lex.object()
         if isinstance(got, int):
             save = lex.at
@@ -395,72 +420,96 @@ class File:
         return x
 
     def filters(self, s: Stream) -> list[tuple[str, dict[str, Any]]]:
+        """Names as given, with their parameters; one set of parameters counts for all."""
         names = self.get(s.attrs.get("Filter", s.attrs.get("F")))
         parms = self.get(s.attrs.get("DecodeParms", s.attrs.get("DP")))
-        names = names if isinstance(names, list) else [names] if names else []
-        parms = parms if isinstance(parms, list) else [parms] * len(names)
-        return [(str(self.get(n)), self.deep(p) or {}) for n, p in zip(names, [*parms, *[None] * len(names)], strict=False)]
+        names = names if isinstance(names, list) else [names] if isinstance(names, Name) else []
+        parms = parms if isinstance(parms, list) and len(parms) > 1 else (parms if isinstance(parms, list) else [parms]) * len(names)
+        return [(str(self.get(n)), d if isinstance(d := self.deep(p, 3), dict) else {}) for n, p in zip(names, [*parms, *[None] * len(names)], strict=False)]
+
+    def raw(self, s: Stream) -> bytes:
+        """The stream's data before its filters, decrypted."""
+        return s.raw
 
     def decode(self, s: Stream) -> bytes:
-        """The stream's data through its filters, as far as an image filter."""
+        """The stream's data through its filters, as far as a filter of images; raises for an unknown filter."""
         data = s.raw
         for name, attrs in self.filters(s):
-            if name in ("FlateDecode", "Fl"):
-                data = predict(inflate(data), attrs)
-            elif name in ("LZWDecode", "LZW"):
-                data = predict(lzw(data, attrs.get("EarlyChange", 1)), attrs)
-            elif name in ("ASCII85Decode", "A85"):
+            kind = FILTERS.get(name.lower())
+            if kind == "image":
+                break
+            if kind == "flate":
+                data = inflate(data)
+            elif kind == "lzw":
+                data = lzw(data, attrs.get("EarlyChange", 1))
+            elif kind == "a85":
                 data = ascii85(data)
-            elif name in ("ASCIIHexDecode", "AHx"):
+            elif kind == "hex":
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0])
                 data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-            elif name in ("RunLengthDecode", "RL"):
+            elif kind == "run":
                 data = run_length(data)
-            elif name in IMAGE_FILTERS:
-                return data
+            elif kind == "fax":
+                from .images import fax_decode
+
+                data = fax_decode(data, attrs)
+            else:
+                raise NotImplementedError(f"no such filter: {name}")
+            data = predict(data, attrs)
         return data
 
-    def pages(self) -> Iterator[dict[str, Any]]:
-        """Page dictionaries in order with what they inherit; without a page tree, all page objects."""
+    def _page_nodes(self) -> Iterator[tuple[int | None, dict[str, Any]]]:
+        """Object numbers and dictionaries of pages in order with what they inherit; without a page tree, all page objects."""
         inherited = ("Resources", "MediaBox", "CropBox", "Rotate")
         seen: set[int] = set()
-        found = 0
-
-        def walk(node: Any, above: dict[str, Any]) -> Iterator[dict[str, Any]]:
-            if isinstance(node, Ref):
-                if node.number in seen:
-                    return
-                seen.add(node.number)
+        found = False
+        stack: list[tuple[Any, dict[str, Any]]] = [(self.get(self.trailer["Root"]).get("Pages"), {})]
+        while stack:
+            node, above = stack.pop()
+            number = node.number if isinstance(node, Ref) else None
+            if number in seen:
+                continue
+            if number is not None:
+                seen.add(number)
             d = self.get(node)
             if not isinstance(d, dict):
-                return
+                continue
             own = {k: above[k] for k in inherited if k in above} | d
             kids = self.get(d.get("Kids"))
             if isinstance(kids, list) and d.get("Type") != "Page":
-                for kid in kids:
-                    yield from walk(kid, own)
+                stack.extend((k, own) for k in reversed(kids))
             else:
-                yield own
-
-        for page in walk(self.get(self.trailer["Root"]).get("Pages"), {}):
-            found += 1
-            yield page
+                found = True
+                yield number, own
         if not found:
             for number in sorted(self.places):
                 got = self.get(Ref(number, 0))
                 if isinstance(got, dict) and got.get("Type") == "Page":
-                    yield got
+                    yield number, got
+
+    def pages(self) -> Iterator[dict[str, Any]]:
+        for _, page in self._page_nodes():
+            yield page
+
+    def page_objects(self) -> list[int | None]:
+        """The object numbers of the pages, in order."""
+        return [number for number, _ in self._page_nodes()]
+
+
+# What PDFDocEncoding has in place of control characters, from 24 and from 128.
+_MARKS, _SIGNS = "˘ˇˆ˙˝˛˚˜", "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž"
+PDF_DOC = {**dict(enumerate(_MARKS, 24)), **dict(enumerate(_SIGNS, 128)), 160: "€"}
 
 
 def text_of(raw: Any) -> str | None:
-    """A text string: UTF-16 with a mark, UTF-8 with a mark, else its bytes as Latin letters."""
+    """A text string: UTF-16 with a mark, UTF-8 with a mark, else PDFDocEncoding."""
     if not isinstance(raw, bytes):
         return str(raw) if raw is not None else None
     if raw[:2] == b"\xfe\xff":
         return raw[2:].decode("utf-16-be", "replace")
     if raw[:3] == b"\xef\xbb\xbf":
         return raw[3:].decode("utf-8", "replace")
-    return raw.decode("cp1252", "replace")
+    return raw.decode("latin-1").translate(PDF_DOC)
 
 
 def numbers(x: Any, n: int) -> list[float] | None:
@@ -468,4 +517,4 @@ def numbers(x: Any, n: int) -> list[float] | None:
     return [float(v) for v in x] if ok else None
 
 
-__all__ = ["File", "Lexer", "Name", "Ref", "Stream", "Word", "numbers", "text_of"]
+__all__ = ["File", "Lexer", "Name", "Ref", "Stream", "Word", "PDF_DOC", "numbers", "text_of"]
