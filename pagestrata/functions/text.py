@@ -108,12 +108,14 @@ def big_endian(data: Column) -> Column:
 
 
 def date_to_iso(text: Column) -> Column:
-    """D:YYYYMMDDHHmmSS with Z or +HH'mm' as ISO 8601; parts left out count as their least; null if it is none."""
-    p = r"^(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z)|([+-])(\d{2})'?(\d{2})?'?)?"
-    part = lambda k, d: F.when(F.regexp_extract(text, p, k) == "", F.lit(d)).otherwise(F.regexp_extract(text, p, k))
-    zone = F.when(F.regexp_extract(text, p, 8) != "", F.concat(F.regexp_extract(text, p, 8), F.regexp_extract(text, p, 9), F.lit(":"), part(10, "00"))).when(F.regexp_extract(text, p, 7) == "Z", F.lit("Z")).otherwise("")
-    iso = F.concat(part(1, ""), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit("T"), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"), zone)
-    return F.when(text.rlike(p), iso)
+    """D:YYYYMMDDHHmmSS with Z or +HH'mm' as ISO 8601, as far as its parts are given; null without a year."""
+    p = r"^(?:D:)?(\d{4})(?:(\d{2})(?:(\d{2})(?:(\d{2})(?:(\d{2})(\d{2})?)?)?)?)?(.*)$"
+    part = lambda k: F.regexp_extract(text, p, k)
+    more = [F.when(part(k) != "", F.concat(F.lit(mark), part(k))).otherwise("") for k, mark in ((2, "-"), (3, "-"), (4, "T"), (5, ":"), (6, ":"))]
+    sign, digits = F.substring(part(7), 1, 1), F.regexp_replace(part(7), r"\D", "")
+    offset = F.concat(sign, F.substring(digits, 1, 2), F.lit(":"), F.when(F.length(digits) >= 4, F.substring(digits, 3, 2)).otherwise("00"))
+    zone = F.when(sign == "Z", "Z").when(sign.isin("+", "-") & (F.length(digits) >= 2), offset).otherwise("")
+    return F.when(text.rlike(r"^(?:D:)?\d{4}"), F.concat(part(1), *more, zone))
 
 
 def points_text(points: Column) -> Column:
@@ -122,3 +124,46 @@ def points_text(points: Column) -> Column:
 
 def safe_number(text: Column, kind: str = "double") -> Column:
     return text.try_cast(kind)
+
+
+def is_number(text: Column) -> Column:
+    """Whether a text is a number as files write them: digits with a sign and a period."""
+    return text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")
+
+
+def nearly(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
+    return F.abs(a - b) <= tolerance
+
+
+def upper_bound(values: Column, x: Column) -> Column:
+    """How many of a sorted array's values are no greater than ``x``: where it would be inserted behind equals."""
+    return F.size(F.filter(values, lambda v: v <= x))
+
+
+def fixed_fontname(raw: Column) -> Column:
+    """A font's name from its bytes: a subset's prefix goes, names in the CP936 character set are read as such."""
+    known = F.when(F.is_valid_utf8(raw), F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "GBK"))
+    return F.regexp_replace(known, "^[A-Z]{6}[+]", "")
+
+
+def whole_number(text: Column) -> Column:
+    """A whole number, cut off behind the period; null if it is none."""
+    return text.try_cast("double").cast("long")
+
+
+def numbers_of(values: Column, size: int) -> Column:
+    """An array of so many finite numbers, else null (matrices of 6, boxes and CMYK of 4, RGB of 3)."""
+    cast = F.transform(values, lambda v: v.try_cast("double"))
+    good = (F.size(cast) == size) & ~F.exists(cast, lambda v: v.isNull() | F.isnan(v))
+    return F.when(good, cast)
+
+
+def chunks(values: Column, size: int) -> Column:
+    """An array cut into arrays of ``size``, the last one shorter."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(values, i, F.lit(size)))
+
+
+def compatible_text(value: Column) -> Column:
+    """Bytes as text: UTF-8 if they are, else one character a byte."""
+    return F.when(F.is_valid_utf8(value), F.decode(value, "UTF-8")).otherwise(F.decode(value, "ISO-8859-1"))
