@@ -202,17 +202,49 @@ def box_join(left: DataFrame, right: DataFrame, by: list[str], cell: float, stri
 
 
 def nearest_boxes(queries: DataFrame, boxes: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
-    """For each query box the k boxes of its ``by`` with the nearest centres: (q_key, rank, key, distance), ties by key.
+    """For each query box the k boxes of its ``by`` with the nearest centres: (by, q_key, rank, key, distance), ties by key.
 
-    Within a page all its queries meet all its boxes; pages are independent.
+    Boxes are dealt out to a grid whose squares hold about k of them, and a
+    query looks into its square and the eight around it. What it finds within a
+    square's side is final. Queries that find fewer there look into squares
+    eight times as wide, and the few that are left over into their whole ``by``.
     """
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    pairs = q.join(boxes, [F.col(f"q_{c}") == F.col(c) for c in by])
-    dx = (F.col("q_x0") + F.col("q_x1")) / 2 - (F.col("x0") + F.col("x1")) / 2
-    dy = (F.col("q_top") + F.col("q_bottom")) / 2 - (F.col("top") + F.col("bottom")) / 2
-    pairs = pairs.filter(F.col(f"q_{key}") != F.col(key)).withColumn("distance", F.sqrt(dx * dx + dy * dy))
-    order = Window.partitionBy(*[f"q_{c}" for c in by], f"q_{key}").orderBy("distance", key)
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*[F.col(f"q_{c}").alias(c) for c in by], F.col(f"q_{key}").alias(f"q_{key}"), "rank", key, "distance")
+    centre = lambda a, b: (F.col(a) + F.col(b)) / 2
+    spots = boxes.select(*by, key, centre("x0", "x1").alias("_x"), centre("top", "bottom").alias("_y"))
+    side = F.greatest(F.sqrt((F.max("_x") - F.min("_x") + 1) * (F.max("_y") - F.min("_y") + 1) * k / F.count("*")), F.lit(1e-9)).alias("_side")
+    # a row for each ``by``, so that the data, not the driver, say how wide a square is
+    spots = spots.join(spots.groupBy(*by).agg(side), by)
+    own = queries.select(*[F.col(c).alias(f"q_{c}") for c in (*by, key)], centre("x0", "x1").alias("q_x"), centre("top", "bottom").alias("q_y"))
+    sides = spots.select(*[F.col(c).alias(f"q_{c}") for c in by], F.col("_side").alias("q_side")).distinct()
+    own = own.join(sides, [f"q_{c}" for c in by])
+    same = [F.col(f"q_{c}") == F.col(c) for c in by]
+    query = [*[f"q_{c}" for c in by], f"q_{key}"]
+    dx, dy = F.col("q_x") - F.col("_x"), F.col("q_y") - F.col("_y")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        rows = pairs.filter(F.col(f"q_{key}") != F.col(key)).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+        order = Window.partitionBy(*query).orderBy("distance", key)
+        return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*query, "rank", key, "distance", "q_side")
+
+    def by_squares(some: DataFrame, times: float) -> DataFrame:
+        at = lambda c, side: F.floor(F.col(c) / (F.col(side) * times))
+        around = F.array(*[F.lit(v).cast("long") for v in (-1, 0, 1)])
+        look = some.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumn("q_gx", at("q_x", "q_side") + F.col("_dx")).withColumn("q_gy", at("q_y", "q_side") + F.col("_dy"))
+        held = spots.withColumn("_gx", at("_x", "_side")).withColumn("_gy", at("_y", "_side")).drop("_side")
+        return best(look.join(held, [*same, F.col("q_gx") == F.col("_gx"), F.col("q_gy") == F.col("_gy")]))
+
+    def final(found: DataFrame, times: float) -> DataFrame:
+        """Queries whose k-th box lies within a square's side; one just outside cannot be nearer."""
+        return found.groupBy(*query).agg(F.count("*").alias("n"), F.max("distance").alias("far"), F.first("q_side").alias("s")).filter((F.col("n") == k) & (F.col("far") < F.col("s") * times)).select(*query)
+
+    first = by_squares(own, 1.0)
+    done = final(first, 1.0)
+    left = own.join(done, query, "left_anti")
+    second = by_squares(left, 8.0)
+    done2 = final(second, 8.0)
+    last = best(left.join(done2, query, "left_anti").join(spots.drop("_side"), same))
+    out = first.join(done, query, "left_semi").unionByName(second.join(done2, query, "left_semi")).unionByName(last)
+    return out.select(*[F.col(f"q_{c}").alias(c) for c in by], f"q_{key}", "rank", key, "distance")
 
 
 # Affine maps, as structs of a, b, c, d, e, f
@@ -280,3 +312,50 @@ def axis_distance(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def axis_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     meet = (b0 <= a1) & (a0 <= b1)
     return F.when(meet, F.least(F.abs(a0 - b1), F.abs(a1 - b0))).otherwise(0.0)
+
+
+def axis_gap(a: Box, b: Box) -> Column:
+    """The area of the box around both that neither covers: how far two boxes are from being one."""
+    (ax0, at, ax1, ab), (bx0, bt, bx1, bb) = _box(a), _box(b)
+    whole = area(F.least(ax0, bx0), F.least(at, bt), F.greatest(ax1, bx1), F.greatest(ab, bb))
+    return whole - area(ax0, at, ax1, ab) - area(bx0, bt, bx1, bb)
+
+
+def union_box(a: Box, b: Box) -> list[Column]:
+    """The box around both."""
+    (ax0, at, ax1, ab), (bx0, bt, bx1, bb) = _box(a), _box(b)
+    return [F.least(ax0, bx0), F.least(at, bt), F.greatest(ax1, bx1), F.greatest(ab, bb)]
+
+
+def expansion(a: Box, b: Box) -> Column:
+    """By how much the area of ``a`` grows to hold ``b``."""
+    x0, top, x1, bottom = union_box(a, b)
+    return area(x0, top, x1, bottom) - area(*_box(a))
+
+
+def object_edges(shapes: DataFrame) -> DataFrame:
+    """Edges of shapes by their kind: a line's one, a rectangle's four, a curve's segments."""
+    of = lambda kind: shapes.filter(F.col("object_type") == kind)
+    parts = [line_edges(of("line")), rect_edges(of("rect"))]
+    if "pts" in shapes.columns:
+        parts.append(curve_edges(of("curve")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def horizontal_edges(edges: DataFrame) -> DataFrame:
+    return edges.filter(F.col("orientation") == "h")
+
+
+def vertical_edges(edges: DataFrame) -> DataFrame:
+    return edges.filter(F.col("orientation") == "v")
+
+
+def with_geometries(pages: DataFrame, geometries: DataFrame) -> DataFrame:
+    """Pages with the boxes given for them (doc_id, page_no, x0, top, x1, bottom); raises where a page has none or more than one."""
+    held = geometries.groupBy("doc_id", "page_no").agg(F.first(F.struct("x0", "top", "x1", "bottom")).alias("geometry"), F.count("*").alias("_n"))
+    out = pages.join(held, ["doc_id", "page_no"], "left")
+    wrong = F.raise_error(F.format_string("page %d of %s has %d geometries", "page_no", F.col("doc_id").cast("string"), F.coalesce("_n", F.lit(0)))).cast("boolean")
+    return out.filter(F.when(F.coalesce("_n", F.lit(0)) != 1, wrong).otherwise(True)).drop("_n")

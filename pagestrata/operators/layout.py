@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,28 +39,62 @@ def bottom_left(chars: DataFrame, page_height: float | str) -> DataFrame:
     return chars.withColumn("y0", h - F.col("bottom")).withColumn("y1", h - F.col("top"))
 
 
-def _beside(lag, s: LayoutSettings) -> Column:
-    """Whether a character stands beside the one before: enough common height, and near."""
-    h, ph = F.col("y1") - F.col("y0"), lag("y1") - lag("y0")
-    w, pw = F.col("x1") - F.col("x0"), lag("x1") - lag("x0")
-    common = F.least("y1", lag("y1")) - F.greatest("y0", lag("y0"))
-    apart = F.greatest(F.lit(0.0), F.greatest("x0", lag("x0")) - F.least("x1", lag("x1")))
-    return (common >= 0) & (F.least(h, ph) * s.line_overlap < common) & (apart < F.greatest(w, pw) * s.char_margin)
+def _aligned(lag, s: LayoutSettings, along: str, across: str) -> Column:
+    """Whether a character stands beside the one before: enough common extent across the line, and near along it."""
+    size = lambda c, get: get(f"{c}1") - get(f"{c}0")
+    common = F.least(F.col(f"{across}1"), lag(f"{across}1")) - F.greatest(F.col(f"{across}0"), lag(f"{across}0"))
+    apart = F.greatest(F.lit(0.0), F.greatest(F.col(f"{along}0"), lag(f"{along}0")) - F.least(F.col(f"{along}1"), lag(f"{along}1")))
+    wide, tall = (F.greatest(size(along, F.col), size(along, lag)), F.least(size(across, F.col), size(across, lag)))
+    return (common >= 0) & (tall * s.line_overlap < common) & (apart < wide * s.char_margin)
+
+
+def _with_lines(chars: DataFrame, s: LayoutSettings) -> DataFrame:
+    """Characters with ``_line`` and ``vertical``."""
+    order = Window.partitionBy(*PAGE).orderBy("seq")
+    lag = lambda c: F.lag(c).over(order)
+    first = lag("seq").isNull()
+    beside = ~first & _aligned(lag, s, "x", "y")
+    if not s.detect_vertical:
+        rows = chars.withColumn("_new", F.when(beside, 0).otherwise(1))
+        return rows.withColumn("_line", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("vertical", F.lit(False))
+    above = ~first & _aligned(lag, s, "y", "x")
+    rows = chars.withColumn("_h", beside).withColumn("_v", above)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A line's direction is that of its first two characters, so each step depends on all before it."""
+        pdf = pdf.sort_values("seq")
+        line, way, number, turned = -1, None, [], []
+        for h, v in zip(pdf["_h"], pdf["_v"], strict=True):
+            if (way == "h" and h) or (way == "v" and v):
+                pass
+            elif way is None and line >= 0 and h != v:
+                way = "v" if v else "h"
+            else:
+                line, way = line + 1, None
+            number.append(line)
+            if len(turned) <= line:
+                turned.append(False)
+            turned[line] = way == "v"
+        pdf["_line"], pdf["vertical"] = number, [turned[k] for k in number]
+        return pdf[["doc_id", "page_no", "seq", "_line", "vertical"]]
+
+    key = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.select(*PAGE, "seq", "_h", "_v").groupBy(*PAGE).applyInPandas(walk, f"doc_id {key}, page_no int, seq long, _line long, vertical boolean")
+    return chars.join(found, [*PAGE, "seq"])
 
 
 def layout_lines(chars: DataFrame, settings: LayoutSettings | None = None) -> DataFrame:
-    """Horizontal lines of characters that stand beside the one before in content order, with spaces where they are apart.
+    """Lines of characters that stand beside the one before in content order, with spaces where they are apart.
 
-    doc_id, page_no, line (from 0 in content order), text (ends with a line feed), x0, y0, x1, y1.
+    doc_id, page_no, line (from 0 in content order), text (ends with a line
+    feed), x0, y0, x1, y1, vertical. With detect_vertical, a line whose first
+    two characters stand one below the other, and not side by side, runs down.
     """
     s = settings or LayoutSettings()
-    order = Window.partitionBy(*PAGE).orderBy("seq")
-    lag = lambda c: F.lag(c).over(order)
-    new = lag("seq").isNull() | ~_beside(lag, s)
-    rows = chars.withColumn("_new", F.when(new, 1).otherwise(0)).withColumn("_line", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    rows = _with_lines(chars, s)
     own = Window.partitionBy(*PAGE, "_line").orderBy("seq")
     margin = s.word_margin * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    gap = F.lag("x1").over(own) < F.col("x0") - margin
+    gap = F.when(F.col("vertical"), F.lag("y0").over(own) > F.col("y1") + margin).otherwise(F.lag("x1").over(own) < F.col("x0") - margin)
     rows = rows.withColumn("_t", F.concat(F.when(gap, " ").otherwise(""), "text"))
     return rows.groupBy(*PAGE, F.col("_line").cast("int").alias("line")).agg(
         F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_t"))), lambda c: c["_t"]), ""), F.lit("\n")).alias("text"),
@@ -67,9 +102,15 @@ def layout_lines(chars: DataFrame, settings: LayoutSettings | None = None) -> Da
         F.min("y0").alias("y0"),
         F.max("x1").alias("x1"),
         F.max("y1").alias("y1"),
+        F.first("vertical").alias("vertical"),
     )
 
 
+def line_chars(chars: DataFrame, settings: LayoutSettings | None = None) -> DataFrame:
+    """Characters with ``line``, their line's number in ``layout_lines``, and ``vertical``."""
+    return _with_lines(chars, settings or LayoutSettings()).withColumn("line", F.col("_line").cast("int")).drop("_line", "_new")
+
+
 def neighbour_groups(lines: list[tuple[float, float, float, float, bool]], margin: float) -> list[int]:
     """A box number for each line: lines that are near, of a size and aligned, are together, by first seen order."""
     parent = list(range(len(lines)))
@@ -113,49 +154,64 @@ def reading_order(boxes: list[tuple[float, float, float, float, bool]], flow: fl
         for k, i in enumerate(sorted(range(n), key=key)):
             rank[i] = k
         return rank
-    nodes: dict[int, tuple] = {i: (*b, None) for i, b in enumerate(boxes)}
-    alive = set(range(n))
-
-    def waste(a: int, b: int) -> float:
-        p, q = nodes[a], nodes[b]
-        u = (max(p[2], q[2]) - min(p[0], q[0])) * (max(p[3], q[3]) - min(p[1], q[1]))
-        return u - (p[2] - p[0]) * (p[3] - p[1]) - (q[2] - q[0]) * (q[3] - q[1])
+    # boxes and the pairs made of them, in the order in which they come
+    at = np.zeros((2 * n, 4))
+    at[:n] = [b[:4] for b in boxes]
+    tall, kids = [b[4] for b in boxes], [None] * n
+    area = np.zeros(2 * n)
+    area[:n] = (at[:n, 2] - at[:n, 0]) * (at[:n, 3] - at[:n, 1])
+    alive = np.zeros(2 * n, dtype=bool)
+    alive[:n] = True
+
+    def around(a: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.minimum(at[a, :2], at[others, :2]), np.maximum(at[a, 2:], at[others, 2:])
+
+    def wastes(a: int, others: np.ndarray) -> np.ndarray:
+        low, high = around(a, others)
+        return (high - low).prod(axis=1) - area[a] - area[others]
 
     def between(a: int, b: int) -> bool:
-        p, q = nodes[a], nodes[b]
-        x0, y0, x1, y1 = min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3])
-        return any(c not in (a, b) and nodes[c][0] < x1 and nodes[c][2] > x0 and nodes[c][1] < y1 and nodes[c][3] > y0 for c in alive)
-
-    heap = [(False, waste(a, b), a, b) for a in range(n) for b in range(a + 1, n)]
+        low, high = around(a, np.array([b]))
+        hit = alive & (at[:, 0] < high[0, 0]) & (at[:, 2] > low[0, 0]) & (at[:, 1] < high[0, 1]) & (at[:, 3] > low[0, 1])
+        return int(hit.sum()) > int(hit[a]) + int(hit[b])
+
+    heap = []
+    for a in range(n - 1):
+        others = np.arange(a + 1, n)
+        heap += [(False, d, a, b) for d, b in zip(wastes(a, others).tolist(), others.tolist(), strict=True)]
     heapq.heapify(heap)
     last = n
     while heap:
         seen, d, a, b = heapq.heappop(heap)
-        if a not in alive or b not in alive:
+        if not (alive[a] and alive[b]):
             continue
         if not seen and between(a, b):
             heapq.heappush(heap, (True, d, a, b))
             continue
-        p, q = nodes[a], nodes[b]
-        alive -= {a, b}
-        nodes[last] = (min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]), p[4] or q[4], (a, b))
-        for c in alive:
-            heapq.heappush(heap, (False, waste(c, last), c, last))
-        alive.add(last)
+        low, high = around(a, np.array([b]))
+        at[last], alive[a], alive[b] = np.concatenate([low[0], high[0]]), False, False
+        area[last] = (high[0] - low[0]).prod()
+        tall.append(tall[a] or tall[b])
+        kids.append((a, b))
+        others = np.flatnonzero(alive)
+        for d, c in zip(wastes(last, others).tolist(), others.tolist(), strict=True):
+            heapq.heappush(heap, (False, d, c, last))
+        alive[last] = True
         last += 1
+    nodes = [(*at[k].tolist(), tall[k], kids[k]) for k in range(last)]
     rank, count = [0] * n, 0
-    stack = sorted(alive, reverse=True)
+    stack = np.flatnonzero(alive)[::-1].tolist()
     while stack:
         k = stack.pop()
-        x0, y0, x1, y1, tall, kids = nodes[k]
-        if kids is None:
+        pair = nodes[k][5]
+        if pair is None:
             rank[k], count = count, count + 1
             continue
-        if tall:
+        if nodes[k][4]:
             key = lambda c: -(1 + flow) * (nodes[c][0] + nodes[c][2]) - (1 - flow) * nodes[c][3]
         else:
             key = lambda c: (1 - flow) * nodes[c][0] - (1 + flow) * (nodes[c][1] + nodes[c][3])
-        stack += reversed(sorted(kids, key=key))
+        stack += reversed(sorted(pair, key=key))
     return rank
 
 

@@ -309,3 +309,21 @@ def extract_tables(found: DataFrame, chars: DataFrame, settings: TextSettings |
     slots = extract_cells(found, chars, settings)
     rows = slots.groupBy(*PAGE, "table", "row_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("column_index", "text"))), lambda x: x["text"]).alias("cells"))
     return rows.groupBy(*PAGE, "table").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "cells"))), lambda x: x["cells"]).alias("rows"))
+
+
+def pages_with_edges(edges: DataFrame) -> DataFrame:
+    """doc_id, page_no of pages that have an edge at all."""
+    return edges.select(*PAGE).distinct()
+
+
+def should_probe(settings: TableSettings, policy: str = "auto") -> bool:
+    """Whether pages without edges can be left out: never, always, or (auto) unless a text strategy is in use."""
+    if policy not in ("auto", "always", "never"):
+        raise ValueError(f"no such policy: {policy}")
+    return policy == "always" or (policy == "auto" and "text" not in (settings.vertical_strategy, settings.horizontal_strategy))
+
+
+def retain_tables(found: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Cells of the tables whose boxes have a common area with a crop."""
+    kept = table_boxes(found).filter((F.least(F.col("x1"), F.lit(float(box[2]))) > F.greatest(F.col("x0"), F.lit(float(box[0])))) & (F.least(F.col("bottom"), F.lit(float(box[3]))) > F.greatest(F.col("top"), F.lit(float(box[1])))))
+    return found.join(kept.select(*PAGE, "table"), [*PAGE, "table"], "left_semi")
