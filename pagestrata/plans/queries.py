@@ -417,9 +417,12 @@ def text_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.md5(T.escape_html(t)).alias("html"), F.md5(T.escape_csv(t)).alias("csv"), T.shorten(t, 25).alias("short"))
 
 
-@_register("""SELECT p_partkey, CASE WHEN p_partkey <= 26 THEN chr(CAST(96 + p_partkey AS INTEGER)) WHEN p_partkey <= 702 THEN chr(CAST(96 + (p_partkey - 1) // 26 AS INTEGER)) || chr(CAST(97 + (p_partkey - 1) % 26 AS INTEGER)) END AS label FROM part WHERE p_partkey BETWEEN 1 AND 702""")
+@_register("""WITH a AS (SELECT p_partkey, p_partkey AS n, (p_partkey - 1) // 26 AS n1 FROM part), b AS (SELECT *, CASE WHEN n1 > 0 THEN (n1 - 1) // 26 ELSE 0 END AS n2 FROM a),
+  c AS (SELECT *, CASE WHEN n2 > 0 THEN (n2 - 1) // 26 ELSE 0 END AS n3 FROM b), d AS (SELECT *, CASE WHEN n3 > 0 THEN (n3 - 1) // 26 ELSE 0 END AS n4 FROM c)
+  SELECT p_partkey, CASE WHEN n < 1 THEN NULL ELSE '' END || CASE WHEN n4 > 0 THEN chr(CAST(97 + (n4 - 1) % 26 AS INTEGER)) ELSE '' END || CASE WHEN n3 > 0 THEN chr(CAST(97 + (n3 - 1) % 26 AS INTEGER)) ELSE '' END ||
+  CASE WHEN n2 > 0 THEN chr(CAST(97 + (n2 - 1) % 26 AS INTEGER)) ELSE '' END || CASE WHEN n1 > 0 THEN chr(CAST(97 + (n1 - 1) % 26 AS INTEGER)) ELSE '' END || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) AS label FROM d""")
 def letter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").filter(F.col("p_partkey").between(1, 702)).select("p_partkey", T.letters(F.col("p_partkey")).alias("label"))
+    return _read(spark, sf_dir, "part").select("p_partkey", T.letters(F.col("p_partkey")).alias("label"))
 
 
 # The layout path
