@@ -284,12 +284,19 @@ def with_spans(found: DataFrame) -> DataFrame:
     return r.withColumn("row_span", span("_tops", "top", "bottom")).withColumn("column_span", span("_lefts", "x0", "x1")).withColumn("row_count", F.size("_tops")).withColumn("column_count", F.size("_lefts")).drop("_tops", "_lefts")
 
 
-def cell_chars(found: DataFrame, chars: DataFrame) -> DataFrame:
-    """Characters with the cell that holds their centre (its left and top sides belong to it)."""
-    c = chars.withColumn("_hx", (F.col("x0") + F.col("x1")) / 2).withColumn("_vy", (F.col("top") + F.col("bottom")) / 2)
+def cell_chars(found: DataFrame, chars: DataFrame, square: float = 64.0) -> DataFrame:
+    """Characters with the cell that holds their centre (its left and top sides belong to it).
+
+    Cells are dealt out to the squares of a grid that they touch, a character
+    looks into its own, so that a page's characters do not meet all its cells.
+    """
+    at = lambda c: F.floor(c / square)
+    hx, vy = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    c = chars.withColumns({"_hx": hx, "_vy": vy, "_gx": at(hx), "_gy": at(vy)})
     box = found.select(*PAGE, "table", *[F.col(x).alias(f"_{x}") for x in ("x0", "top", "x1", "bottom")])
+    box = box.withColumn("_gx", F.explode(F.sequence(at(F.col("_x0")), at(F.col("_x1"))))).withColumn("_gy", F.explode(F.sequence(at(F.col("_top")), at(F.col("_bottom")))))
     inside = (F.col("_hx") >= F.col("_x0")) & (F.col("_hx") < F.col("_x1")) & (F.col("_vy") >= F.col("_top")) & (F.col("_vy") < F.col("_bottom"))
-    return c.join(box, PAGE).filter(inside).drop("_hx", "_vy")
+    return c.join(box, [*PAGE, "_gx", "_gy"]).filter(inside).drop("_hx", "_vy", "_gx", "_gy")
 
 
 def extract_cells(found: DataFrame, chars: DataFrame, settings: TextSettings | None = None) -> DataFrame:
@@ -297,11 +304,12 @@ def extract_cells(found: DataFrame, chars: DataFrame, settings: TextSettings | N
     own = ["table", "_x0", "_top"]
     placed = cell_chars(found, chars).withColumn("_cell", F.struct("page_no", *own))
     texts = extract_text(placed.drop("page_no").withColumnRenamed("_cell", "page_no"), settings).select("doc_id", F.col("page_no.page_no").alias("page_no"), F.col("page_no.table").alias("table"), F.col("page_no._x0").alias("x0"), F.col("page_no._top").alias("top"), "text")
-    spans = with_spans(found)
-    filled = spans.join(texts, [*PAGE, "table", "x0", "top"], "left").select(*PAGE, "table", "row_index", "column_index", F.coalesce("text", F.lit("")).alias("text"))
-    size = spans.groupBy(*PAGE, "table").agg(F.first("row_count").alias("_r"), F.first("column_count").alias("_c"))
-    slots = size.withColumn("row_index", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))).withColumn("column_index", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).drop("_r", "_c")
-    return slots.join(filled, [*PAGE, "table", "row_index", "column_index"], "left")
+    filled = with_spans(found).join(texts, [*PAGE, "table", "x0", "top"], "left")
+    # a table's texts by their slot's number; the slots without one are made here, not by another pass over the cells
+    slot = F.struct(F.col("row_index") * F.col("column_count") + F.col("column_index"), F.coalesce("text", F.lit("")))
+    whole = filled.groupBy(*PAGE, "table").agg(F.map_from_entries(F.collect_list(slot)).alias("_t"), F.first("row_count").alias("_r"), F.first("column_count").alias("_c"))
+    slots = whole.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_r") * F.col("_c") - 1)))
+    return slots.select(*PAGE, "table", F.floor(F.col("_k") / F.col("_c")).cast("int").alias("row_index"), (F.col("_k") % F.col("_c")).alias("column_index"), F.try_element_at("_t", F.col("_k")).alias("text"))
 
 
 def extract_tables(found: DataFrame, chars: DataFrame, settings: TextSettings | None = None) -> DataFrame:

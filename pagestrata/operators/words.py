@@ -130,7 +130,10 @@ def extract_words(chars: DataFrame, settings: TextSettings | None = None) -> Dat
     """doc_id, page_no, word (from 0 in a page), text, box, doctop, upright, direction, extra attributes."""
     s = settings or TextSettings()
     text = expand_ligature(F.col("text")) if s.expand_ligatures else F.col("text")
-    rows = word_chars(chars, s).withColumn("_t", text)
+    # windows carry what words are made of, and no more
+    sized = ["size"] if s.x_tolerance_ratio is not None or s.y_tolerance_ratio is not None else []
+    needed = dict.fromkeys([*PAGE, "seq", "text", "x0", "x1", "top", "bottom", "doctop", "upright", *sized, *s.extra_attrs])
+    rows = word_chars(chars.select(*needed), s).withColumn("_t", text)
     first = lambda c: F.min_by(c, "_at")
     words = rows.groupBy(*PAGE, "_group", "_word").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda c: c["_t"]), "").alias("text"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cluster, geometry, layout, search, tables, words
+from ..operators import geometry, layout, search, sets, tables, words
 from ..sources import sinks
 from ..sources.pdf import reader, writer
 from . import queries as base
@@ -279,3 +279,35 @@ def words_of_uneven_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = _chars(spark, sf_dir).withColumn("off", (F.col("seq") % 3 - 1).cast("double"))
     seen = seen.withColumns({"top": F.col("top") + F.col("off"), "bottom": F.col("bottom") + F.col("off")}).drop("off")
     return words.extract_words(seen).select("doc_id", "page_no", "word", "text")
+
+
+# Sets of rows and boxes
+
+
+@_register("""SELECT o_custkey AS k, floor(o_totalprice / 10000) AS v, MIN(o_orderkey) AS first FROM orders GROUP BY ALL""")
+def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.floor(F.col("o_totalprice") / 10000).cast("double").alias("v"), F.col("o_orderkey").alias("first"))
+    return sets.ordered_distinct(rows, ["v"], ["k"], ["first"])
+
+
+@_register("""SELECT o_custkey AS k, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS id, MIN(o_totalprice) AS price FROM orders GROUP BY 1""")
+def pick_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    return sets.pick_least(rows, ["k"], ["price", "id"])
+
+
+@_register("""SELECT o_orderstatus = 'F' AS yes, COUNT(*) AS n FROM orders GROUP BY 1""")
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    yes, no = sets.split(_read(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F")
+    count = lambda df, flag: df.groupBy(F.lit(flag).alias("yes")).agg(F.count("*").alias("n"))
+    return count(yes, True).unionByName(count(no, False))
+
+
+@_register(_BOXES_SQL + """, kept AS (SELECT * FROM boxes WHERE id % 5 <> 0 UNION ALL SELECT id + 1000000000, page_no, x0 + 1, top + 1, x1 + 1, bottom + 1 FROM boxes WHERE id % 50 = 0)
+  SELECT DISTINCT a.page_no, a.id FROM boxes a JOIN kept b ON a.page_no = b.page_no AND a.id <> b.id WHERE a.id % 7 = 0 AND LEAST(a.x1, b.x1) > GREATEST(a.x0, b.x0) AND LEAST(a.bottom, b.bottom) > GREATEST(a.top, b.top)""")
+def box_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with some removed and some added; which of the asked ones have another in them."""
+    every = _boxes(spark, sf_dir)
+    added = every.filter("id % 50 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "page_no", *[(F.col(c) + 1).alias(c) for c in ("x0", "top", "x1", "bottom")])
+    index = sets.BoxIndex(every, ["page_no"], "id").remove(every.filter("id % 5 = 0")).extend(added)
+    return index.any(every.filter("id % 7 = 0"))

@@ -91,7 +91,17 @@ def extract_text_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.extract_text_simple(_chars(spark, sf_dir))
 
 
-@_register()
+# a line's words are folded into it one by one; line i of a page stands at row n = max(own row, one below the last)
+_LAYOUT_SQL = """, frames AS (SELECT doc_id, CAST(round(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) * 6.0 / 7.25) AS INTEGER) AS wide FROM documents WHERE text IS NOT NULL),
+  coded AS (SELECT doc_id, page_no, line, list(lpad(CAST(CAST(round(x0 / 7.25) AS INTEGER) AS VARCHAR), 6, '0') || text ORDER BY k) AS w FROM words GROUP BY ALL),
+  folded AS (SELECT doc_id, page_no, line, list_reduce(list_prepend('', w), lambda acc, x: acc || repeat(' ', GREATEST(LEAST(1, length(acc)), CAST(left(x, 6) AS INTEGER) - length(acc))) || substr(x, 7)) AS t FROM coded),
+  ranked AS (SELECT *, CAST(round((line % 64) * 12 / 13.0) AS INTEGER) AS r, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id, page_no ORDER BY line) AS INTEGER) AS i FROM folded),
+  placed_lines AS (SELECT *, i + MAX(r - i) OVER (PARTITION BY doc_id, page_no ORDER BY i) AS n FROM ranked),
+  spread AS (SELECT p.*, f.wide, n - COALESCE(LAG(n) OVER (PARTITION BY p.doc_id, page_no ORDER BY i), -1) - 1 AS fill FROM placed_lines p JOIN frames f ON f.doc_id = p.doc_id)
+  SELECT doc_id, page_no, string_agg(repeat(repeat(' ', wide) || chr(10), fill) || rpad(t, GREATEST(wide, CAST(length(t) AS INTEGER)), ' '), chr(10) ORDER BY i) || repeat(chr(10) || repeat(' ', ANY_VALUE(wide)), GREATEST(0, 59 - (MAX(n) + 1))) AS text FROM spread GROUP BY ALL"""
+
+
+@_register(_words_sql() + _LAYOUT_SQL)
 def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return words.layout_text(G.glyphs(docs), G.page_frames(docs))
