@@ -67,10 +67,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def materialize_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``materialize``, dealt out by ``key`` into as many buckets as a shuffle has partitions: joins by it leave the table where it is."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with settings(spark, WRITING):
+        df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
+    back = spark.table(table)
+    back._scratch, back._table = path, table
+    return back
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing will read again."""
     for t in tables:
         spark = t.sparkSession
+        if "_table" in t.__dict__:
+            spark.sql(f"DROP TABLE IF EXISTS {t._table}")
         at = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

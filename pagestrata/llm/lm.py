@@ -23,7 +23,8 @@ to ranges of a 64-bit hash, where they are summed, and get the sums for their
 own keys back; one chunk of those that have an n-gram is its owner and adds its
 arc to the sums of its context, which go the same way. So a chunk has the part
 of the automaton that its texts can reach, and a task holds one chunk, or one
-range of the keys of about RANGE_TOKENS tokens.
+range of the keys of about RANGE_TOKENS tokens. The coded texts are dealt out by
+chunk once; answers come to them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, id_remainder, lean, materialize, slices_of, trim
+from .common import forget, id_remainder, lean, materialize, materialize_by, slices_of, trim
 from .shingles import word_hashes, words_of
 
 #: The least training count of a bigram or trigram with an arc.
@@ -108,7 +109,7 @@ def code_documents(docs: DataFrame) -> DataFrame:
             yield row()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(F.col("doc_id"), 10) == 0).alias("held"), "text")
-    return materialize(slim.mapInArrow(lean(code), CODED), "coded")
+    return materialize_by(slim.mapInArrow(lean(code), CODED), "chunk", "coded")
 
 
 def _range_bits(coded: DataFrame) -> int:
@@ -324,40 +325,29 @@ class Part:
         return np.add.reduceat(steps, self.first)
 
 
-def _with_answers(coded: DataFrame, *answers: DataFrame) -> DataFrame:
-    """A chunk's row (kind 0) and then its answers, by kind and range."""
-    fill = lambda names: [F.lit(None).cast(t).alias(c) for c, t in names]
-    texts = [(f.name, f.dataType) for f in coded.schema if f.name != "chunk"]
-    rows = coded.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("range"), *[c for c, _ in texts], *fill([(c, "binary") for c in NUMBERS]))
+def _with_answers(coded: DataFrame, answers: list[DataFrame], work, schema: str) -> DataFrame:
+    """``work(part, answers by kind, the chunk's row)`` for each chunk, which gives Arrow batches."""
+    rows = None
     for a in answers:
-        rows = rows.unionByName(a.filter("chunk >= 0").select("chunk", "kind", "range", *fill(texts), *NUMBERS))
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "range")
+        own = a.filter("chunk >= 0").select("chunk", "kind", "range", *NUMBERS)
+        rows = own if rows is None else rows.unionByName(own)
 
+    def meet(chunk, given):
+        import pyarrow as pa
 
-def _parts(batches):
-    """The chunks' parts of the automaton, and their rows, from rows of ``_with_answers``."""
-    row, given = None, {}
-
-    def part():
-        out, answers = Part(row), {}
-        for kind, rows in given.items():
-            answers[kind] = [np.concatenate([_from_planes(r[c], "<i8") for r in rows]) for c in (NUMBERS[:1] if kind in COUNTED else NUMBERS)]
-        given.clear()
-        none = np.zeros(0, np.int64)
+        (row,) = chunk.to_pylist()
+        by_kind: dict = {}
+        for r in sorted(given.to_pylist(), key=lambda r: (r["kind"], r["range"])):
+            by_kind.setdefault(r["kind"], []).append(r)
+        found = {}
         for kind in (WORD, BIGRAM, TRIGRAM, WORD_ARCS, PAIR_ARCS):
-            answers.setdefault(kind, [none] * 3)
-        return out, answers
+            names = NUMBERS[:1] if kind in COUNTED else NUMBERS
+            found[kind] = [np.concatenate([np.zeros(0, np.int64), *(_from_planes(r[c], "<i8") for r in by_kind.get(kind, []))]) for c in names]
+        out = list(work(Part(row), found, row))
+        trim()
+        return pa.Table.from_batches(out)
 
-    for r in _rows(batches):
-        if r["kind"] == 0:
-            if row is not None:
-                yield (*part(), row)
-                trim()
-            row, given = r, {}
-        else:
-            given.setdefault(r["kind"], []).append(r)
-    if row is not None:
-        yield (*part(), row)
+    return coded.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(meet, schema)
 
 
 def _answers(docs: DataFrame) -> tuple[DataFrame, list[DataFrame], int, int]:
@@ -374,35 +364,39 @@ def _answers(docs: DataFrame) -> tuple[DataFrame, list[DataFrame], int, int]:
     own = one.filter(F.col("chunk") == -1).filter(F.col("kind") == WORD).agg(F.sum("total"), F.sum("distinct")).first()
     n, v = int(own[0] or 0), int(own[1] or 0)
 
-    def trigrams(batches):
-        for part, answers, _ in _parts(batches):
-            part.take_counts(answers, n, v)
-            yield from part.ask_trigrams(bits)
+    def trigrams(part, answers, _):
+        part.take_counts(answers, n, v)
+        yield from part.ask_trigrams(bits)
 
-    two = _answer(_with_answers(coded, one).mapInArrow(lean(trigrams), ASKED), "trigrams")
+    two = _answer(_with_answers(coded, [one], trigrams, ASKED), "trigrams")
 
-    def pairs(batches):
-        for part, answers, _ in _parts(batches):
-            part.take_counts(answers, n, v)
-            part.take_trigrams(answers)
-            yield from part.ask_pairs(bits)
+    def pairs(part, answers, _):
+        part.take_counts(answers, n, v)
+        part.take_trigrams(answers)
+        yield from part.ask_pairs(bits)
 
-    three = _answer(_with_answers(coded, one, two).mapInArrow(lean(pairs), ASKED), "pairs")
+    three = _answer(_with_answers(coded, [one, two], pairs, ASKED), "pairs")
     return coded, [one, two, three], n, v
 
 
-def _complete(batches, n: int, v: int):
-    for part, answers, row in _parts(batches):
-        part.take_counts(answers, n, v)
-        part.take_trigrams(answers)
-        part.take_pairs(answers)
-        yield part, row
+def _completed(part: Part, answers: dict, n: int, v: int) -> Part:
+    part.take_counts(answers, n, v)
+    part.take_trigrams(answers)
+    part.take_pairs(answers)
+    return part
 
 
 def whole_automaton(docs: DataFrame) -> tuple[Part, int, int]:
     """The automaton of a corpus of one chunk, the number of training tokens, and that of distinct ones; for looking into it."""
     coded, answers, n, v = _answers(docs)
-    ((part, _),) = _complete(_with_answers(coded, *answers).toArrow().to_batches(), n, v)
+    (row,) = (r.asDict() for r in coded.collect())
+    found: dict = {}
+    for a in answers:
+        for r in sorted(a.filter("chunk >= 0").collect(), key=lambda r: (r["kind"], r["range"])):
+            found.setdefault(r["kind"], [[] for _ in NUMBERS])
+            for k, c in enumerate(NUMBERS):
+                found[r["kind"]][k].append(_from_planes(r[c], "<i8") if r[c] is not None else np.zeros(0, np.int64))
+    part = _completed(Part(row), {kind: [np.concatenate(x) for x in parts] for kind, parts in found.items()}, n, v)
     forget(coded, *answers)
     return part, n, v
 
@@ -421,25 +415,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     coded, answers, n, v = _answers(docs)
 
-    def score(batches):
+    def score(part, found, row):
         import pyarrow as pa
 
-        for part, row in _complete(batches, n, v):
-            base = np.log10(part.unigram)[part.codes]
-            known = (part.count > 0)[part.codes]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(row["held"], pa.bool_()),
-                    pa.array(part.lengths),
-                    pa.array(np.add.reduceat(known.astype(np.int64), part.first)),
-                    pa.array(np.full(len(part.lengths), n, dtype=np.int64)),
-                    pa.array(np.add.reduceat(base, part.first)),
-                    pa.array(part.traverse()),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    scored = materialize(_with_answers(coded, *answers).mapInArrow(lean(score), SCORED), "scores")
+        _completed(part, found, n, v)
+        base = np.log10(part.unigram)[part.codes]
+        known = (part.count > 0)[part.codes]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(row["doc_ids"], pa.int64()),
+                pa.array(row["held"], pa.bool_()),
+                pa.array(part.lengths),
+                pa.array(np.add.reduceat(known.astype(np.int64), part.first)),
+                pa.array(np.full(len(part.lengths), n, dtype=np.int64)),
+                pa.array(np.add.reduceat(base, part.first)),
+                pa.array(part.traverse()),
+            ],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    scored = materialize(_with_answers(coded, answers, score, SCORED), "scores")
     forget(coded, *answers)
     return scored
