@@ -116,3 +116,26 @@ def test_plan_equals_item_by_item_best_fit():
                 assert sum(x[1] for x in items) <= cap.tokens and len(items) <= cap.documents and sum(x[1] ** 2 for x in items) <= cap.cost
             assert sum(len(x) for x in bins.values()) == sum(counts.values())
             assert len(bins) == len(brute_best_fit(counts, cap))
+
+
+def test_other_residuals_decide_between_bins_at_no_loss():
+    """The production settings: all three residuals choose, and no more sequences are taken than by tokens alone."""
+    rng = np.random.default_rng(3)
+    counts = {int(n): int(c) for n, c in zip(*np.unique(np.minimum(1024, rng.lognormal(5, 1.2, 6000).astype(int) + 1), return_counts=True))}
+    plan, scalar = (packing.plan_sequences(counts, packing.Capacity(weights=w)) for w in (packing.Capacity().weights, (1.0, 0.0, 0.0)))
+    used = lambda p: max(r[3] + (r[2] - r[1]) // r[4] for r in p) + 1
+    assert plan != scalar and used(plan) <= used(scalar) + 1
+    fill: dict[int, list[int]] = {}
+    for length, first, last, sequence, each, place in plan:
+        for r in range(last - first + 1):
+            fill.setdefault(sequence + r // each, []).append((place + r % each * length, length))
+    assert sum(map(len, fill.values())) == sum(counts.values())
+    for items in fill.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    tight = packing.Capacity(documents=4, weights=(1.0, 0.3, 0.3))
+    for row in packing.plan_sequences({10: 9, 500: 3}, tight):
+        assert row[4] <= 4
