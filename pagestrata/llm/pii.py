@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_columns
-
 ROUNDS = 8
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
@@ -190,19 +188,23 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with replaced values in ``text``, ``replaced`` (int) and ``kinds`` (array, the kind of each in order).
 
     A value that looks like a number or date of a kind but does not validate
-    stays. Null texts stay null, with 0 and no kinds. Rows are independent, so
-    repeated rows get equal results. Columns named replaced or kinds are
-    replaced, others pass through. The key is a secret of the caller.
+    stays; where two kinds match at a place the first of KINDS counts. Null
+    texts stay null, with 0 and no kinds; empty ones stay empty. Rows are
+    independent, whatever their ids, so repeated rows get equal results, and a
+    text of any length is one row's work. An empty table gives an empty table.
+    Columns named replaced or kinds are replaced, others pass through, whatever
+    their names. The key is a secret of the caller.
     """
-    kept = drop_columns(docs, ["replaced", "kinds"])
-    text = F.col("text")
+    columns = [c for c in docs.columns if c.lower() not in {"replaced", "kinds"}]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    text = F.col("row.text")
     has = text.isNotNull() & text.rlike(ANY)
     values = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     named = F.transform(values, lambda x: F.struct(x.alias("old"), kind_of(x).alias("kind")))
-    changed = F.transform("_named", lambda s: F.struct(s["old"].alias("old"), s["kind"].alias("kind"), pseudonym(s["old"], s["kind"], key).alias("new")))
-    first = kept.withColumn("_named", named).withColumn("_changed", changed)
+    changed = F.transform("named", lambda s: F.struct(s["old"].alias("old"), s["kind"].alias("kind"), pseudonym(s["old"], s["kind"], key).alias("new")))
+    first = packed.withColumn("named", named).withColumn("changed", changed)
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, "_changed", lambda g, c: F.array(F.coalesce(g, F.lit("")), F.coalesce(c["new"], F.lit(""))))), "")
-    real = F.filter("_changed", lambda c: c["new"] != c["old"])
-    columns = [F.when(F.size("_changed") > 0, joined).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in kept.columns]
-    return first.select(*columns, F.size(real).alias("replaced"), F.transform(real, lambda c: c["kind"]).alias("kinds"))
+    joined = F.array_join(F.flatten(F.zip_with(gaps, "changed", lambda g, c: F.array(F.coalesce(g, F.lit("")), F.coalesce(c["new"], F.lit(""))))), "")
+    real = F.filter("changed", lambda c: c["new"] != c["old"])
+    after = [F.when(F.size("changed") > 0, joined).otherwise(text).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns]
+    return first.select(*after, F.size(real).alias("replaced"), F.transform(real, lambda c: c["kind"]).alias("kinds"))

@@ -178,22 +178,29 @@ def may_train(column: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled rows that are not held out, those of least hash of their id.
 
-    Labels other than 0 and 1, and those without a document, are passed over.
+    Labels other than 0 and 1, and those without a document, are passed over;
+    of contradictory labels of an id the greater counts, and of an id's texts
+    the one of least hash, so that at most ``rows`` rows of numbers are
+    collected however often ids repeat.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
     chosen = known.filter(may_train(F.col("_id"))).groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # at most ``rows`` pairs of numbers
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    got = joined.select("doc_id", "_label", *[c.alias(k) for k, c in statistics(F.col("text")).items()]).toPandas().sort_values(["doc_id", *FEATURES])
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    told = joined.select("_id", "_label", F.xxhash64("text").alias("_h"), F.struct(*[c.alias(k) for k, c in statistics(F.col("text")).items()]).alias("_s"))
+    once = told.groupBy("_id").agg(F.max("_label").alias("_label"), F.min_by("_s", "_h").alias("_s"))
+    got = once.select("_id", "_label", "_s.*").toPandas().sort_values(["_id", *FEATURES])
     return fit(got[list(FEATURES)].to_numpy(dtype=np.float64), got["_label"].to_numpy())
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5).
 
-    Whole texts are scored by their statistics alone; a null text counts as
-    empty and gets a score too. Repeated rows get equal scores; columns named
-    score or predicted are replaced, others pass through.
+    Whole texts are scored by their statistics alone, at any length; a null
+    text counts as empty and gets a score too; ids, null or repeated, are not
+    looked at. Repeated rows get equal scores, and a score of 0.5 counts as
+    good. An empty table gives an empty table. Columns named score or predicted
+    are replaced, others pass through, whatever their names.
     """
     kept = drop_columns(docs, ["score", "predicted"])
     with_stats = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"), *[c.alias(k) for k, c in statistics(F.col("text")).items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, drop_columns, gapless_index
+from .common import crc32_of, gapless_index
 
 # Fixed value: the multiplier of the published generator.
 MULTIPLIER = 2862933555777941757
@@ -65,12 +65,24 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", slices: i
 
     Key and shard count alone decide, so equal ids (repeated rows too) share a
     shard, and an appended shard takes rows only into itself. Null keys count
-    as 0. An empty table gives an empty table. Input columns named like an
-    output column are replaced; all others pass through.
+    as 0. Texts of any length, null and empty ones are carried as they are, and
+    rows of one key are numbered in any order. An empty table gives an empty
+    table. Input columns named like an output column are replaced; all others
+    pass through, whatever their names.
     """
-    kept = drop_columns(docs, ["shard", "slot", "grown_shard", "_slice", "_rank", "_base"])
-    placed = kept.withColumn("shard", jump_hash(F.col(key), shards)).withColumn("grown_shard", jump_hash(F.col(key), shards + grow))
-    return gapless_index(placed, ["shard"], [key], "slot", slices)
+    taken = {"shard", "slot", "grown_shard"}
+    columns = [c for c in docs.columns if c.lower() not in taken]
+    # rows of one key are told apart by what else they have, so that a frequent key is shared out
+    told_by = [F.col(f"`{c}`") for c, kind in docs.dtypes if c in columns and "map<" not in kind and "variant" not in kind]
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
+        F.xxhash64(*told_by).alias("told_by"),
+        F.col(f"`{key}`").alias("key"),
+        jump_hash(F.col(f"`{key}`"), shards).alias("shard"),
+        jump_hash(F.col(f"`{key}`"), shards + grow).alias("grown_shard"),
+    )
+    out = gapless_index(packed, ["shard"], ["key", "told_by"], "slot", slices)
+    return out.select("row.*", "shard", "grown_shard", "slot")
 
 
 def shard_digest(docs: DataFrame, shards: int) -> DataFrame:
