@@ -229,9 +229,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample: int = SA
 
     Of equal vectors only the k + 1 of least id are indexed, as no other can be
     among the k nearest of any query; equal queries are searched once. Ties go
-    to the smaller id. Rows that take no part (see ``usable``) give no results;
-    the vectors' most frequent length is that of the index. A vec_id that stands
-    in several rows counts as often. Other columns are not read.
+    to the smaller id. Rows that take no part (see ``usable``) give no results.
+    The vectors' most frequent length is that of the index; others are left out,
+    as a cosine needs two vectors of one length. A vec_id that stands in several
+    rows counts as often; one that is null takes no part. An empty table gives
+    an empty table. Columns other than vec_id and embedding are not read,
+    whatever their names.
     """
     spark = vectors.sparkSession
     sizes = vectors.filter("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()

@@ -17,6 +17,7 @@ count that tells repeated ids apart, so byte order is id order.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import lean, materialize, scratch_path, slices_of
 from .tokens import END_ID, encoder, tokenizer_path
 
 MAGIC = b"STRATA01"
@@ -192,7 +193,8 @@ def _store(folder: str, name: str, data: bytes) -> None:
     """Write whole under another name, then rename: a lost or repeated task leaves a whole file or none."""
     from pyarrow import fs
 
-    to, path = fs.FileSystem.from_uri(folder)
+    # Hadoop's names of the same store
+    to, path = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
     to.create_dir(path, recursive=True)
     draft = f"{path}/_{uuid.uuid4().hex}"
     with to.open_output_stream(draft) as f:
@@ -208,7 +210,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     A null text gives the end id alone; null doc_ids stand first; repeated
     doc_ids are kept, told apart by a count in their key. An empty table writes
-    no file. Other columns are not read. ``file_bytes`` bounds what a task holds.
+    no file. Rows of one id stand in the order of their texts. ``file_bytes``
+    and the longest text bound what a task holds. Columns other than doc_id and
+    text are not read, whatever their names.
     """
     path = tokenizer or tokenizer_path()
 
@@ -229,7 +233,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             _store(folder, name, writer.finish())
             rows.append((name, first is None, first, part, len(rows), entries, ids))
 
-        for batch in batches:
+        for batch in slices_of(batches):
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), enc.encode(batch["text"].to_pylist()), strict=True):
                 repeat = repeat + 1 if (doc_id,) == before else 0
                 before = (doc_id,)
@@ -246,7 +250,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = slim.repartitionByRange(partitions, "doc_id") if partitions else slim.repartitionByRange("doc_id")
-    return materialize(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
+    return materialize(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(lean(write), MANIFEST), "manifest")
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -271,7 +275,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     if not manifest.take(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("path", "content")
-    rows = files.mapInArrow(parse, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lean(parse), "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(base, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
