@@ -113,7 +113,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = matched_windows(lines, min_words)
     forget(lines)
     here = F.struct("doc_id", "key", "start", "stop")
-    firsts = windows.groupBy("fingerprint", "content").agg(F.min(here).alias("source"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # a table of its own, so that Spark can split a window that stands very often when it meets its source
+    firsts = materialize(windows.groupBy("fingerprint", "content").agg(F.min(here).alias("source"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
     matched = windows.join(firsts, ["fingerprint", "content"])
     # of overlapping windows of one document the source is not deleted
     later = (F.col("key") != F.col("source.key")) | (F.col("start") > F.col("source.stop"))
@@ -122,7 +123,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = hits.withColumn("new", F.when(F.col("start") <= reach + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
     runs = materialize(islands.groupBy("key", "island").agg(F.min("start").alias("first"), F.max("stop").alias("last")).drop("island"), "runs")
-    forget(windows)
+    forget(windows, firsts)
     return runs
 
 
@@ -143,7 +144,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = repeated_runs(docs, min_words)
     cuts = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"))
     packed = docs.select(_key().alias("own"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    joined = packed.join(cuts, F.col("own") == F.col("key"), "left")
+    # cuts grow with the corpus, so the plan is the same at every size: none of them is sent to all
+    joined = packed.join(cuts.hint("merge"), F.col("own") == F.col("key"), "left")
     text = F.col("row.text")
     lines = _lines(text)
     n = F.when(text.isNull(), 0).otherwise(F.size(lines))
