@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import geometry, layout, search, sets, tables, words
+from ..operators import geometry, layout, pages, search, sets, tables, words
 from ..sources import sinks
 from ..sources.pdf import reader, writer
 from . import queries as base
@@ -311,3 +311,136 @@ def box_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = every.filter("id % 50 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "page_no", *[(F.col(c) + 1).alias(c) for c in ("x0", "top", "x1", "bottom")])
     index = sets.BoxIndex(every, ["page_no"], "id").remove(every.filter("id % 5 = 0")).extend(added)
     return index.any(every.filter("id % 7 = 0"))
+
+
+# What files say of themselves: a file for each part, with one to three pages
+
+_PARTS = "WITH parts AS (SELECT p_partkey AS doc_id, p_partkey % 3 + 1 AS n FROM part), pages AS (SELECT doc_id, n, CAST(unnest(range(n)) AS INTEGER) AS i FROM parts)"
+
+
+def _rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writer.rich_files(_read(spark, sf_dir, "part"), "p_partkey", F.col("p_partkey") % 3 + 1)
+
+
+@_register(_PARTS + """ SELECT doc_id, 0 AS position, 1 AS level, 'Part ' || doc_id AS title, NULL::VARCHAR AS dest, NULL::INTEGER AS page_no FROM parts
+  UNION ALL SELECT doc_id, i + 1, 2, 'Page ' || (i + 1), 'p' || i, i + 1 FROM pages""")
+def file_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _number(reader.outline(_rich(spark, sf_dir), strict=True)).select("doc_id", "position", "level", "title", "dest", "page_no")
+
+
+@_register(_PARTS + " SELECT doc_id, 'p' || i AS name, i + 1 AS page_no FROM pages")
+def file_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _number(reader.named_destinations(_rich(spark, sf_dir), strict=True)).select("doc_id", "name", "page_no")
+
+
+@_register(_PARTS + " SELECT doc_id, doc_id || '.txt' AS name, 'attached to ' || doc_id AS data FROM parts")
+def file_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _number(reader.embedded_files(_rich(spark, sf_dir), strict=True)).select("doc_id", "name", F.col("data").cast("string").alias("data"))
+
+
+@_register(_PARTS + """ SELECT doc_id, i + 1 AS page_no, 'http://example.org/' || doc_id || '/' || i AS uri, 'tip ' || i AS title,
+  (CASE doc_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 140 ELSE 60 END)::DOUBLE AS x0, (CASE doc_id % 4 WHEN 0 THEN 60 WHEN 1 THEN 10 WHEN 2 THEN 20 ELSE 140 END)::DOUBLE AS top FROM pages""")
+def file_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, turned with their pages."""
+    return _number(reader.hyperlinks(_rich(spark, sf_dir), strict=True)).select("doc_id", "page_no", "uri", "title", "x0", "top")
+
+
+@_register(_PARTS + """ SELECT doc_id, 0 AS id, NULL::INTEGER AS parent, 'Document' AS type, NULL::INTEGER AS page_no, NULL::VARCHAR AS actual_text, 0 AS marks FROM parts
+  UNION ALL SELECT doc_id, i + 1, 0, 'P', i + 1, 'text ' || i, 1 FROM pages""")
+def file_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _number(reader.structure(_rich(spark, sf_dir), strict=True)).select("doc_id", "id", "parent", "type", "page_no", "actual_text", F.size("mcids").alias("marks"))
+
+
+@_register(_PARTS + """ SELECT doc_id, i + 1 AS id, i + 1 AS page_no, 'part ' || doc_id || ' page ' || i AS text FROM pages UNION ALL SELECT doc_id, 0, i + 1, 'part ' || doc_id || ' page ' || i FROM pages""")
+def file_element_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of structure elements by their marked contents; those of the root by what is below it."""
+    files = _rich(spark, sf_dir)
+    return _number(reader.element_boxes(reader.structure(files), reader.chars(files))).select("doc_id", "id", "page_no", "text")
+
+
+@_register(_PARTS + " SELECT doc_id, i + 1 AS page_no, 0 AS mcid, 'part ' || doc_id || ' page ' || i AS text FROM pages")
+def file_mcid_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _number(reader.mcid_text(reader.chars(_rich(spark, sf_dir)))).select("doc_id", "page_no", "mcid", "text")
+
+
+@_register(_PARTS + " SELECT doc_id, '<P MCID=\"0\">part ' || doc_id || ' page 0</P>' AS first, n AS pages FROM parts")
+def file_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagged sink's first element, and its pages."""
+    xml = verbs.extract_text_to(_rich(spark, sf_dir), "tag")
+    return _number(xml).select("doc_id", F.regexp_extract("xml", "<P [^>]*>[^<]*</P>", 0).alias("first"), F.regexp_count("xml", F.lit("</page>")).cast("long").alias("pages"))
+
+
+@_register(_PARTS + " SELECT doc_id, i + 1 AS page_no, CASE WHEN i = 0 THEN 'i' ELSE 'A-' || (4 + i) END AS page_label FROM pages")
+def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _rich(spark, sf_dir)
+    return _number(pages.with_labels(reader.pages(files).select("doc_id", "page_no"), reader.page_labels(files))).select("doc_id", "page_no", "page_label")
+
+
+@_register(_PARTS + """ SELECT doc_id, i + 1 AS page_no, 'Im' AS name, 2 AS pixel_width, 2 AS pixel_height, 8 AS bits, (CASE doc_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 40 WHEN 2 THEN 80 ELSE 50 END)::DOUBLE AS x0,
+  (CASE WHEN doc_id % 2 = 0 THEN 20 ELSE 10 END)::DOUBLE AS width FROM pages""")
+def file_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _number(reader.images(_rich(spark, sf_dir), strict=True))
+    return got.select("doc_id", "page_no", "name", "pixel_width", "pixel_height", "bits", "x0", (F.col("x1") - F.col("x0")).alias("width"))
+
+
+@_register(_PARTS + """ SELECT doc_id, 'page-000' || (i + 1) || '-Im_1.bmp' AS name, 54 + 1024 + 8 AS size, upper(printf('FF800000%02x000000', doc_id % 256)) AS tail FROM pages""")
+def file_image_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images as bitmap files: their names, sizes and rows (from the bottom, filled up to four bytes)."""
+    got = _number(reader.image_files(_rich(spark, sf_dir), strict=True))
+    return got.select("doc_id", "name", F.length("data").alias("size"), F.hex(F.substring("data", -8, 8)).alias("tail"))
+
+
+@_register(_PARTS + """ SELECT doc_id, i + 1 AS page_no, 'Fm' AS name, (CASE WHEN doc_id % 2 = 0 THEN 30 ELSE 10 END)::DOUBLE AS width, 1 AS lines FROM pages""")
+def file_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms, and the lines that they draw."""
+    files = _rich(spark, sf_dir)
+    lines = reader.shapes(files).groupBy("doc_id", "page_no").agg(F.count("*").cast("int").alias("lines"))
+    got = reader.figures(files, strict=True).join(lines, ["doc_id", "page_no"])
+    return _number(got).select("doc_id", "page_no", "name", (F.col("x1") - F.col("x0")).alias("width"), "lines")
+
+
+@_register(_PARTS + """ SELECT doc_id, '1.6' AS version, 'part ' || doc_id AS title, '<x:xmpmeta>' || doc_id || '</x:xmpmeta>' AS xmp, true AS tagged, false AS encrypted, CAST(n AS INTEGER) AS declared_pages FROM parts""")
+def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _number(reader.documents(_rich(spark, sf_dir)))
+    return got.select("doc_id", "version", F.col("info")["Title"].alias("title"), "xmp", "tagged", "encrypted", "declared_pages")
+
+
+@_register(_PARTS + " SELECT doc_id, n * 5 + 13 AS objects, 1 AS trailers FROM parts")
+def file_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _number(reader.objects(_rich(spark, sf_dir), "text"))
+    return got.groupBy("doc_id").agg(F.sum(F.when(F.col("number") > 0, 1).otherwise(0)).alias("objects"), F.max(F.when(F.col("number") == 0, 1)).alias("trailers"))
+
+
+@_register(_PARTS + " SELECT doc_id, i + 1 AS page_no, NULL::VARCHAR AS error FROM pages WHERE 1 = 0")
+def file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No file and no page fails."""
+    return _number(reader.errors(_rich(spark, sf_dir))).select("doc_id", "page_no", "error")
+
+
+@_register(_PARTS + " SELECT doc_id, i + 1 AS page_no, length('part ' || doc_id || ' page ' || i) AS char_count, 1 AS shape_count, 1 AS image_count FROM pages")
+def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _number(verbs.Document(_rich(spark, sf_dir)).summaries())
+    return got.select("doc_id", "page_no", *[F.col(c).cast("long").alias(c) for c in ("char_count", "shape_count", "image_count")])
+
+
+@_register(_PARTS + " SELECT doc_id, 'part ' || doc_id AS title, n AS pages, length('part ' || doc_id || ' page 0') AS chars FROM parts")
+def file_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as nested structs."""
+    got = _number(verbs.Document(_rich(spark, sf_dir)).to_dict())
+    return got.select("doc_id", F.col("metadata")["Title"].alias("title"), F.size("pages").cast("long").alias("pages"), F.size(F.element_at("pages", 1)["chars"]).cast("long").alias("chars"))
+
+
+@_register(_PARTS + " SELECT doc_id, n AS pages, n AS images, n AS lines, length(string_agg(CASE WHEN doc_id % 2 = 0 THEN 'part ' || doc_id || ' page ' || i ELSE 'part' || doc_id || 'page' || i END, '')) AS texts FROM pages GROUP BY doc_id, n")
+def file_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, images, lines and characters counted in the XML sink's documents; on pages turned sideways each character is a line of its own, and blank lines are in no box."""
+    xml = _number(verbs.extract_text_to(_rich(spark, sf_dir), "xml"))
+    count = lambda p: F.regexp_count("xml", F.lit(p)).cast("long")
+    return xml.select("doc_id", count("</page>").alias("pages"), count("<image ").alias("images"), count("<line ").alias("lines"), count("<text font=").alias("texts"))
+
+
+@_register(_PARTS + " SELECT doc_id, n AS pages, n AS spans FROM parts WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, n, n FROM parts WHERE doc_id % 4 = 2")
+def file_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and runs of one font in the HTML sink's documents, of pages whose lines run level."""
+    level = _rich(spark, sf_dir).filter(F.col("doc_id").cast("long") % 2 == 0)
+    html = _number(verbs.extract_text_to(level, "html"))
+    return html.select("doc_id", F.regexp_count("html", F.lit("<a name=")).cast("long").alias("pages"), F.regexp_count("html", F.lit("font-family:Courier")).cast("long").alias("spans"))

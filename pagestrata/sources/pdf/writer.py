@@ -200,6 +200,77 @@ def table_document(rows: list[list[str]], cell_width: int = 120, cell_height: in
     return bytes(out + b"trailer\n<< /Size 12 /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % start)
 
 
+def rich_document(key: int, count: int) -> bytes:
+    """A file with everything beside plain text, all of it following from a number and a number of pages.
+
+    Page i (from 0) shows "part KEY page I" as marked content 0 of a structure
+    element P, a gray image of 2 by 2, a form with a line, and a link; the file
+    has an outline (one entry above one for each page), named destinations
+    p0, p1 and so on, an attachment, page labels (i, then A-5, A-6), metadata,
+    and pages turned by 90 degrees as often as the number says.
+    """
+    objects: dict[int, bytes] = {}
+    kids, names, items, elements = [], [], [], []
+
+    def stream(data: bytes, attrs: bytes = b"") -> bytes:
+        more, coded = _stream(data, "flate")
+        return b"<< /Length %d %s %s >>\nstream\n" % (len(coded), attrs, more) + coded + b"\nendstream"
+
+    for i in range(count):
+        n = 30 + 8 * i
+        kids.append(b"%d 0 R" % n)
+        names.append(b"(p%d) [%d 0 R /Fit]" % (i, n))
+        shown = b"part %d page %d" % (key, i)
+        content = b"/P << /MCID 0 >> BDC BT /F1 10 Tf 10 60 Td (" + shown + b") Tj ET EMC q 20 0 0 10 100 40 cm /Im Do Q q 1 0 0 1 5 5 cm /Fm Do Q"
+        objects[n] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Annots [%d 0 R] /Rotate %d /StructParents %d >>" % (n + 1, n + 2, 90 * (key % 4), i)
+        objects[n + 1] = stream(content)
+        objects[n + 2] = b"<< /Type /Annot /Subtype /Link /Rect [10 20 60 40] /T (tip %d) /A << /S /URI /URI (http://example.org/%d/%d) >> >>" % (i, key, i)
+        after = b" /Next %d 0 R" % (n + 11) if i + 1 < count else b""
+        objects[n + 3] = b"<< /Title (Page %d) /Parent 12 0 R /Dest (p%d)%s >>" % (i + 1, i, after)
+        objects[n + 4] = b"<< /Type /StructElem /S /Para /P 15 0 R /Pg %d 0 R /K 0 /Lang (en) /ActualText (text %d) >>" % (n, i)
+        items.append(n + 3)
+        elements.append(b"%d 0 R" % (n + 4))
+    objects |= {
+        1: b"<< /Type /Catalog /Pages 2 0 R /Outlines 11 0 R /Metadata 10 0 R /Names << /Dests << /Names [" + b" ".join(names) + b"] >> /EmbeddedFiles << /Names [(note) 13 0 R] >> >> /StructTreeRoot 16 0 R /PageLabels << /Nums [0 << /S /r >> 1 << /S /D /P (A-) /St 5 >>] >> >>",
+        2: b"<< /Type /Pages /Kids [" + b" ".join(kids) + b"] /Count %d /MediaBox [0 0 200 100] /Resources << /Font << /F1 3 0 R >> /XObject << /Im 7 0 R /Fm 8 0 R >> >> >>" % count,
+        3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>",
+        7: stream(bytes([key % 256, 0, 255, 128]), b"/Type /XObject /Subtype /Image /Width 2 /Height 2 /BitsPerComponent 8 /ColorSpace /DeviceGray"),
+        8: stream(b"0 0 m 30 0 l S", b"/Type /XObject /Subtype /Form /BBox [0 0 30 10]"),
+        9: b"<< /Title (part %d) /Producer (tables) >>" % key,
+        10: stream(b"<x:xmpmeta>%d</x:xmpmeta>" % key, b"/Type /Metadata /Subtype /XML"),
+        11: b"<< /Type /Outlines /First 12 0 R /Last 12 0 R >>",
+        12: b"<< /Title (Part %d) /Parent 11 0 R /First %d 0 R >>" % (key, items[0]),
+        13: b"<< /Type /Filespec /F (%d.txt) /EF << /F 14 0 R >> >>" % key,
+        14: stream(b"attached to %d" % key),
+        15: b"<< /Type /StructElem /S /Document /P 16 0 R /K [" + b" ".join(elements) + b"] >>",
+        16: b"<< /Type /StructTreeRoot /K 15 0 R /RoleMap << /Para /P >> >>",
+    }
+    out, at = bytearray(b"%PDF-1.6\n"), {}
+    for number in sorted(objects):
+        at[number] = len(out)
+        out += b"%d 0 obj\n" % number + objects[number] + b"\nendobj\n"
+    start, size = len(out), max(objects) + 1
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % size
+    for number in range(1, size):
+        out += b"%010d 00000 %s \n" % (at.get(number, 0), b"n" if number in at else b"f")
+    return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R /Info 9 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (size, start))
+
+
+def rich_files(df: DataFrame, key: str, count: Column) -> DataFrame:
+    """doc_id, content: a ``rich_document`` for each row."""
+    slim = df.select(F.col(key).cast("long").alias("key"), count.cast("int").alias("n"))
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, sizes = batch["key"].to_pylist(), batch["n"].to_pylist()
+            made = [rich_document(k, n) for k, n in zip(keys, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in keys]), pa.array(made, pa.binary())], names=["doc_id", "content"])
+
+    return slim.mapInArrow(write, "doc_id string, content binary")
+
+
 def page_files(df: DataFrame, text: str = "text", key: str = "doc_id", kind: Column | None = None) -> DataFrame:
     """doc_id, kind, content: a file of each text that is not null; ``kind`` counts into KINDS (by a hash of the key, if not given)."""
     at = kind if kind is not None else F.pmod(F.xxhash64(F.col(key)), F.lit(len(KINDS)))
