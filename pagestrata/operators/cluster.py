@@ -25,16 +25,16 @@ def cluster_runs(df: DataFrame, by: list[str], value: Column, tolerance: float,
 
 def snap_edges(edges: DataFrame, by: list[str], x_tolerance: float = 3.0, y_tolerance: float = 3.0) -> DataFrame:
     """Move vertical edges to the mean x0 of their cluster and horizontal ones to its mean top; edges without orientation go."""
-    out = None
-    for turn, a, b, tolerance in (("v", "x0", "x1", x_tolerance), ("h", "top", "bottom", y_tolerance)):
-        part = edges.filter(F.col("orientation") == turn)
-        if tolerance:
-            labelled = cluster_1d(part, by, F.col(a), tolerance, "_at")
-            mean = F.avg(a).over(Window.partitionBy(*by, "_at"))
-            shift = F.col("_mean") - F.col(a)
-            part = labelled.withColumn("_mean", mean).withColumn(b, F.col(b) + shift).withColumn(a, F.col(a) + shift).drop("_mean", "_at").select(*edges.columns)
-        out = part if out is None else out.unionByName(part)
-    return out
+    v = F.col("orientation") == "v"
+    tolerance = F.when(v, F.lit(float(x_tolerance))).otherwise(F.lit(float(y_tolerance)))
+    group = [*by, "orientation"]
+    rows = edges.filter(F.col("orientation").isin("v", "h")).withColumn("_p", F.when(v, F.col("x0")).otherwise(F.col("top")))
+    labelled = cluster_1d(rows, group, F.col("_p"), tolerance, "_at")
+    mean = F.avg("_p").over(Window.partitionBy(*group, "_at"))
+    # without a tolerance nothing moves, not even by a rounding
+    moved = labelled.withColumn("_by", F.when(tolerance > 0, mean - F.col("_p")).otherwise(0.0))
+    shift = {c: F.col(c) + F.when(v == (c in ("x0", "x1")), F.col("_by")).otherwise(0.0) for c in ("x0", "x1", "top", "bottom")}
+    return moved.withColumns(shift).select(*edges.columns)
 
 
 def join_edges(edges: DataFrame, by: list[str], x_tolerance: float = 3.0, y_tolerance: float = 3.0) -> DataFrame:

@@ -93,7 +93,10 @@ def table_edges(edges: DataFrame, settings: TableSettings | None = None, words:
     s = settings or TableSettings()
     slim = edges.select(*PAGE, *EDGE)
     out = slim.limit(0)
-    for turn, strategy in (("v", s.vertical_strategy), ("h", s.horizontal_strategy)):
+    sides = [("v", s.vertical_strategy), ("h", s.horizontal_strategy)]
+    if s.vertical_strategy == s.horizontal_strategy and s.vertical_strategy in ("lines", "lines_strict"):  # one pass serves both
+        out, sides = filter_edges(slim, None, "line" if s.vertical_strategy == "lines_strict" else None, s.edge_min_length_prefilter).filter(F.col("orientation").isNotNull()), []
+    for turn, strategy in sides:
         if strategy == "text":
             if words is None:
                 raise ValueError("the text strategy needs words")
