@@ -34,6 +34,8 @@ MOST_TABLES = 96
 #: Edited items of a size that the number of tables is measured on.
 TRIALS = 100
 ITEM_BLOCK = 4000
+#: Blocks whose tables go to the executors together, for one pass over the corpus.
+PASS_BLOCKS = 8
 _U = np.uint64
 # ASCII punctuation.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -380,15 +382,19 @@ def _found(docs: DataFrame, benchmark: DataFrame, rate: float, target: float) ->
     schema = "doc_id long, h long, item_id long, distance int, item_words int, end_word int"
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     out = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in part], rate, target))
+    for start in range(0, blocks, PASS_BLOCKS):
+        indexes = []
+        for b in range(start, min(blocks, start + PASS_BLOCKS)):
+            part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+            indexes.append(build_index([(r["item_id"], r["text"]) for r in part], rate, target))
+        shared = spark.sparkContext.broadcast(indexes)
 
         def scan(batches, shared=shared):
             import pyarrow as pa
 
             for batch in slices_of(batches):
-                hits = search(shared.value, batch["text"].to_pylist())
+                texts = batch["text"].to_pylist()
+                hits = [h for index in shared.value for h in search(index, texts)]
                 rows = pa.array([x[0] for x in hits], pa.int64())
                 cols = [pa.array([x[i] for x in hits], k) for i, k in ((1, pa.int64()), (2, pa.int32()), (4, pa.int32()), (3, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(rows), batch["h"].take(rows), *cols], names=["doc_id", "h", "item_id", "distance", "item_words", "end_word"])
@@ -402,8 +408,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, targ
     """doc_id, item_id, distance, item_words, end_word: each item that a document holds within its edits, at its best stretch.
 
     Of stretches of one distance that of the first end is given. Items are
-    taken in blocks of ITEM_BLOCK, one pass each, so what goes to the executors
-    is bounded. Items and texts that are null or without words match nothing;
+    taken in blocks of ITEM_BLOCK, PASS_BLOCKS of them in a pass, so what goes
+    to the executors is bounded. Items and texts that are null or without words match nothing;
     repeated rows give repeated results, a null doc_id stays null; an empty
     benchmark or corpus gives no rows. A text is read whole by one task, at some
     100 bytes a word. Columns other than the ids and texts are not read,
