@@ -32,6 +32,14 @@ def parse_page_spec(spec: str) -> list[int]:
     return out
 
 
+def normalize_numbers(numbers: Iterable[int], base: int = 1) -> list[int]:
+    """Page numbers that count from ``base`` (0 or 1) as numbers from 1, sorted, each once; raises below the base."""
+    wanted = sorted(set(numbers))
+    if base not in (0, 1) or any(n < base for n in wanted):
+        raise ValueError(f"page numbers begin at {base}")
+    return [n + 1 - base for n in wanted]
+
+
 def with_doctop(pages: DataFrame) -> DataFrame:
     """Add initial_doctop, the summed heights of the pages before among those given."""
     before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,20 @@ def split(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
     return df.filter(condition), df.filter(~F.coalesce(condition, F.lit(False)))
 
 
+def filter_objects(df: DataFrame, test: Column | Callable[[dict], bool]) -> DataFrame:
+    """Rows that pass: a column stays in the JVM; a function of a row (as a dict) goes to Python in Arrow batches."""
+    if isinstance(test, Column):
+        return df.filter(test)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([bool(test(r)) for r in batch.to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def pick_least(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row of each group, the least by ``order``, by partial aggregation (no sort of whole groups)."""
     names = [c for c in df.columns if c not in by]

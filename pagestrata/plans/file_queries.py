@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bidi
 from ..functions import text as T
 from ..operators import geometry, layout, pages, search, sets, tables, words
 from ..sources import sinks
 from ..sources.pdf import reader, writer
 from . import queries as base
 from . import verbs
-from .queries import _BOXES_SQL, _COLUMNS, _TEXT_LINES, _boxes, _chars, _chars_sql, _lines_sql, _read, _register, _words_sql
+from .queries import _BOXES_SQL, _COLUMNS, _GRID, _TEXT_LINES, _boxes, _chars, _chars_sql, _lines_sql, _read, _register, _ruled, _words_sql
 
 _PAGES = """WITH p AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, GREATEST(1, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))) * 6.0::DOUBLE AS width FROM documents WHERE text IS NOT NULL),
   pages AS (SELECT doc_id, CAST(unnest(range(CAST(ceil(n / 64.0) AS BIGINT))) + 1 AS INTEGER) AS page_no, width FROM p)"""
@@ -444,3 +445,68 @@ def file_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = _rich(spark, sf_dir).filter(F.col("doc_id").cast("long") % 2 == 0)
     html = _number(verbs.extract_text_to(level, "html"))
     return html.select("doc_id", F.regexp_count("html", F.lit("<a name=")).cast("long").alias("pages"), F.regexp_count("html", F.lit("font-family:Courier")).cast("long").alias("spans"))
+
+
+# Right-to-left text: names in Hebrew letters, one for each Latin one
+
+_LATIN, _HEBREW = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x5D0 + i) for i in range(26))
+_HEBREW_SQL = f"WITH names AS (SELECT p_partkey, translate(trim(regexp_replace(lower(p_name), '[^a-z ]+', ' ', 'g')), '{_LATIN}', '{_HEBREW}') AS t FROM part WHERE p_name IS NOT NULL)"
+
+
+def _hebrew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.trim(F.regexp_replace(F.lower("p_name"), "[^a-z ]+", " "))
+    return _read(spark, sf_dir, "part").filter("p_name is not null").select("p_partkey", F.translate(plain, _LATIN, _HEBREW).alias("t"))
+
+
+@_register(_HEBREW_SQL + " SELECT p_partkey, t AS logical, reverse(t) AS visual, t <> '' AS rtl FROM names")
+def rtl_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands from right to left comes back in order, and goes there again."""
+    names = _hebrew(spark, sf_dir)
+    return names.select("p_partkey", bidi.reconstructed(F.reverse("t")).alias("logical"), bidi.reordered(F.col("t")).alias("visual"), bidi.contains_rtl(F.col("t")).alias("rtl"))
+
+
+@_register(_HEBREW_SQL + """ SELECT p_partkey, list_transform(range(2 + len(string_split(t, ' '))), lambda i: CAST(1 + len(string_split(t, ' ')) - i AS INTEGER))::VARCHAR AS places FROM names WHERE t <> ''""")
+def rtl_word_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two left-to-right words before the name's: runs come from the right, the left-to-right run keeps its order, the other is turned."""
+    names = _hebrew(spark, sf_dir).filter("t <> ''")
+    words_ = F.concat(F.split("t", " "), F.array(F.lit("12"), F.lit("34")))
+    turned = bidi.word_order(words_)
+    n = F.size(F.split("t", " "))
+    # neutral words keep their order: put that run last to first, so that the whole is one count down
+    shown = F.concat(F.reverse(F.slice(turned, 1, 2)), F.slice(turned, F.lit(3), n))
+    return names.select("p_partkey", F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]")).alias("places"))
+
+
+@_register("SELECT p_partkey, p_name AS name, CAST(length(p_name) AS INTEGER) AS n FROM part WHERE p_name IS NOT NULL")
+def font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.encode(F.concat(F.lit("ABCDEF+"), F.col("p_name")), "UTF-8")
+    return _read(spark, sf_dir, "part").filter("p_name is not null").select("p_partkey", T.fixed_fontname(raw).alias("name"), F.length(T.compatible_text(F.encode(F.col("p_name"), "UTF-8"))).alias("n"))
+
+
+@_register("SELECT o_orderkey, CAST(floor(o_totalprice / 1000) AS BIGINT) % 7 AS x, CAST(floor(o_totalprice / 1000) AS BIGINT) % 7 + 1 AS place, true AS near FROM orders")
+def sorted_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.floor(F.col("o_totalprice") / 1000) % 7
+    values = F.array(*[F.lit(i).cast("long") for i in range(7)])
+    return _read(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"), T.upper_bound(values, x).cast("long").alias("place"), T.nearly(x + 1e-12, x.cast("double")).alias("near"))
+
+
+@_register(_BOXES_SQL + " SELECT id FROM boxes WHERE x1 - x0 > bottom - top")
+def filter_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python predicate on rows."""
+    return sets.filter_objects(_boxes(spark, sf_dir), lambda r: r["x1"] - r["x0"] > r["bottom"] - r["top"]).select("id")
+
+
+@_register(_BOXES_SQL + """, t AS (SELECT DISTINCT page_no FROM boxes) SELECT id, page_no, 2.0::DOUBLE * page_no AS wide FROM boxes""")
+def page_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with the one box given for it."""
+    b = _boxes(spark, sf_dir).withColumn("doc_id", F.lit(1))
+    frames = b.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), (F.col("page_no") * 2.0).alias("x1"), F.lit(9.0).alias("bottom"))
+    return geometry.with_geometries(b.select("doc_id", "page_no", "id"), frames).select("id", "page_no", F.col("geometry")["x1"].alias("wide"))
+
+
+@_register(_GRID + f" SELECT doc_id, CAST(n * {len(_COLUMNS)} AS BIGINT) AS cells FROM n WHERE n > 2")
+def tables_in_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that reach more than two rows down, by a crop that begins there."""
+    edges, _ = _ruled(spark, sf_dir)
+    kept = tables.retain_tables(tables.find_tables(edges), (0.0, 32.0, 1000.0, 100000.0))
+    return kept.groupBy("doc_id").agg(F.count("*").alias("cells"))
