@@ -34,10 +34,13 @@ def _number(df: DataFrame) -> DataFrame:
 # Files
 
 
-@_register(_chars_sql() + """ SELECT doc_id, page_no, text, x0, x0 + 6 AS x1, top, top + 10 AS bottom, top + (page_no - 1) * 768.0::DOUBLE AS doctop, 758 - top AS y0, 10.0::DOUBLE AS size FROM chars""")
+@_register(_chars_sql() + """ SELECT doc_id, page_no, COUNT(*) AS n, md5(string_agg(text, '' ORDER BY line, x0)) AS text, SUM(x0) AS x0, SUM(x0 + 6) AS x1, SUM(top) AS top, SUM(top + 10) AS bottom,
+  SUM(top + (page_no - 1) * 768.0::DOUBLE) AS doctop, SUM(758 - top) AS y0, SUM(10.0::DOUBLE) AS size FROM chars GROUP BY ALL""")
 def file_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of files of all kinds, with both coordinate systems."""
-    return _number(reader.chars(_files(spark, sf_dir), strict=True)).select("doc_id", "page_no", "text", "x0", "x1", "top", "bottom", "doctop", "y0", "size")
+    """Characters of files of all kinds, in content order, and the sums of their places in both coordinate systems (exact in doubles)."""
+    got = _number(reader.chars(_files(spark, sf_dir), strict=True))
+    text = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda c: c["text"]), ""))
+    return got.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), text.alias("text"), *[F.sum(c).alias(c) for c in ("x0", "x1", "top", "bottom", "doctop", "y0", "size")])
 
 
 @_register(_PAGES + " SELECT doc_id, page_no, width, 768.0::DOUBLE AS height, 0 AS rotate, (page_no - 1) * 768.0::DOUBLE AS initial_doctop FROM pages")

@@ -364,9 +364,12 @@ class Page:
                 lex.at = end.end() if end else len(data)
             stack = []
 
-    def _box(self, m: Matrix, x0: float, y0: float, x1: float, y1: float) -> dict[str, float]:
-        p = [at(m, a, b) for a in (x0, x1) for b in (y0, y1)]
-        return {"x0": min(v[0] for v in p), "y0": min(v[1] for v in p), "x1": max(v[0] for v in p), "y1": max(v[1] for v in p)}
+    @staticmethod
+    def _box(m: Matrix, x0: float, y0: float, x1: float, y1: float) -> dict[str, float]:
+        """The box around a mapped one: each coordinate is a sum of two parts, which are least and greatest by themselves."""
+        p, q, r, s = m[0] * x0, m[0] * x1, m[2] * y0, m[2] * y1
+        t, u, v, w = m[1] * x0, m[1] * x1, m[3] * y0, m[3] * y1
+        return {"x0": min(p, q) + min(r, s) + m[4], "y0": min(t, u) + min(v, w) + m[5], "x1": max(p, q) + max(r, s) + m[4], "y1": max(t, u) + max(v, w) + m[5]}
 
     def _figure(self, name: str, m: Matrix, box: list[float] | None) -> None:
         if box:
@@ -398,30 +401,34 @@ class Page:
             return tm
         tag, mcid = self._mark(marks)
         down = font is not None and font.vertical
+        ctm, stretch = s["ctm"], s["th"]
+        # only the place moves from one character to the next
+        turn = times(tm[:4] + (0.0, 0.0), ctm[:4] + (0.0, 0.0))[:4]  # type: ignore[operator]
+        upright = turn[0] * turn[3] * stretch > 0 and turn[1] * turn[2] <= 0
+        x, y = tm[4], tm[5]
+        color = list(s["fill"])
         for item in items:
             if isinstance(item, (int, float)) and not isinstance(item, bool):
                 by = -item / 1000 * size
-                tm = times((1, 0, 0, 1, 0 if down else by * s["th"], by if down else 0), tm)
+                x, y = (x + by * tm[2], y + by * tm[3]) if down else (x + by * stretch * tm[0], y + by * stretch * tm[1])
             elif isinstance(item, bytes) and font is not None:
                 for cid, text, spaced in font.glyphs(item):
-                    advance = font.width(cid) * size * s["th"]
-                    m = times(tm, s["ctm"])
+                    advance = font.width(cid) * size * stretch
+                    m = (*turn, x * ctm[0] + y * ctm[2] + ctm[4], x * ctm[1] + y * ctm[3] + ctm[5])
                     if down:
-                        x, y = font.places.get(cid, font.place)
-                        left, high = -(0.5 * size if x is None else x * size), (1 - y) * size + s["rise"]
-                        corners = ((left, high + advance), (left + size, high))
+                        dx, dy = font.places.get(cid, font.place)
+                        left, high = -(0.5 * size if dx is None else dx * size), (1 - dy) * size + s["rise"]
+                        box = self._box(m, left, high + advance, left + size, high)
+                        extent = box["x1"] - box["x0"]
                     else:
                         low = font.descent * size + s["rise"]
-                        corners = ((0.0, low), (advance, low + size))
-                    (a0, b0), (a1, b1) = corners
-                    box = self._box(m, a0, b0, a1, b1)
-                    upright = m[0] * m[3] * s["th"] > 0 and m[1] * m[2] <= 0
-                    tall = box["x1"] - box["x0"] if down else box["y1"] - box["y0"]
-                    self.chars.append({"seq": self.seq, "text": text, **box, "size": tall if upright else box["x1"] - box["x0"], "upright": upright, "adv": advance, "fontname": font.name, "mcid": mcid, "tag": tag, "matrix": list(m), "color": list(s["fill"])})
+                        box = self._box(m, 0.0, low, advance, low + size)
+                        extent = box["y1"] - box["y0"] if upright else box["x1"] - box["x0"]
+                    self.chars.append({"seq": self.seq, "text": text, **box, "size": extent, "upright": upright, "adv": advance, "fontname": font.name, "mcid": mcid, "tag": tag, "matrix": list(m), "color": color})
                     self.seq += 1
-                    more = advance + (s["tc"] + (s["tw"] if spaced else 0.0)) * (1 if down else s["th"])
-                    tm = times((1, 0, 0, 1, 0 if down else more, more if down else 0), tm)
-        return tm
+                    more = advance + (s["tc"] + (s["tw"] if spaced else 0.0)) * (1 if down else stretch)
+                    x, y = (x + more * tm[2], y + more * tm[3]) if down else (x + more * tm[0], y + more * tm[1])
+        return (*tm[:4], x, y)
 
     def _paint(self, path: list, s: dict[str, Any], stroke: bool, fill: bool, evenodd: bool, marks: list) -> None:
         """A shape for each subpath: a line, a rectangle along the axes, or a curve."""
