@@ -9,7 +9,6 @@ from collections.abc import Callable
 from contextlib import contextmanager, suppress
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,60 +150,35 @@ def slices_of(batches, rows: int = 1000, size: int = 2_000_000):
             yield batch.slice(at, step)
 
 
-#: The most bits of a Bloom filter (16 MB), and the bits for each id.
-BLOOM_BITS, BLOOM_ID_BITS = 27, 16
+#: The most bits of a filter of ids (16 MB), the bits for each id, and those of one row of it.
+FILTER_BITS, ID_BITS, ROW_BITS = 1 << 27, 16, 1 << 15
 
 
-def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-    return np.stack([x >> np.uint64(64 - bits), (x >> np.uint64(6)) & np.uint64((1 << bits) - 1)]).astype(np.int64)
+def split_by(df: DataFrame, key: str, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose long ``key`` may be in ``ids``, rows whose key is surely not), for keeping the latter out of a shuffle before a join.
 
-
-def _bloom_mark(bits: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-
-def maybe_among(ids: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test for long ids being in ``ids``, by a Bloom filter: never wrong about those that are.
-
-    For keeping rows that cannot match out of a shuffle before a join. The
-    filter has BLOOM_ID_BITS bits for each id, BLOOM_BITS in all at most; where
-    these would be too few to tell rows apart, the test lets all through.
+    By a bitmap of hashed ids with ID_BITS bits for each, FILTER_BITS in all,
+    which is broadcast; where these would be too few to tell rows apart, all
+    rows may be in. The keys are hashes already. Rows with a null key are not
+    in. No Python takes part.
     """
-    spark = ids.sparkSession
-    few = ids.select(column).filter(F.col(column).isNotNull())
+    few = ids.select(F.col(column).alias("_id")).filter("_id is not null")
     count = few.count()
-    bits = max(10, int(count * BLOOM_ID_BITS).bit_length())
-    if bits > BLOOM_BITS + 2:
-        return lambda c: F.lit(True)  # noqa: ARG005
-    bits = min(bits, BLOOM_BITS)
-    size = 1 << (bits - 3)
-    step = min(size, 1 << 18)
-
-    def mark(batches):
-        import pyarrow as pa
-
-        own = np.zeros(size, dtype=np.uint8)
-        for batch in batches:
-            _bloom_mark(own, _bloom_places(batch[column].to_numpy(), bits))
-        some = [i for i in range(0, size, step) if own[i : i + step].any()]
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([own[i : i + step].tobytes() for i in some], pa.binary())], names=["at", "bits"])
-
-    whole = np.zeros(size, dtype=np.uint8)
-    for row in few.coalesce(16).mapInArrow(lean(mark), "at long, bits binary").toLocalIterator():
-        whole[row["at"] : row["at"] + step] |= np.frombuffer(row["bits"], dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(whole)
-
-    @F.pandas_udf("boolean")
-    def test(v: pd.Series) -> pd.Series:
-        at = _bloom_places(v.fillna(0).to_numpy(dtype=np.int64), bits)
-        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1).all(axis=0))
-
-    return test
+    if count * ID_BITS > 4 * FILTER_BITS:
+        return df.filter(F.col(key).isNotNull()), df.filter(F.col(key).isNull())
+    rows = max(1, min(FILTER_BITS, 1 << int(count * ID_BITS).bit_length()) // ROW_BITS)
+    place = lambda c: F.pmod(c, F.lit(rows * ROW_BITS))
+    row = lambda c: F.floor(place(c) / ROW_BITS).cast("int")
+    bits = few.groupBy(row(F.col("_id")).alias("_bits_row")).agg(F.bitmap_construct_agg(F.pmod(F.col("_id"), F.lit(ROW_BITS))).alias("_bits"))
+    # as a table, so that both halves read the same one
+    bits = materialize(bits, "filter")
+    marked = df.join(F.broadcast(bits), row(F.col(key)) == F.col("_bits_row"), "left")
+    at = F.pmod(F.col(key), F.lit(ROW_BITS))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    one = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
+    maybe = F.coalesce(one, F.lit(False))
+    drop = ("_bits_row", "_bits")
+    return marked.filter(maybe).drop(*drop), marked.filter(~maybe).drop(*drop)
 
 
 def crc32_of(column: Column) -> Column:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, maybe_among, slices_of
+from .common import lean, materialize, slices_of, split_by
 
 RATE = 0.2
 TARGET = 0.99
@@ -427,6 +427,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     gone = materialize(_found(docs, benchmark, RATE, TARGET).select("doc_id", "h").distinct(), "gone")
     packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     # most texts are not among them and need no shuffle
-    maybe = maybe_among(gone, "h")("_h")
-    some = packed.filter(maybe).join(gone, F.col("_id").eqNullSafe(gone["doc_id"]) & (F.col("_h") == gone["h"]), "left_anti")
-    return packed.filter(~maybe).select("_row").unionByName(some.select("_row")).select("_row.*")
+    some, rest = split_by(packed, "_h", gone, "h")
+    some = some.join(gone, F.col("_id").eqNullSafe(gone["doc_id"]) & (F.col("_h") == gone["h"]), "left_anti")
+    return rest.select("_row").unionByName(some.select("_row")).select("_row.*")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, lean, materialize, maybe_among, slices_of
+from .common import forget, lean, materialize, slices_of, split_by
 from .components import components
 from .prefix_tree import link_roots
 from .shingles import mix, shingle_sets
@@ -255,8 +255,7 @@ def _verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.binary())], names=["node", "family", "blocks", "block", "tokens"])
 
     # of rows equal in id and text all come; the join below takes one
-    slim = _slim(docs)
-    slim = slim.filter(maybe_among(wanted, "h")("h"))
+    slim, _ = split_by(_slim(docs), "h", wanted, "h")
     whole = slim.join(wanted, ["doc_id", "h"]).select("text", "node", "family", "blocks", "block").mapInArrow(lean(sets), "node long, family long, blocks int, block int, tokens binary")
     dealt = _pairs_of_blocks(whole, "blocks", "block").repartition("family", "half1", "half2").sortWithinPartitions("family", "half1", "half2", "node")
 
@@ -371,9 +370,9 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     on = lambda t: (F.col("_id") == t["doc_id"]) & (F.col("_h") == t["h"])
     # most texts are not among the decided ones and need no shuffle
-    maybe = maybe_among(decided, "h")("_h")
-    some, few = packed.filter(maybe), decided.select("doc_id", "h")
-    kept = packed.filter(~maybe).select("_row").unionByName(some.join(few, on(few), "left_anti").select("_row"))
+    some, rest = split_by(packed, "_h", decided, "h")
+    few = decided.select("doc_id", "h")
+    kept = rest.select("_row").unionByName(some.join(few, on(few), "left_anti").select("_row"))
     again = decided.filter("not _lost")
     if again.take(1):
         one = some.join(again, on(again), "left_semi").groupBy("_id", "_h").agg(F.first("_row").alias("_row"))
