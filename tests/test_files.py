@@ -383,3 +383,26 @@ def test_geometries_of_pages(spark):
     marks = sinks.overlay(boxes, "box", scale=2.0)
     svg = sinks.overlay_svg(marks, pages.withColumn("width", F.lit(10.0)).withColumn("height", F.lit(10.0)), 2.0).orderBy("page_no").first()["svg"]
     assert '<rect x="0.00" y="0.00" width="10.00" height="10.00"' in svg
+
+
+RICH = ["file_outline", "file_destinations", "file_links", "file_metadata", "file_structure", "file_html", "file_element_texts", "file_figures", "file_images", "file_image_exports", "file_labels"]
+
+
+@pytest.mark.parametrize("name", RICH)
+def test_files_of_a_small_table_are_work_for_all_tasks(spark, tmp_path, name):
+    from pagestrata.plans import file_queries, queries  # noqa: F401 - registers its queries
+
+    spark.range(1, 41).selectExpr("id AS p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and got.count() > 0
+
+
+def test_cross_references_of_any_spacing():
+    data = writer.rich_document(5, 2)
+    loose = data.replace(b" 00000 n \n", b" 00000 n\r\n")
+    odd = data.replace(b" 00000 n \n", b"  0    n \n")
+    assert len(data) == len(loose) == len(odd)
+    for x in (data, loose, odd):
+        file = File(x)
+        assert not file.recovered and file.places[1][1] == data.index(b"1 0 obj") and len(file.page_objects()) == 2
