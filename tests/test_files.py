@@ -406,3 +406,10 @@ def test_cross_references_of_any_spacing():
     for x in (data, loose, odd):
         file = File(x)
         assert not file.recovered and file.places[1][1] == data.index(b"1 0 obj") and len(file.page_objects()) == 2
+
+
+def test_marks_of_elements_count_for_all_above_in_one_pass(spark):
+    rows = [("a", 0, None, []), ("a", 1, 0, [(1, 0)]), ("a", 2, 1, [(1, 1), (2, 0)]), ("b", 0, None, [(1, 0)])]
+    elements = spark.createDataFrame(rows, "doc_id string, id int, parent int, mcids array<struct<page_no:int,mcid:int>>")
+    got = sorted(map(tuple, reader._marks_above(elements).collect()))
+    assert got == sorted([("a", 1, 1, 0), ("a", 0, 1, 0), *[(d, i, p, m) for d, i in (("a", 2), ("a", 1), ("a", 0)) for p, m in ((1, 1), (2, 0))], ("b", 0, 1, 0)])
