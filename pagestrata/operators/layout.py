@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import page_arrays
 from .words import PAGE
 
 LINE = "page_no int, line int, text string, x0 double, y0 double, x1 double, y1 double, vertical boolean, box int, box_index int"
@@ -33,8 +34,11 @@ class LayoutSettings:
             raise ValueError("boxes_flow is from -1 to 1, or None")
 
 
-def bottom_left(chars: DataFrame, page_height: float | str) -> DataFrame:
+def bottom_left(chars: DataFrame | page_arrays.PageChars, page_height: float | str) -> DataFrame | page_arrays.PageChars:
     """Add y0 and y1 to top-left objects."""
+    if isinstance(chars, page_arrays.PageChars):
+        high = float(page_height)
+        return chars.moved(lambda c: {**c, "y0": high - c["bottom"], "y1": high - c["top"]})
     h = F.lit(float(page_height)) if not isinstance(page_height, str) else F.col(page_height)
     return chars.withColumn("y0", h - F.col("bottom")).withColumn("y1", h - F.col("top"))
 
@@ -83,7 +87,7 @@ def _with_lines(chars: DataFrame, s: LayoutSettings) -> DataFrame:
     return chars.join(found, [*PAGE, "seq"])
 
 
-def layout_lines(chars: DataFrame, settings: LayoutSettings | None = None) -> DataFrame:
+def layout_lines(chars: DataFrame | page_arrays.PageChars, settings: LayoutSettings | None = None) -> DataFrame:
     """Lines of characters that stand beside the one before in content order, with spaces where they are apart.
 
     doc_id, page_no, line (from 0 in content order), text (ends with a line
@@ -91,6 +95,8 @@ def layout_lines(chars: DataFrame, settings: LayoutSettings | None = None) -> Da
     two characters stand one below the other, and not side by side, runs down.
     """
     s = settings or LayoutSettings()
+    if isinstance(chars, page_arrays.PageChars):
+        return page_arrays.layout_lines(chars, s)
     rows = _with_lines(chars, s)
     own = Window.partitionBy(*PAGE, "_line").orderBy("seq")
     margin = s.word_margin * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
@@ -148,6 +154,8 @@ def reading_order(boxes: list[tuple[float, float, float, float, bool]], flow: fl
     """The rank of each box. With a flow, the pair that wastes least area is joined again and again (one with a third
     box between is put back once), and the tree is read in order; without, vertical boxes come first, then by place."""
     n = len(boxes)
+    if not n:  # a page of blank lines only
+        return []
     if flow is None:
         key = lambda i: (0, -boxes[i][2], -boxes[i][1], i) if boxes[i][4] else (1, -boxes[i][1], boxes[i][0], i)
         rank = [0] * n
@@ -248,3 +256,8 @@ def page_text(boxed: DataFrame) -> DataFrame:
     place = F.struct((-F.col("y1")).alias("y"), "line", "text")
     texts = kept.groupBy(*PAGE, "box_index").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda c: c["text"]), ""), F.lit("\n")).alias("_t"))
     return texts.groupBy(*PAGE).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_index", "_t"))), lambda c: c["_t"]), ""), F.lit("\f")).alias("text"))
+
+
+def reading_text(chars: page_arrays.PageChars, settings: LayoutSettings | None = None) -> DataFrame:
+    """``page_text(layout_boxes(layout_lines(chars)))`` in one pass."""
+    return page_arrays.reading_text(chars, settings or LayoutSettings())

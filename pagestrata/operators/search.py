@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import expand_ligature
+from . import page_arrays
 from .words import PAGE, TextSettings, word_chars, word_lines
 
 _MATCH = "array<struct<start:int,stop:int,text:string,groups:array<string>>>"
@@ -47,7 +48,7 @@ def text_map(chars: DataFrame, settings: TextSettings | None = None) -> tuple[Da
     return _texts(words), _positions(words)
 
 
-def search(chars: DataFrame, pattern: str | re.Pattern[str], regex: bool = True, case: bool = True, main_group: int = 0, settings: TextSettings | None = None) -> DataFrame:
+def search(chars: DataFrame | page_arrays.PageChars, pattern: str | re.Pattern[str], regex: bool = True, case: bool = True, main_group: int = 0, settings: TextSettings | None = None) -> DataFrame:
     """doc_id, page_no, match (from 0), start, stop, text, groups, x0, top, x1, bottom, chars (seq of each) of matches in page texts.
 
     Patterns are Python's. Matches of nothing but white space are left out. A
@@ -60,6 +61,8 @@ def search(chars: DataFrame, pattern: str | re.Pattern[str], regex: bool = True,
     else:
         source, flags = (pattern if regex else re.escape(pattern)), (0 if case else re.IGNORECASE)
     re.compile(source, flags)
+    if isinstance(chars, page_arrays.PageChars):
+        return page_arrays.search(chars, source, flags, main_group, settings or TextSettings())
 
     @F.pandas_udf(_MATCH)
     def found(texts: pd.Series) -> pd.Series:
