@@ -223,6 +223,39 @@ def reading_order(boxes: list[tuple[float, float, float, float, bool]], flow: fl
     return rank
 
 
+def page_lines(chars: list[dict], s: LayoutSettings) -> list[list[dict]]:
+    """The characters of each of ``layout_lines``' level lines, of one page's characters in content order."""
+    out: list[list[dict]] = []
+    last = None
+    for c in chars:
+        beside = False
+        if last is not None:
+            common = min(c["y1"], last["y1"]) - max(c["y0"], last["y0"])
+            if common >= 0 and min(c["y1"] - c["y0"], last["y1"] - last["y0"]) * s.line_overlap < common:
+                apart = max(0.0, max(c["x0"], last["x0"]) - min(c["x1"], last["x1"]))
+                beside = apart < max(c["x1"] - c["x0"], last["x1"] - last["x0"]) * s.char_margin
+        if beside:
+            out[-1].append(c)
+        else:
+            out.append([c])
+        last = c
+    return out
+
+
+def page_boxes(lines: list[list[dict]], s: LayoutSettings) -> list[list[int]]:
+    """The places of the level lines of each box, boxes in reading order, as ``layout_boxes`` has them."""
+    full = [k for k, line in enumerate(lines) if "".join(c["text"] for c in line).strip()]
+    around = lambda m: (min(b[0] for b in m), min(b[1] for b in m), max(b[2] for b in m), max(b[3] for b in m), False)
+    where = {k: around([(c["x0"], c["y0"], c["x1"], c["y1"]) for c in lines[k]]) for k in full}
+    members: dict[int, list[int]] = {}
+    for g, k in zip(neighbour_groups([where[k] for k in full], s.line_margin), full, strict=True):
+        members.setdefault(g, []).append(k)
+    if len(members) < 2:
+        return list(members.values())
+    rank = reading_order([around([where[k] for k in m]) for m in members.values()], s.boxes_flow)
+    return [m for _, m in sorted(zip(rank, members.values(), strict=True))]
+
+
 def layout_boxes(lines: DataFrame, settings: LayoutSettings | None = None) -> DataFrame:
     """Lines with ``box`` and ``box_index`` (reading order); lines without text have neither. One page at a time."""
     s = settings or LayoutSettings()

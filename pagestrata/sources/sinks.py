@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
+from itertools import groupby
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import box_text, escape_csv, escape_html
 
+if TYPE_CHECKING:
+    from ..operators.layout import LayoutSettings
+
 PAGE = ["doc_id", "page_no"]
 
 
@@ -152,10 +160,14 @@ def document_xml(chars: DataFrame, lines: DataFrame, pages: DataFrame, shapes: D
     return frame.join(bodies, PAGE, "left").groupBy("doc_id").agg(F.concat(F.lit('<?xml version="1.0" encoding="utf-8" ?>\n<pages>\n'), _ordered(["page_no"], page, "\n"), F.lit("\n</pages>\n")).alias("xml"))
 
 
-def document_html(chars: DataFrame, lines: DataFrame, pages: DataFrame, mode: str = "normal", scale: float = 1.0, fontscale: float = 1.0, gap: float = 50.0) -> DataFrame:
-    """doc_id, html: absolutely placed pages. Modes: exact (each character), normal (boxes of lines with their fonts), loose (boxes as flowing text)."""
+def check_mode(mode: str) -> None:
     if mode not in ("exact", "normal", "loose"):
         raise ValueError(f"no such mode: {mode}")
+
+
+def document_html(chars: DataFrame, lines: DataFrame, pages: DataFrame, mode: str = "normal", scale: float = 1.0, fontscale: float = 1.0, gap: float = 50.0) -> DataFrame:
+    """doc_id, html: absolutely placed pages. Modes: exact (each character), normal (boxes of lines with their fonts), loose (boxes as flowing text)."""
+    check_mode(mode)
     before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     tops = pages.withColumn("_start", F.coalesce(F.sum((F.col("height") + gap) * scale).over(before), F.lit(0.0)) + gap * scale)
     px = lambda c: F.format_string("%.0fpx", c)
@@ -185,6 +197,58 @@ def document_html(chars: DataFrame, lines: DataFrame, pages: DataFrame, mode: st
     return whole.select("doc_id", F.concat(F.lit('<html><head>\n<meta http-equiv="Content-Type" content="text/html; charset=utf-8">\n</head><body>\n'), "_p", F.lit("</body></html>\n")).alias("html"))
 
 
+@lru_cache(maxsize=65_536)
+def _px(x: float) -> str:
+    """Pixels as format_string rounds them: halves away from zero."""
+    return f"{Decimal(repr(x)).quantize(Decimal(1), ROUND_HALF_UP)}px"
+
+
+_CONTROLS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_SUBSET = re.compile("^[A-Z]{6}[+]")
+
+
+def _escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace(">", "&gt;").replace("<", "&lt;").replace('"', "&quot;")
+
+
+def html_of_pages(pages: Iterable[tuple[int, float, float, list[dict]]], settings: LayoutSettings, mode: str = "normal", scale: float = 1.0, fontscale: float = 1.0, gap: float = 50.0) -> str | None:
+    """The html of ``document_html`` for one document: number, width, height and characters of each page in order; None without pages."""
+    from ..operators.layout import page_boxes, page_lines
+
+    clean = lambda t: _escaped(_CONTROLS.sub("", t))
+    parts, before = [], None
+    for number, width, height, chars in pages:
+        start = (0.0 if before is None else before) + gap * scale
+        before = (0.0 if before is None else before) + (height + gap) * scale
+
+        def place(x0: float, y1: float, start: float = start, height: float = height) -> str:
+            return f"position:absolute; left:{_px(x0 * scale)}; top:{_px(start + (height - y1) * scale)};"
+
+        def font(c: dict) -> str:
+            return f"font-family:{_escaped(_SUBSET.sub('', c['fontname'] or ''))}; font-size:{_px(c['size'] * scale * fontscale)}"
+
+        if mode == "exact":
+            body = [f'<span style="{place(c["x0"], c["y1"])} {font(c)}">{clean(c["text"])}</span>' for c in chars]
+        else:
+            lines, body, by = page_lines(chars, settings), [], "<br>" if mode == "normal" else " "
+            for box in page_boxes(lines, settings):
+                text = ""
+                for k in box:
+                    for _, run in groupby(lines[k], key=lambda c: (c["fontname"], c["size"])):
+                        held = list(run)
+                        text += f'<span style="{font(held[0])}">{clean("".join(c["text"] for c in held))}</span>'
+                    text += by
+                every = [c for k in box for c in lines[k]]
+                x0, x1 = min(c["x0"] for c in every), max(c["x1"] for c in every)
+                body.append(f'<div style="{place(x0, max(c["y1"] for c in every))} width:{_px((x1 - x0) * scale)};">{text}</div>')
+        frame = f'<span style="position:absolute; border: gray 1px solid; left:0px; top:{_px(start)}; width:{_px(width * scale)}; height:{_px(height * scale)};"></span>\n'
+        head = f'<div style="position:absolute; top:{_px(start)};"><a name="{number}">Page {number}</a></div>\n'
+        parts.append(frame + head + "\n".join(body) + "\n")
+    if not parts:
+        return None
+    return '<html><head>\n<meta http-equiv="Content-Type" content="text/html; charset=utf-8">\n</head><body>\n' + "".join(parts) + "</body></html>\n"
+
+
 def document_hocr(words: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, html: pages, blocks (lines of layout_boxes) and words with their boxes, as OCR programs give them."""
     spot = lambda a, b, c, d: F.format_string("bbox %d %d %d %d", *[F.round(x).cast("int") for x in (a, b, c, d)])

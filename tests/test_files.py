@@ -430,3 +430,18 @@ def test_figures_and_their_lines_come_of_one_parse(spark, tmp_path):
     got = queries.QUERIES["file_figures"](spark, str(tmp_path))
     assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # one writes, one reads
     assert got.filter("lines = 1").count() == sum(k % 3 + 1 for k in range(1, 9))
+
+
+def test_html_of_one_parse_is_that_of_rows(spark):
+    """Each file is parsed once; the same documents come as by rows of characters."""
+    rows = [("r", writer.rich_document(3, 2)), ("s", writer.rich_document(8, 3)), ("t", writer.document("a  b & <c>\n\n\n  \nfar\n" + "x y\n" * 70)), ("bad", b"%PDF-")]
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "doc_id string, content binary")
+    frames, found = reader.pages(files), reader.chars(files)
+    lines, placed = layout.layout_boxes(layout.layout_lines(found)), layout.line_chars(found)
+    for options in ({}, {"mode": "loose", "scale": 1.25}, {"mode": "exact", "fontscale": 0.75, "gap": 7.5}):
+        got = verbs.extract_text_to(files, "html", **options)
+        assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        wanted = sinks.document_html(placed, lines, frames, **options)
+        assert dict(map(tuple, got.collect())) == dict(map(tuple, wanted.collect()))
+    with pytest.raises(ValueError, match="mode"):
+        verbs.extract_text_to(files, "html", mode="other")
