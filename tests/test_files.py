@@ -445,3 +445,10 @@ def test_html_of_one_parse_is_that_of_rows(spark):
         assert dict(map(tuple, got.collect())) == dict(map(tuple, wanted.collect()))
     with pytest.raises(ValueError, match="mode"):
         verbs.extract_text_to(files, "html", mode="other")
+
+
+def test_characters_with_some_columns_only(spark):
+    files = spark.createDataFrame([("a", bytearray(writer.document("a b\nc")))], "doc_id string, content binary")
+    some = ["doc_id", "page_no", "seq", "text", "x0", "top", "doctop"]
+    got = reader.chars(files, columns=some)
+    assert got.columns == some and got.orderBy("seq").collect() == reader.chars(files).select(*some).orderBy("seq").collect() and got.count() == 4
